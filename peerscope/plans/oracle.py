@@ -198,3 +198,99 @@ subs0 AS (
 qids AS (SELECT query_id FROM subs0 WHERE processed_text <> ''),
 {padded_tfidf_ranking('qids', K)}
 SELECT CAST(rank AS INTEGER) AS rank, author, round(score, 6) AS score FROM tfidf_ranked"""
+
+
+def vectors_cte() -> str:
+    return """vecs AS (
+  SELECT vec_id AS paper_id, CAST(label AS VARCHAR) AS author,
+         CAST(embedding AS DOUBLE[]) AS v,
+         sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS nv
+  FROM embeddings)"""
+
+
+def cosine_sql(a: str, b: str) -> str:
+    return (f"CASE WHEN {a}.nv = 0 OR {b}.nv = 0 THEN 0.0 "
+            f"ELSE list_dot_product({a}.v, {b}.v) / ({a}.nv * {b}.nv) END")
+
+
+def dense_best_cte() -> str:
+    return f"""{vectors_cte()},
+dense_best AS (
+  SELECT q.paper_id AS query_id, c.author, max({cosine_sql('q', 'c')}) AS score
+  FROM vecs q JOIN vecs c ON len(q.v) = len(c.v)
+  WHERE c.author IS NOT NULL GROUP BY ALL)"""
+
+
+def dense_ranked_cte(k: int) -> str:
+    return f"""dense_ranked AS (
+  SELECT query_id, author, score,
+         row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, author) AS rank
+  FROM dense_best QUALIFY rank <= {k})"""
+
+
+def profiles_cte() -> str:
+    return """plong AS (
+  SELECT CAST(label AS VARCHAR) AS author, generate_subscripts(embedding, 1) - 1 AS dim,
+         CAST(unnest(embedding) AS DOUBLE) AS x
+  FROM embeddings WHERE label IS NOT NULL),
+pmean AS (
+  SELECT author, dim, avg(CASE WHEN isnan(x) THEN NULL ELSE x END) AS m
+  FROM plong GROUP BY ALL),
+profiles AS (
+  SELECT author, list(m ORDER BY dim) AS v, sqrt(sum(m * m)) AS nv
+  FROM pmean GROUP BY author HAVING count(m) = count(*))"""
+
+
+@oracle("q10_dense_cosine")
+def _q10():
+    return f"""
+WITH {dense_best_cte()}
+SELECT query_id, author, round(score, 6) AS score FROM dense_best"""
+
+
+@oracle("q11_recommend_embedding")
+def _q11():
+    return f"""
+WITH {dense_best_cte()},
+{dense_ranked_cte(K)}
+SELECT query_id, CAST(rank AS INTEGER) AS rank, author, round(score, 6) AS score
+FROM dense_ranked"""
+
+
+@oracle("q12_exclude_by_score")
+def _q12():
+    return f"""
+WITH {dense_best_cte()},
+{dense_ranked_cte(K + OVERFETCH)}
+SELECT query_id, author FROM dense_ranked WHERE score >= {EXCLUDE_AT}"""
+
+
+@oracle("q16_author_profiles")
+def _q16():
+    return f"""
+WITH {profiles_cte()}
+SELECT author, CAST(dim AS INTEGER) AS dim, round(m, 6) AS value
+FROM pmean WHERE author IN (SELECT author FROM profiles)"""
+
+
+@oracle("q17_author_similarity")
+def _q17():
+    return f"""
+WITH {profiles_cte()}
+SELECT a.author AS author_a, b.author AS author_b, round({cosine_sql('a', 'b')}, 6) AS similarity
+FROM profiles a CROSS JOIN profiles b"""
+
+
+@oracle("q18_similar_authors")
+def _q18():
+    return f"""
+WITH {profiles_cte()},
+sims AS (
+  SELECT a.author, b.author AS similar_author, {cosine_sql('a', 'b')} AS similarity
+  FROM profiles a JOIN profiles b ON a.author <> b.author),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY author
+                               ORDER BY round(similarity, 9) DESC, similar_author) AS rank
+  FROM sims QUALIFY rank <= {K})
+SELECT author, CAST(rank AS INTEGER) AS rank, similar_author, round(similarity, 6) AS similarity
+FROM ranked"""

@@ -13,13 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peerscope.functions.text import normalize_text
-from peerscope.operators.recommend import recommend_tfidf
+from peerscope.operators.recommend import excluded_by_score, recommend_tfidf
 from peerscope.operators.ranking import padding_candidates, rank_single
 from peerscope.operators.tfidf import fit_tfidf, sparse_cosine, term_counts, transform_tfidf
-from peerscope.sources.tables import benchmark_submissions, documents_corpus, read_table
+from peerscope.operators.dense import (author_profiles, author_similarity, dense_author_scores,
+                                      recommend_dense, similar_authors)
+from peerscope.operators.ranking import top_k
+from peerscope.sources.tables import (benchmark_submissions, documents_corpus, embedding_corpus,
+                                      read_table)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 K = 5
+OVERFETCH = 5
 
 
 def query(name: str):
@@ -115,3 +120,48 @@ def q09_recommend_single(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lit(0.0).alias("score"))
     ranked = rank_single(scores.unionByName(pads), K)
     return ranked.select("rank", "author", r6("score").alias("score"))
+
+
+def _embedding_queries(spark, sf_dir):
+    """Every paper vector submitted as a query (the paper is also in the corpus)."""
+    return embedding_corpus(spark, sf_dir).select(F.col("paper_id").alias("query_id"), "embedding")
+
+
+@query("q10_dense_cosine")
+def q10_dense_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = embedding_corpus(spark, sf_dir)
+    s = dense_author_scores(_embedding_queries(spark, sf_dir), corpus)
+    return s.select("query_id", "author", r6("score").alias("score"))
+
+
+@query("q11_recommend_embedding")
+def q11_recommend_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = embedding_corpus(spark, sf_dir)
+    r = recommend_dense(_embedding_queries(spark, sf_dir), corpus, k=K)
+    return r.select("query_id", "rank", "author", r6("score").alias("score"))
+
+
+@query("q12_exclude_by_score")
+def q12_exclude_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = embedding_corpus(spark, sf_dir)
+    raw = recommend_dense(_embedding_queries(spark, sf_dir), corpus, k=K + OVERFETCH)
+    return excluded_by_score(raw).select("query_id", "author")
+
+
+@query("q16_author_profiles")
+def q16_author_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = author_profiles(embedding_corpus(spark, sf_dir))
+    return p.select("author", F.posexplode("profile").alias("dim", "value")).select(
+        "author", "dim", r6("value").alias("value"))
+
+
+@query("q17_author_similarity")
+def q17_author_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = author_similarity(author_profiles(embedding_corpus(spark, sf_dir)))
+    return s.select("author_a", "author_b", r6("similarity").alias("similarity"))
+
+
+@query("q18_similar_authors")
+def q18_similar_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = similar_authors(author_profiles(embedding_corpus(spark, sf_dir)), k=K)
+    return s.select("author", "rank", "similar_author", r6("similarity").alias("similarity"))
