@@ -294,3 +294,123 @@ ranked AS (
   FROM sims QUALIFY rank <= {K})
 SELECT author, CAST(rank AS INTEGER) AS rank, similar_author, round(similarity, 6) AS similarity
 FROM ranked"""
+
+
+def names_cte() -> str:
+    return """names AS (
+  SELECT author, arg_min(name, doc_id) AS name
+  FROM (SELECT doc_id, author,
+               list_min(list_filter(string_split(processed_text, ' '), lambda x: length(x) >= 6))
+               AS name
+        FROM corpus)
+  WHERE name IS NOT NULL AND author IS NOT NULL GROUP BY author)"""
+
+
+def listed_sql(subs: str) -> str:
+    return f"""SELECT DISTINCT s.query_id, n.author FROM {subs} s, names n
+WHERE contains(lower(substr(s.raw_text, 1, {PREFIX})), lower(n.name))"""
+
+
+@oracle("q13_listed_authors")
+def _q13():
+    return f"""
+WITH {corpus_cte()},
+{names_cte()},
+subs AS (SELECT doc_id AS query_id, raw_text FROM corpus)
+{listed_sql('subs')}"""
+
+
+ORACLE["q14_listed_authors_blocked"] = ORACLE["q13_listed_authors"]
+
+
+def online_ctes() -> str:
+    fetch = K + OVERFETCH
+    return f"""{index_ctes()},
+lim AS (SELECT least((SELECT count(*) FROM corpus), (SELECT count(*) FROM embeddings)) AS n),
+aligned AS (
+  SELECT c.doc_id, c.author, c.raw_text, CAST(e.embedding AS DOUBLE[]) AS v,
+         sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) AS nv
+  FROM corpus c JOIN embeddings e ON c.doc_id = e.vec_id, lim WHERE c.doc_id < lim.n),
+subs_all AS (
+  SELECT doc_id AS query_id, raw_text, {norm_sql('raw_text', 2)} AS processed_text FROM aligned),
+subs AS (SELECT * FROM subs_all WHERE processed_text <> ''),
+{query_vector_ctes('subs')},
+qids AS (SELECT query_id FROM subs),
+{padded_tfidf_ranking('qids', fetch, 'tfidf_fetch')},
+{padded_tfidf_ranking('qids', K, 'tfidf_k')},
+dense_best AS (
+  SELECT q.doc_id AS query_id, c.author, max({cosine_sql('q', 'c')}) AS score
+  FROM aligned q JOIN aligned c ON len(q.v) = len(c.v)
+  WHERE q.doc_id IN (SELECT query_id FROM subs) AND c.author IS NOT NULL GROUP BY ALL),
+dense_fetch AS (
+  SELECT query_id, author, score,
+         row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, author) AS rank
+  FROM dense_best QUALIFY rank <= {fetch}),
+dense_k AS (SELECT * FROM dense_fetch WHERE rank <= {K}),
+{names_cte()},
+listed AS ({listed_sql('subs')}),
+excl AS (
+  SELECT query_id, author FROM dense_fetch WHERE score >= {EXCLUDE_AT}
+  UNION SELECT query_id, author FROM listed)"""
+
+
+def _filtered(src: str, method: str) -> str:
+    return f"""SELECT query_id, '{method}' AS method, author, score,
+       row_number() OVER (PARTITION BY query_id ORDER BY rank) AS new_rank
+FROM {src} r
+WHERE NOT EXISTS (SELECT 1 FROM excl x WHERE x.query_id = r.query_id AND x.author = r.author)
+QUALIFY new_rank <= {K}"""
+
+
+@oracle("q15_recommend_filtered")
+def _q15():
+    return f"""
+WITH {online_ctes()},
+f AS ({_filtered('tfidf_fetch', 'tfidf')} UNION ALL {_filtered('dense_fetch', 'embedding')})
+SELECT query_id, method, CAST(new_rank AS INTEGER) AS rank, author, round(score, 6) AS score
+FROM f"""
+
+
+@oracle("q19_align_vectors")
+def _q19():
+    return f"""
+WITH {corpus_cte()},
+lim AS (SELECT least((SELECT count(*) FROM corpus), (SELECT count(*) FROM embeddings)) AS n)
+SELECT c.doc_id AS paper_id, c.author, e.label, CAST(len(e.embedding) AS INTEGER) AS dim
+FROM corpus c JOIN embeddings e ON c.doc_id = e.vec_id, lim WHERE c.doc_id < lim.n"""
+
+
+def comparison_cte() -> str:
+    return """cmp AS (
+  SELECT coalesce(t.query_id, d.query_id) AS query_id, CAST(coalesce(t.rank, d.rank) AS INTEGER) AS rank,
+         t.author AS tfidf_author, round(t.score, 6) AS tfidf_score,
+         d.author AS embedding_author, round(d.score, 6) AS embedding_score
+  FROM tfidf_k t FULL JOIN dense_k d ON t.query_id = d.query_id AND t.rank = d.rank)"""
+
+
+@oracle("q20_compare_methods")
+def _q20():
+    return f"""
+WITH {online_ctes()},
+{comparison_cte()}
+SELECT cmp.*, c.author AS actual_author FROM cmp LEFT JOIN corpus c ON c.doc_id = cmp.query_id"""
+
+
+@oracle("q21_evaluate_sample")
+def _q21():
+    return f"""
+WITH {online_ctes()},
+{comparison_cte()}
+SELECT cmp.query_id, 'ok' AS status, c.author AS actual_author, cmp.rank, cmp.tfidf_author,
+       cmp.tfidf_score, cmp.embedding_author, cmp.embedding_score
+FROM cmp JOIN corpus c ON c.doc_id = cmp.query_id
+UNION ALL
+SELECT c.doc_id, 'no_vector', c.author, NULL, NULL, NULL, NULL, NULL
+FROM corpus c WHERE c.doc_id NOT IN (SELECT query_id FROM subs)"""
+
+
+@oracle("q29_listed_distinct_union")
+def _q29():
+    return f"""
+WITH {online_ctes()}
+SELECT query_id, author FROM excl"""

@@ -18,7 +18,11 @@ from peerscope.operators.ranking import padding_candidates, rank_single
 from peerscope.operators.tfidf import fit_tfidf, sparse_cosine, term_counts, transform_tfidf
 from peerscope.operators.dense import (author_profiles, author_similarity, dense_author_scores,
                                       recommend_dense, similar_authors)
+from peerscope.operators.evaluate import compare_methods, evaluate
+from peerscope.operators.exclusions import author_directory, excluded_authors, listed_authors
 from peerscope.operators.ranking import top_k
+from peerscope.operators.recommend import exclude_and_rerank, valid_submissions
+from peerscope.sources.vectors import align_vectors
 from peerscope.sources.tables import (benchmark_submissions, documents_corpus, embedding_corpus,
                                       read_table)
 
@@ -165,3 +169,104 @@ def q17_author_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q18_similar_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = similar_authors(author_profiles(embedding_corpus(spark, sf_dir)), k=K)
     return s.select("author", "rank", "similar_author", r6("similarity").alias("similarity"))
+
+
+def _named(spark, sf_dir):
+    """Documents as submissions plus the author directory derived from them."""
+    corpus = documents_corpus(spark, sf_dir)
+    subs = corpus.select(F.col("doc_id").alias("query_id"), "raw_text")
+    return subs, author_directory(corpus)
+
+
+@query("q13_listed_authors")
+def q13_listed_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    subs, directory = _named(spark, sf_dir)
+    return listed_authors(subs, directory, method="broadcast").select("query_id", "author")
+
+
+@query("q14_listed_authors_blocked")
+def q14_listed_authors_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    subs, directory = _named(spark, sf_dir)
+    return listed_authors(subs, directory, method="blocked").select("query_id", "author")
+
+
+class _Online:
+    """The online flow on driver data: every paper that has a vector is submitted.
+
+    TF-IDF scores against all documents; vector scores against the aligned
+    papers (author = the paper's source), as in the positional alignment.
+    """
+
+    def __init__(self, spark, sf_dir, k=K, overfetch=OVERFETCH):
+        corpus = documents_corpus(spark, sf_dir)
+        self.corpus = corpus
+        self.index = fit_tfidf(corpus)
+        vecs = read_table(spark, sf_dir, "embeddings").select(
+            "vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+        self.aligned = align_vectors(corpus.select("doc_id", "author", "raw_text"), vecs)
+        subs = self.aligned.select(
+            F.col("doc_id").alias("query_id"), "raw_text", "embedding",
+            normalize_text("raw_text", min_token_len=2).alias("processed_text"))
+        self.subs = valid_submissions(subs)
+        self.dense_corpus = self.aligned.select(F.col("doc_id").alias("paper_id"), "author",
+                                                "embedding")
+        self.k, self.fetch = k, k + overfetch
+
+    def tfidf(self, k):
+        return recommend_tfidf(self.subs, self.index, k=k)
+
+    def dense(self, k):
+        return recommend_dense(self.subs.select("query_id", "embedding"), self.dense_corpus, k=k)
+
+    def exclusions(self):
+        by_score = excluded_by_score(self.dense(self.fetch))
+        by_name = listed_authors(self.subs, author_directory(self.corpus))
+        return excluded_authors(by_score, by_name)
+
+
+@query("q15_recommend_filtered")
+def q15_recommend_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _Online(spark, sf_dir)
+    excl = o.exclusions()
+    t = exclude_and_rerank(o.tfidf(o.fetch), excl, o.k).withColumn("method", F.lit("tfidf"))
+    d = exclude_and_rerank(o.dense(o.fetch), excl, o.k).withColumn("method", F.lit("embedding"))
+    return t.unionByName(d).select("query_id", "method", "rank", "author",
+                                   r6("score").alias("score"))
+
+
+@query("q19_align_vectors")
+def q19_align_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = documents_corpus(spark, sf_dir).select("doc_id", "author")
+    vecs = read_table(spark, sf_dir, "embeddings")
+    a = align_vectors(corpus, vecs)
+    return a.select(F.col("doc_id").alias("paper_id"), "author", "label",
+                    F.size("embedding").alias("dim"))
+
+
+def _comparison(o):
+    c = compare_methods(o.tfidf(o.k), o.dense(o.k))
+    return c.select("query_id", "rank", "tfidf_author", r6("tfidf_score").alias("tfidf_score"),
+                    "embedding_author", r6("embedding_score").alias("embedding_score"))
+
+
+@query("q20_compare_methods")
+def q20_compare_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _Online(spark, sf_dir)
+    truth = o.corpus.select(F.col("doc_id").alias("query_id"),
+                            F.col("author").alias("actual_author"))
+    return _comparison(o).join(truth, "query_id", "left")
+
+
+@query("q21_evaluate_sample")
+def q21_evaluate_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is in the sample; those without a vector get a status row."""
+    o = _Online(spark, sf_dir)
+    sample = o.corpus.select(F.col("doc_id").alias("query_id"))
+    ev = evaluate(sample, o.corpus, _comparison(o), o.subs)
+    return ev.select("query_id", "status", "actual_author", "rank", "tfidf_author",
+                     "tfidf_score", "embedding_author", "embedding_score")
+
+
+@query("q29_listed_distinct_union")
+def q29_listed_distinct_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _Online(spark, sf_dir).exclusions()
