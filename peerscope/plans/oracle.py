@@ -414,3 +414,76 @@ def _q29():
     return f"""
 WITH {online_ctes()}
 SELECT query_id, author FROM excl"""
+
+
+_TAG = "'<[^>]*>'"
+
+
+def _blank_free(x: str) -> str:
+    return f"coalesce(regexp_matches({x}, '{_NON_BLANK}'), false)"
+
+
+def page_stage_ctes() -> str:
+    return rf"""a AS (
+  SELECT page_id, url, html,
+         regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS art FROM pages),
+st AS (
+  SELECT page_id, url,
+    regexp_replace(array_to_string(regexp_extract_all(art, '(?s)<p(?:\s[^>]*)?>(.*?)</p>', 1),
+                   chr(10)), {_TAG}, '', 'g') AS s1,
+    regexp_replace(regexp_replace(art, {_TAG}, '', 'g'),
+                   '\A[{_WS}]+|[{_WS}]+\z', '', 'g') AS s2,
+    regexp_replace(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), {_TAG}, '', 'g') AS s3
+  FROM a)"""
+
+
+@oracle("q22_concat_pages")
+def _q22():
+    return """
+SELECT conv_id, count(*) AS n_pages, string_agg(text, '' ORDER BY turn) AS text
+FROM conversations GROUP BY conv_id"""
+
+
+@oracle("q23_extract_fallback")
+def _q23():
+    return f"""
+WITH {page_stage_ctes()}
+SELECT page_id,
+  CASE WHEN {_blank_free('s1')} THEN 'paragraphs' WHEN {_blank_free('s2')} THEN 'article'
+       WHEN {_blank_free('s3')} THEN 'title' END AS extractor,
+  CASE WHEN {_blank_free('s1')} OR {_blank_free('s2')} OR {_blank_free('s3')} THEN 'ok'
+       ELSE 'no_text' END AS status,
+  CASE WHEN {_blank_free('s1')} THEN s1 WHEN {_blank_free('s2')} THEN s2
+       WHEN {_blank_free('s3')} THEN s3 ELSE '' END AS text
+FROM st"""
+
+
+@oracle("q24_failed_documents")
+def _q24():
+    return f"""
+WITH {page_stage_ctes()}
+SELECT page_id, url, 'no_text' AS reason FROM st WHERE NOT {_blank_free('s1')}"""
+
+
+ORACLE["q25_parquet_roundtrip"] = ORACLE["q05_tfidf_weights"]
+
+
+@oracle("q26_csv_roundtrip")
+def _q26():
+    return f"""
+WITH {corpus_cte()}
+SELECT author, 'doc_' || doc_id || '.pdf' AS paper, processed_text FROM corpus"""
+
+
+@oracle("q27_hash_encode")
+def _q27():
+    return f"""
+WITH {corpus_cte()},
+t AS (SELECT doc_id, unnest(list_filter(string_split(processed_text, ' '),
+                                         lambda x: length(x) > 0)) AS tok FROM corpus),
+b AS (SELECT doc_id, CAST(('0x' || substr(md5(tok), 1, 8))::BIGINT % 64 AS INTEGER) AS dim FROM t),
+c AS (SELECT doc_id, dim, count(*) AS n FROM b GROUP BY ALL)
+SELECT doc_id, dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS value FROM c"""
+
+
+ORACLE["q28_stream_recommendations"] = ORACLE["q08_recommend_tfidf"]

@@ -22,7 +22,14 @@ from peerscope.operators.evaluate import compare_methods, evaluate
 from peerscope.operators.exclusions import author_directory, excluded_authors, listed_authors
 from peerscope.operators.ranking import top_k
 from peerscope.operators.recommend import exclude_and_rerank, valid_submissions
+from peerscope.operators.encode import hashed_counts
+from peerscope.operators.extract import (concat_pages, extract_text, failed_documents,
+                                         page_stages)
+from peerscope.session import scratch_path
+from peerscope.sources.index_io import load_index, save_index
+from peerscope.sources.sinks import export_csv, read_csv
 from peerscope.sources.vectors import align_vectors
+from peerscope.streaming.recommendations import stream_recommendations
 from peerscope.sources.tables import (benchmark_submissions, documents_corpus, embedding_corpus,
                                       read_table)
 
@@ -270,3 +277,69 @@ def q21_evaluate_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q29_listed_distinct_union")
 def q29_listed_distinct_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _Online(spark, sf_dir).exclusions()
+
+
+@query("q22_concat_pages")
+def q22_concat_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = read_table(spark, sf_dir, "conversations")
+    return concat_pages(conv, doc_col="conv_id", page_col="turn", text_col="text")
+
+
+@query("q23_extract_fallback")
+def q23_extract_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    ex = extract_text(pages, page_stages("html"))
+    return ex.select("page_id", "extractor", "status", F.col("raw_text").alias("text"))
+
+
+@query("q24_failed_documents")
+def q24_failed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text-layer-only extraction: pages without paragraph text go to the dead letter."""
+    pages = read_table(spark, sf_dir, "pages")
+    ex = extract_text(pages, page_stages("html")[:1])
+    return failed_documents(ex, ["page_id", "url"])
+
+
+def _saved_index(spark, sf_dir):
+    corpus = documents_corpus(spark, sf_dir)
+    vectors = embedding_corpus(spark, sf_dir)
+    path = scratch_path(spark, "index")
+    save_index(path, corpus, vectors, fit_tfidf(corpus))
+    return load_index(spark, path)
+
+
+@query("q25_parquet_roundtrip")
+def q25_parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings written to Parquet with the whole index and read back."""
+    p = _saved_index(spark, sf_dir).tfidf.postings
+    return p.select("doc_id", "term", "tf", r6("weight").alias("weight"))
+
+
+@query("q26_csv_roundtrip")
+def q26_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = documents_corpus(spark, sf_dir).select(
+        "author", F.format_string("doc_%d.pdf", "doc_id").alias("paper"), "processed_text")
+    path = scratch_path(spark, "csv")
+    if not export_csv(corpus, path):
+        raise RuntimeError("CSV export failed")
+    return read_csv(spark, path, "author string, paper string, processed_text string")
+
+
+@query("q27_hash_encode")
+def q27_hash_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = hashed_counts(documents_corpus(spark, sf_dir), dim=64)
+    return h.select("doc_id", "dim", r6("value").alias("value"))
+
+
+@query("q28_stream_recommendations")
+def q28_stream_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items streamed as arriving files, scored against the saved index."""
+    index = _saved_index(spark, sf_dir).tfidf
+    schema = read_table(spark, sf_dir, "benchmark").schema
+    sink = scratch_path(spark, "stream-out")
+    q = stream_recommendations(
+        spark, f"{sf_dir.rstrip('/')}/bench[m]ark.parquet", schema, index, sink,
+        scratch_path(spark, "stream-ckpt"), k=K, base_path=sf_dir)
+    q.awaitTermination()
+    out = spark.read.parquet(sink)
+    return out.select("query_id", "rank", "author", r6("score").alias("score"))
