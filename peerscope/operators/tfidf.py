@@ -32,23 +32,36 @@ class TfidfIndex:
     vocab_size: int
 
 
+def _runs(sorted_terms: str) -> F.Column:
+    """Start of every run of equal values in a sorted array: struct(term, pos)."""
+    tagged = F.transform(sorted_terms, lambda x, i: F.struct(x.alias("term"), i.alias("pos")))
+    return F.filter(tagged, lambda r, i: (i == 0) | (r["term"] != F.get(F.col(sorted_terms), i - 1)))
+
+
 def term_counts(corpus: DataFrame, id_col: str = "doc_id", author_col: str | None = "author",
                 text_col: str = "processed_text", ngram_max: int = 2) -> DataFrame:
     """Raw count of every 1/2-gram per document: (doc_id[, author], term, tf).
 
-    The n-grams of one document come from one input row, so the map-side
-    partial aggregate already yields final counts; the exchange after it
-    carries one row per (document, term), never one per occurrence.
+    Counted inside the document's row: the n-grams are sorted and every run
+    of equal terms becomes one (term, run length) entry. No shuffle is
+    needed, and all rows of a document stay in the partition of its input
+    row, so later per-document aggregates collapse before their exchange.
     """
+    if ngram_max not in (1, 2):
+        raise ValueError("ngram_max must be 1 or 2")
     keys = [id_col] + ([author_col] if author_col else [])
-    # the word array is its own column: the bigram lambda then indexes a
-    # value instead of re-evaluating the tokenizer for every element
+    # each array is its own column: the lambdas below index a computed value
+    # instead of re-evaluating the tokenizer for every element
     words = corpus.select(*keys, model_tokens(text_col).alias("_words"))
     terms = with_bigrams("_words") if ngram_max == 2 else F.col("_words")
-    if ngram_max not in (1, 2):
-        raise ValueError("ngram_max must be 1 or 2")
-    exploded = words.select(*keys, F.explode(terms).alias("term"))
-    return exploded.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+    srt = words.select(*keys, F.sort_array(terms).alias("_sorted"))
+    runs = srt.select(*keys, "_sorted", _runs("_sorted").alias("_runs"))
+    counted = F.transform("_runs", lambda r, j: F.struct(
+        r["term"].alias("term"),
+        (F.coalesce(F.get(F.col("_runs"), j + 1)["pos"], F.size("_sorted")) - r["pos"])
+        .cast("long").alias("tf")))
+    return runs.select(*keys, F.explode(counted).alias("_tc")).select(
+        *keys, F.col("_tc.term").alias("term"), F.col("_tc.tf").alias("tf"))
 
 
 def _doc_bounds(n_docs: int, min_df: float, max_df: float) -> tuple[float, float]:
@@ -89,7 +102,8 @@ def fit_tfidf(corpus: DataFrame, min_df: float = 5, max_df: float = 0.8, ngram_m
     n_docs = base.count()
     if n_docs == 0:
         raise ValueError("empty corpus")
-    counts = term_counts(base, id_col, author_col, text_col, ngram_max)
+    # read twice (document frequencies, then weights): computed once
+    counts = materialize(term_counts(base, id_col, author_col, text_col, ngram_max))
     vocab = materialize(vocabulary(counts, n_docs, min_df, max_df))
     vocab_size = vocab.count()
     if vocab_size == 0:

@@ -31,6 +31,10 @@ def get_session(master: str | None = None, app_name: str = "peerscope",
     )
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is also the only executor
+            builder = builder.config("spark.driver.memory",
+                                     os.environ.get("PEERSCOPE_DRIVER_MEMORY", "16g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()

@@ -1,0 +1,61 @@
+from peerscope.operators.exclusions import author_directory, listed_authors
+from peerscope.operators.recommend import exclude_and_rerank, excluded_by_score
+
+
+def _subs(spark, rows):
+    return spark.createDataFrame(rows, "query_id long, raw_text string")
+
+
+def _dir(spark, rows):
+    return spark.createDataFrame(rows, "author string, name string")
+
+
+def test_x17_threshold_inclusive(spark):
+    ranked = spark.createDataFrame([(1, 1, "a", 0.98), (1, 2, "b", 0.9799)],
+                                   "query_id long, rank int, author string, score double")
+    assert [r.author for r in excluded_by_score(ranked).collect()] == ["a"]
+
+
+def test_x18_overfetch_can_leave_fewer_than_k(spark):
+    ranked = spark.createDataFrame([(1, i + 1, f"a{i}", 1.0 - i / 10) for i in range(8)],
+                                   "query_id long, rank int, author string, score double")
+    excl = spark.createDataFrame([(1, f"a{i}") for i in range(6)], "query_id long, author string")
+    got = exclude_and_rerank(ranked, excl, 3).orderBy("rank").collect()
+    assert [(r.rank, r.author) for r in got] == [(1, "a6"), (2, "a7")]
+
+
+def test_x19_substring_and_prefix_window(spark):
+    text_cut = "x" * 1999 + "Li"     # 'li' starts at character 2,000 -> cut at 2,000
+    text_in = "x" * 1998 + "Li"      # 'li' at characters 1,999-2,000 -> inside
+    subs = _subs(spark, [(1, "The RELIABILITY study"), (2, text_cut), (3, text_in)])
+    directory = _dir(spark, [("A. Li", "li")])
+    for method in ("broadcast", "blocked"):
+        got = sorted(r.query_id for r in listed_authors(subs, directory, method=method).collect())
+        assert got == [1, 3], method
+
+
+def test_x20_null_never_empty_always(spark):
+    subs = _subs(spark, [(1, "anything"), (2, "")])
+    directory = _dir(spark, [("n", None), ("e", "")])
+    for method in ("broadcast", "blocked"):
+        got = sorted((r.query_id, r.author) for r in
+                     listed_authors(subs, directory, method=method).collect())
+        assert got == [(1, "e"), (2, "e")], method
+
+
+def test_blocked_equals_broadcast(spark):
+    import random
+    rng = random.Random(7)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "mu", "x", "pi", "theta", "zeta"]
+    subs = _subs(spark, [(i, " ".join(rng.choice(words) for _ in range(50))) for i in range(40)])
+    directory = _dir(spark, [(f"au{i}", w) for i, w in enumerate(words + ["eta", "ph", "q"])])
+    a = sorted(tuple(r) for r in listed_authors(subs, directory, method="broadcast").collect())
+    b = sorted(tuple(r) for r in listed_authors(subs, directory, method="blocked", q=3).collect())
+    assert a == b and len(a) > 0
+
+
+def test_author_directory_lowest_doc_smallest_long_word(spark):
+    corpus = spark.createDataFrame(
+        [(3, "a", "zebras apples"), (1, "a", "short bigword another"), (2, "b", "tiny")],
+        "doc_id long, author string, processed_text string")
+    assert [tuple(r) for r in author_directory(corpus).collect()] == [("a", "another")]
