@@ -7,3 +7,21 @@ API so Catalyst and AQE plan the work.
 """
 
 __version__ = "0.1.0"
+
+
+def _ship_by_value() -> None:
+    """Pickle this package's functions by value.
+
+    Python tasks (mapInPandas, pandas UDFs) then carry the code they call,
+    so executors need no installed copy of the package.
+    """
+    import sys
+
+    try:
+        from pyspark import cloudpickle
+    except ImportError:  # pragma: no cover - pyspark is a hard dependency
+        return
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_ship_by_value()

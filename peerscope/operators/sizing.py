@@ -24,7 +24,7 @@ class Limits:
     # dense query block shipped to every task, in bytes (float64)
     dense_broadcast_bytes: int = 128 * 1024 * 1024
     # author-name rows for the nested-loop name match
-    names_broadcast_rows: int = 100_000
+    names_broadcast_rows: int = 2_000
 
 
 DEFAULT_LIMITS = Limits()

@@ -25,8 +25,8 @@ from peerscope.session import materialize
 
 @dataclass
 class TfidfIndex:
-    vocab: DataFrame       # term, df, idf
-    postings: DataFrame    # doc_id, author, term, tf, weight
+    vocab: DataFrame       # term, term_id, df, idf
+    postings: DataFrame    # doc_id, author, term, term_id, tf, weight
     docs: DataFrame        # doc_id, author
     n_docs: int
     vocab_size: int
@@ -83,7 +83,8 @@ def vocabulary(counts: DataFrame, n_docs: int, min_df: float = 5, max_df: float
 def _weighted(counts: DataFrame, vocab: DataFrame, vocab_size: int, id_col: str,
               limits: Limits) -> tuple[DataFrame, DataFrame]:
     """Join counts with the vocabulary; return the weighted rows and per-document L2 norms."""
-    v = broadcast_if(vocab.select("term", "idf"), vocab_size, limits.vocab_broadcast_rows)
+    v = broadcast_if(vocab.select("term", "term_id", "idf"), vocab_size,
+                     limits.vocab_broadcast_rows)
     raw = counts.join(v, "term").withColumn("w", F.col("tf") * F.col("idf"))
     # one partial sum per document inside its partition, then a small exchange
     norms = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -104,14 +105,17 @@ def fit_tfidf(corpus: DataFrame, min_df: float = 5, max_df: float = 0.8, ngram_m
         raise ValueError("empty corpus")
     # read twice (document frequencies, then weights): computed once
     counts = materialize(term_counts(base, id_col, author_col, text_col, ngram_max))
-    vocab = materialize(vocabulary(counts, n_docs, min_df, max_df))
+    # a unique long per term, frozen by the checkpoint: the scoring join
+    # then probes a long-keyed hash relation instead of strings
+    vocab = materialize(vocabulary(counts, n_docs, min_df, max_df)
+                        .withColumn("term_id", F.monotonically_increasing_id()))
     vocab_size = vocab.count()
     if vocab_size == 0:
         raise ValueError("After pruning, no terms remain. Try a lower min_df or a higher max_df.")
     raw, norms = _weighted(counts, vocab, vocab_size, id_col, limits)
     norms = broadcast_if(norms, n_docs, limits.norm_broadcast_rows)
     postings = (raw.join(norms, id_col)
-                   .select(id_col, author_col, "term", "tf",
+                   .select(id_col, author_col, "term", "term_id", "tf",
                            (F.col("w") / F.col("norm")).alias("weight")))
     docs = base.select(id_col, author_col)
     return TfidfIndex(vocab=vocab, postings=postings, docs=docs, n_docs=n_docs,
@@ -121,7 +125,7 @@ def fit_tfidf(corpus: DataFrame, min_df: float = 5, max_df: float = 0.8, ngram_m
 def transform_tfidf(texts: DataFrame, index: TfidfIndex, id_col: str = "query_id",
                     text_col: str = "processed_text", ngram_max: int = 2,
                     limits: Limits = DEFAULT_LIMITS) -> DataFrame:
-    """Weight unseen texts on the fitted vocabulary: (query_id, term, tf, weight).
+    """Weight unseen texts on the fitted vocabulary: (query_id, term, term_id, tf, weight).
 
     Out-of-vocabulary terms are dropped; a text with no known term has no
     rows (its vector is zero and every cosine with it is 0).
@@ -129,7 +133,8 @@ def transform_tfidf(texts: DataFrame, index: TfidfIndex, id_col: str = "query_id
     counts = term_counts(texts.select(id_col, text_col), id_col, None, text_col, ngram_max)
     raw, norms = _weighted(counts, index.vocab, index.vocab_size, id_col, limits)
     return (raw.join(norms, id_col)
-               .select(id_col, "term", "tf", (F.col("w") / F.col("norm")).alias("weight")))
+               .select(id_col, "term", "term_id", "tf",
+                       (F.col("w") / F.col("norm")).alias("weight")))
 
 
 def sparse_cosine(query_vectors: DataFrame, index: TfidfIndex, query_col: str = "query_id",
@@ -139,11 +144,26 @@ def sparse_cosine(query_vectors: DataFrame, index: TfidfIndex, query_col: str =
 
     Returns (query_id, doc_id, author, score) for the pairs that share at
     least one term; every other pair scores 0 and is not materialised.
-    The query side is checkpointed, counted and broadcast when small, so
-    the postings are streamed once without being shuffled.
+    The query side is checkpointed and counted; while it is below the
+    broadcast bound it is broadcast and the postings stream past it once
+    without a shuffle. A larger query set is cut into hash blocks of the
+    query id that each fit, and the blocks are scored one after another
+    (no salting, no skewed shuffle on popular terms).
     """
-    q = materialize(query_vectors.select(query_col, "term", F.col("weight").alias("wq")))
-    q = broadcast_if(q, q.count(), limits.query_broadcast_rows)
-    products = index.postings.join(q, "term").select(
-        query_col, id_col, author_col, (F.col("wq") * F.col("weight")).alias("p"))
-    return products.groupBy(query_col, id_col, author_col).agg(F.sum("p").alias("score"))
+    q = materialize(query_vectors.select(query_col, "term_id", F.col("weight").alias("wq")))
+    n = q.count()
+    blocks = max(1, -(-n // limits.query_broadcast_rows))
+    postings = index.postings.select(id_col, "term_id", "weight")
+    parts = []
+    for b in range(blocks):
+        qb = q if blocks == 1 else q.where(F.pmod(F.xxhash64(query_col), F.lit(blocks)) == b)
+        products = postings.join(F.broadcast(qb), "term_id").select(
+            query_col, id_col, (F.col("wq") * F.col("weight")).alias("p"))
+        # fixed-width key: the fast hash aggregate, author attached afterwards
+        parts.append(products.groupBy(query_col, id_col).agg(F.sum("p").alias("score")))
+    scores = parts[0]
+    for p in parts[1:]:
+        scores = scores.unionByName(p)
+    docs = broadcast_if(index.docs.select(id_col, author_col), index.n_docs,
+                        limits.norm_broadcast_rows)
+    return scores.join(docs, id_col).select(query_col, id_col, author_col, "score")
