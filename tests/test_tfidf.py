@@ -116,3 +116,25 @@ def test_x12_unknown_words_rank_k_authors_at_zero(spark):
     got = recommend_tfidf(subs, index, k=3).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.rank, r.author, r.score) for r in got] == [
         (1, 1, "a", 0.0), (1, 2, "b", 0.0), (1, 3, "c", 0.0)]
+
+
+def test_block_scoring_equals_join_scoring(spark):
+    import random
+    rng = random.Random(3)
+    vocab = ["alpha", "beta", "gamma", "delta", "omega", "theta", "kappa", "sigma", "zeta"]
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(1, 30))) for _ in range(60)]
+    texts[5] = ""  # an empty paper: its author may only appear through padding
+    authors = [f"au{i % 7}" for i in range(60)]
+    authors[5] = "zz_only_empty"
+    corpus = spark.createDataFrame([(i, authors[i], t) for i, t in enumerate(texts)],
+                                   "doc_id long, author string, processed_text string")
+    index = fit_tfidf(corpus, min_df=2, max_df=0.9)
+    subs = spark.createDataFrame(
+        [(q, " ".join(rng.choice(vocab) for _ in range(rng.randint(1, 12)))) for q in range(25)]
+        + [(99, "unknownword another")], "query_id long, processed_text string")
+    block = sorted((r.query_id, r.rank, r.author, round(r.score, 9)) for r in
+                   recommend_tfidf(subs, index, k=9, scoring="block").collect())
+    join = sorted((r.query_id, r.rank, r.author, round(r.score, 9)) for r in
+                  recommend_tfidf(subs, index, k=9, scoring="join").collect())
+    assert block == join
+    assert len(block) == 26 * 8  # 8 authors in the corpus, k = 9
