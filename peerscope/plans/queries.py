@@ -21,11 +21,11 @@ from peerscope.operators.dense import (author_profiles, author_similarity, dense
 from peerscope.operators.evaluate import compare_methods, evaluate
 from peerscope.operators.exclusions import author_directory, excluded_authors, listed_authors
 from peerscope.operators.ranking import top_k
-from peerscope.operators.recommend import exclude_and_rerank, valid_submissions
+from peerscope.operators.recommend import recommend, valid_submissions
 from peerscope.operators.encode import hashed_counts
 from peerscope.operators.extract import (concat_pages, extract_text, failed_documents,
                                          page_stages)
-from peerscope.session import scratch_path
+from peerscope.session import materialize, scratch_path
 from peerscope.sources.index_io import load_index, save_index
 from peerscope.sources.sinks import export_csv, read_csv
 from peerscope.sources.vectors import align_vectors
@@ -205,7 +205,8 @@ class _Online:
     """
 
     def __init__(self, spark, sf_dir, k=K, overfetch=OVERFETCH):
-        corpus = documents_corpus(spark, sf_dir)
+        # read by the index, the alignment, the submissions and the directory
+        corpus = materialize(documents_corpus(spark, sf_dir))
         self.corpus = corpus
         self.index = fit_tfidf(corpus)
         vecs = read_table(spark, sf_dir, "embeddings").select(
@@ -234,11 +235,9 @@ class _Online:
 @query("q15_recommend_filtered")
 def q15_recommend_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _Online(spark, sf_dir)
-    excl = o.exclusions()
-    t = exclude_and_rerank(o.tfidf(o.fetch), excl, o.k).withColumn("method", F.lit("tfidf"))
-    d = exclude_and_rerank(o.dense(o.fetch), excl, o.k).withColumn("method", F.lit("embedding"))
-    return t.unionByName(d).select("query_id", "method", "rank", "author",
-                                   r6("score").alias("score"))
+    r = recommend(o.subs, o.index, o.dense_corpus, author_directory(o.corpus), k=o.k,
+                  overfetch=o.fetch - o.k)
+    return r.select("query_id", "method", "rank", "author", r6("score").alias("score"))
 
 
 @query("q19_align_vectors")

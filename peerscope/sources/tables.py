@@ -71,3 +71,18 @@ def embedding_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("label").cast("string").alias("author"),
         F.col("embedding").cast("array<double>").alias("embedding"),
     )
+
+
+def select_papers(corpus: DataFrame, ids: list[int] | None = None,
+                  paths: list[str] | None = None, id_col: str = "doc_id",
+                  path_col: str = "full_path") -> DataFrame:
+    """Point lookups: papers by position id and/or by full path (one row per path)."""
+    out = corpus
+    if ids is not None:
+        out = out.where(F.col(id_col).isin(list(ids)))
+    if paths is not None:
+        from pyspark.sql import Window
+        w = Window.partitionBy(path_col).orderBy(id_col)
+        out = (out.where(F.col(path_col).isin(list(paths)))
+                  .withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n"))
+    return out
