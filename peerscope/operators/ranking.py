@@ -79,3 +79,11 @@ def rank_single(scores: DataFrame, k: int = 5, author_col: str = "author") -> Da
     # k rows at most: numbering them in one window is free
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select(
         "rank", author_col, "score")
+
+
+def result_table(ranked: DataFrame, score_label: str = "Score",
+                 author_col: str = "author") -> DataFrame:
+    """Presentation projection: (Author, Score) in rank order columns."""
+    cols = [c for c in ("query_id", "rank") if c in ranked.columns]
+    return ranked.select(*cols, F.col(author_col).alias("Author"),
+                         F.col("score").alias(score_label))

@@ -12,6 +12,9 @@ from peerscope.operators.extract import Stage, extract_text, failed_documents, k
 from peerscope.sources.ids import with_dense_id
 
 
+INGEST_OBSERVATION = "ingest"
+
+
 def scan_corpus(spark: SparkSession, root: str, suffix: str = "*.pdf") -> DataFrame:
     """(full_path, author, paper, content, length): every matching file below ``root``.
 
@@ -54,6 +57,11 @@ def build_corpus(spark: SparkSession, root: str, stages: Sequence[Stage] | None
     """
     files = scan_corpus(spark, root, suffix)
     extracted = extract_text(files, stages or [utf8_stage()], source_col="content").drop("content")
+    # success / failure counts ride along with the first action, no extra pass
+    extracted = extracted.observe(
+        INGEST_OBSERVATION, F.count(F.lit(1)).alias("files"),
+        F.count_if(F.col("status") == "ok").alias("extracted"),
+        F.count_if(F.col("status") != "ok").alias("failed"))
     kept = with_dense_id(kept_documents(extracted), "full_path", "paper_id")
     corpus = kept.select(
         "paper_id", "author", "paper", "full_path", "raw_text",

@@ -42,3 +42,30 @@ def test_single_query_limit_form(spark):
     ranked = rank_single(s, 2)
     assert [(r.rank, r.author) for r in ranked.collect()] == [(1, "b"), (2, "c")]
     assert "TakeOrderedAndProject" in ranked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_r14_r15_author_list_sorted_distinct_without_placeholder(spark):
+    from peerscope.operators.ranking import author_list
+    docs = spark.createDataFrame([("b",), ("Unknown_Author",), ("a",), (None,), ("b",)], "author string")
+    assert [r.author for r in author_list(docs).collect()] == ["Unknown_Author", "a", "b"]
+    assert [r.author for r in author_list(docs, placeholder="Unknown_Author").collect()] == ["a", "b"]
+
+
+def test_r16_r17_point_lookups(spark):
+    from peerscope.sources.tables import select_papers
+    corpus = spark.createDataFrame([(0, "/x/a.pdf"), (1, "/x/b.pdf"), (2, "/x/b.pdf")],
+                                   "doc_id long, full_path string")
+    assert [r.doc_id for r in select_papers(corpus, ids=[2]).collect()] == [2]
+    assert [r.doc_id for r in select_papers(corpus, paths=["/x/b.pdf"]).collect()] == [1]
+
+
+def test_r18_k_bounds_and_r19_projection(spark):
+    import pytest
+    from peerscope.operators.ranking import result_table
+    from peerscope.operators.recommend import check_k
+    assert check_k(3) == 3 and check_k(20) == 20
+    for bad in (2, 21, 5.0, True):
+        with pytest.raises(ValueError):
+            check_k(bad)
+    ranked = spark.createDataFrame([(1, 1, "a", 0.5)], "query_id long, rank int, author string, score double")
+    assert result_table(ranked).columns == ["query_id", "rank", "Author", "Score"]
