@@ -136,3 +136,16 @@ def with_bigrams(words: Column | str) -> Column:
 def text_prefix(text: Column | str, length: int = 2000) -> Column:
     """First ``length`` characters, lowercased (name search window)."""
     return F.lower(F.substring(F.coalesce(as_column(text), F.lit("")), 1, length))
+
+
+def keep_rows(df, column: str, predicate):
+    """Rows of ``df`` where ``predicate(col(column))`` holds, evaluating the column once.
+
+    A plain ``where`` on a computed column is pushed below the projection
+    that computes it, and the (regex-heavy) expression is then evaluated
+    twice. A one-element ``explode`` cannot have filters pushed into it, and
+    Spark only infers generator filters for bare attributes.
+    """
+    marker = "_keep_" + column
+    kept = df.select("*", F.explode(F.filter(F.array(F.col(column)), predicate)).alias(marker))
+    return kept.drop(marker)

@@ -79,9 +79,15 @@ def extract_text(df: DataFrame, stages: Sequence[Stage], source_col: str | None
     for name, stage in stages:
         pending = F.col("_guard").isNull() & F.col("raw_text").isNull()
         if isinstance(stage, Column):
-            hit = pending & ~is_blank(stage)
-            out = out.withColumn("extractor", F.when(hit, F.lit(name)).otherwise(F.col("extractor")))
-            out = out.withColumn("raw_text", F.when(hit, stage).otherwise(F.col("raw_text")))
+            # the stage value is bound once to a lambda variable; coalesce
+            # evaluates a later stage only for rows still without text
+            found = F.get(F.transform(F.array(stage), lambda x: F.when(
+                ~is_blank(x), F.struct(x.alias("t"), F.lit(name).alias("e")))), 0)
+            hit = F.when(pending, found)
+            out = out.withColumn("_hit", hit)
+            out = (out.withColumn("raw_text", F.coalesce("raw_text", F.col("_hit.t")))
+                      .withColumn("extractor", F.coalesce("extractor", F.col("_hit.e")))
+                      .drop("_hit"))
             continue
         if source_col is None:
             raise ValueError("a Python stage needs source_col")
