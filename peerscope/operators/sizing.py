@@ -25,6 +25,8 @@ class Limits:
     dense_broadcast_bytes: int = 128 * 1024 * 1024
     # author-name rows for the nested-loop name match
     names_broadcast_rows: int = 2_000
+    # distinct name keys (first q characters) inlined as a hash-set filter
+    name_keys_inline: int = 50_000
 
 
 DEFAULT_LIMITS = Limits()
