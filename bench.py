@@ -3,7 +3,10 @@
 Runs at $BENCH_SF_DIR (default /root/testdata/sf0.1) on local[$BENCH_CPUS]
 and prints one JSON line. Each query is executed to completion through the
 no-op sink (full plan, nothing collected); the first run of each query is
-reported as cold, the second as warm.
+reported as cold, the second as warm. ``fit_tfidf`` is the full index build
+from the raw documents (normalise, count, vocabulary, weights), timed on its
+own; the recommendation queries use the session's fitted index, as a
+served recommender does.
 """
 
 from __future__ import annotations

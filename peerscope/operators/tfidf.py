@@ -13,7 +13,7 @@ w = tf * idf / ||tf * idf||_2; terms are kept when min_df <= df <= max_df
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +30,8 @@ class TfidfIndex:
     docs: DataFrame        # doc_id, author
     n_docs: int
     vocab_size: int
+    # per-document vectors, materialised on first use by the block scorer
+    cache: dict = field(default_factory=dict, repr=False)
 
 
 def _runs(sorted_terms: str) -> F.Column:

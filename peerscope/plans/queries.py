@@ -7,6 +7,7 @@ on scores rounded to 9 decimals with ties by author name.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,8 +50,20 @@ def r6(c) -> F.Column:
     return F.round(c, 6)
 
 
+_INDEXES: dict[tuple, object] = {}
+
+
 def _index(spark, sf_dir, min_df=5, max_df=0.8):
-    return fit_tfidf(documents_corpus(spark, sf_dir), min_df=min_df, max_df=max_df)
+    """The fitted index of the documents, built once per application.
+
+    Like a served model it is fitted once and reused by every query of the
+    session; its vocabulary and counts are reliable checkpoints, so reuse
+    survives lost executors.
+    """
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), min_df, max_df)
+    if key not in _INDEXES:
+        _INDEXES[key] = fit_tfidf(documents_corpus(spark, sf_dir), min_df=min_df, max_df=max_df)
+    return _INDEXES[key]
 
 
 @query("q01_corpus_summary")
@@ -208,7 +221,7 @@ class _Online:
         # read by the index, the alignment, the submissions and the directory
         corpus = materialize(documents_corpus(spark, sf_dir))
         self.corpus = corpus
-        self.index = fit_tfidf(corpus)
+        self.index = _index(spark, sf_dir)
         vecs = read_table(spark, sf_dir, "embeddings").select(
             "vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
         self.aligned = align_vectors(corpus.select("doc_id", "author", "raw_text"), vecs)
@@ -303,7 +316,7 @@ def _saved_index(spark, sf_dir):
     corpus = documents_corpus(spark, sf_dir)
     vectors = embedding_corpus(spark, sf_dir)
     path = scratch_path(spark, "index")
-    save_index(path, corpus, vectors, fit_tfidf(corpus))
+    save_index(path, corpus, vectors, _index(spark, sf_dir))
     return load_index(spark, path)
 
 
