@@ -50,11 +50,16 @@ def test_query_matches_oracle(spark, name):
     assert got == want
 
 
-def test_scoring_plan_broadcasts_query_side_and_limits_per_group(spark):
-    df = entry.queries()["q08_recommend_tfidf"](spark, SF)
-    plan = _plan(df)
+def test_ranking_scores_in_tasks_and_limits_per_group(spark):
+    plan = _plan(entry.queries()["q08_recommend_tfidf"](spark, SF))
+    assert "MapInPandas" in plan
+    assert "WindowGroupLimit" in plan
+
+
+def test_inverted_index_join_broadcasts_query_side(spark):
+    plan = _plan(entry.queries()["q07_sparse_cosine"](spark, SF))
     assert "BroadcastHashJoin" in plan
-    assert "WindowGroupLimit" in plan or "Window" in plan
+    assert "SortMergeJoin" not in plan
 
 
 def test_scan_prunes_columns(spark):
