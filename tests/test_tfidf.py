@@ -138,3 +138,28 @@ def test_block_scoring_equals_join_scoring(spark):
                   recommend_tfidf(subs, index, k=9, scoring="join").collect())
     assert block == join
     assert len(block) == 26 * 8  # 8 authors in the corpus, k = 9
+
+
+def test_block_kernel_chunked_and_batched_paths_agree(monkeypatch):
+    import pandas as pd
+
+    import peerscope.operators.sparse_block as sb
+
+    class BC:
+        def __init__(self, v):
+            self.value = v
+
+    qb = pd.DataFrame({"query_id": [1, 1, 2], "term_id": [10, 11, 11], "wq": [0.6, 0.8, 1.0]})
+    block = sb._query_block(qb, "query_id")
+    docs = pd.DataFrame({"author": ["a", "b", "a", "c"], "terms": [[10], [11], [10, 11], [12]],
+                         "weights": [[1.0], [1.0], [0.6, 0.8], [1.0]]})
+
+    def run(cells):
+        monkeypatch.setattr(sb, "_CELLS", cells)
+        out = pd.concat(list(sb._kernel("author", BC(block))(iter([docs]))))
+        return out.groupby(["query_id", "author"]).score.max().round(9).to_dict()
+
+    want = {(1, "a"): 1.0, (1, "b"): 0.8, (1, "c"): 0.0, (2, "a"): 0.8, (2, "b"): 1.0,
+            (2, "c"): 0.0}
+    assert run(4_000_000) == want
+    assert run(1) == want
