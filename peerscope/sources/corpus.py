@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from peerscope.functions.text import normalize_text
 from peerscope.operators.extract import Stage, extract_text, failed_documents, kept_documents
+from peerscope.operators.sizing import DEFAULT_LIMITS, broadcast_if
 from peerscope.sources.ids import with_dense_id
 
 
@@ -62,7 +63,12 @@ def build_corpus(spark: SparkSession, root: str, stages: Sequence[Stage] | None
         INGEST_OBSERVATION, F.count(F.lit(1)).alias("files"),
         F.count_if(F.col("status") == "ok").alias("extracted"),
         F.count_if(F.col("status") != "ok").alias("failed"))
-    kept = with_dense_id(kept_documents(extracted), "full_path", "paper_id")
+    kept = kept_documents(extracted)
+    # only the narrow path column is sorted to number the papers; the texts
+    # meet their ids through a size-checked broadcast join
+    ids = with_dense_id(kept.select("full_path"), "full_path", "paper_id")
+    n = ids.count()
+    kept = kept.join(broadcast_if(ids, n, DEFAULT_LIMITS.norm_broadcast_rows), "full_path")
     corpus = kept.select(
         "paper_id", "author", "paper", "full_path", "raw_text",
         normalize_text("raw_text").alias("processed_text"), "extractor")
