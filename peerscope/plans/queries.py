@@ -14,25 +14,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peerscope.functions.text import normalize_text
-from peerscope.operators.recommend import excluded_by_score, recommend_tfidf
-from peerscope.operators.ranking import padding_candidates, rank_single
-from peerscope.operators.tfidf import fit_tfidf, sparse_cosine, term_counts, transform_tfidf
 from peerscope.operators.dense import (author_profiles, author_similarity, dense_author_scores,
                                       recommend_dense, similar_authors)
+from peerscope.operators.encode import hashed_counts
 from peerscope.operators.evaluate import compare_methods, evaluate
 from peerscope.operators.exclusions import author_directory, excluded_authors, listed_authors
-from peerscope.operators.ranking import top_k
-from peerscope.operators.recommend import recommend, valid_submissions
-from peerscope.operators.encode import hashed_counts
 from peerscope.operators.extract import (concat_pages, extract_text, failed_documents,
                                          page_stages)
+from peerscope.operators.ranking import padding_candidates, rank_single
+from peerscope.operators.recommend import (excluded_by_score, recommend, recommend_tfidf,
+                                           valid_submissions)
+from peerscope.operators.tfidf import fit_tfidf, sparse_cosine, term_counts, transform_tfidf
 from peerscope.session import materialize, scratch_path
 from peerscope.sources.index_io import load_index, save_index
 from peerscope.sources.sinks import export_csv, read_csv
-from peerscope.sources.vectors import align_vectors
-from peerscope.streaming.recommendations import stream_recommendations
 from peerscope.sources.tables import (benchmark_submissions, documents_corpus, embedding_corpus,
                                       read_table)
+from peerscope.sources.vectors import align_vectors
+from peerscope.streaming.recommendations import stream_recommendations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 K = 5
