@@ -59,3 +59,16 @@ def test_author_directory_lowest_doc_smallest_long_word(spark):
         [(3, "a", "zebras apples"), (1, "a", "short bigword another"), (2, "b", "tiny")],
         "doc_id long, author string, processed_text string")
     assert [tuple(r) for r in author_directory(corpus).collect()] == [("a", "another")]
+
+
+def test_broadcast_bound_falls_back_to_exact_blocked_plans(spark):
+    from peerscope.operators.sizing import Limits
+    subs = _subs(spark, [(1, "Alpha beta g"), (2, "xyz"), (3, "")])
+    directory = _dir(spark, [("e", ""), ("one", "g"), ("two", "be"), ("long", "alpha"),
+                             ("none", "qq"), ("nul", None)])
+    small = Limits(names_broadcast_rows=1)
+    wide = listed_authors(subs, directory, method="broadcast")
+    fallback = listed_authors(subs, directory, method="broadcast", limits=small)
+    a = sorted((r.query_id, r.author) for r in wide.collect())
+    b = sorted((r.query_id, r.author) for r in fallback.collect())
+    assert a == b == [(1, "e"), (1, "long"), (1, "one"), (1, "two"), (2, "e"), (3, "e")]
