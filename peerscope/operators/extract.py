@@ -107,27 +107,38 @@ def extract_text(df: DataFrame, stages: Sequence[Stage], source_col: str | None
 
 def concat_pages(pages: DataFrame, doc_col: str = "doc_id", page_col: str = "page_no",
                  text_col: str = "text", error_col: str | None = None,
-                 on_page_error: str = "skip") -> DataFrame:
+                 on_page_error: str = "skip", pages_per_block: int = 1024) -> DataFrame:
     """(doc_id, n_pages, text): page texts joined in page order, no separator.
 
     With ``error_col``, a failed page is dropped (``on_page_error='skip'``)
     or fails the whole document, whose text is then NULL (``'fail'``).
+    Two levels, so a document with a huge number of pages is not ordered
+    and merged in a single task: runs of ``pages_per_block`` consecutive
+    page numbers are concatenated in parallel (key: document, block), then
+    the block strings are joined in block order.
     """
+    if on_page_error not in ("skip", "fail"):
+        raise ValueError("on_page_error must be 'skip' or 'fail'")
     p = pages
-    agg = [F.count(F.lit(1)).alias("n_pages"),
-           F.expr(f"listagg({text_col}, '') WITHIN GROUP (ORDER BY {page_col})").alias("text")]
-    if error_col is not None:
-        failed = F.col(error_col).isNotNull()
-        if on_page_error == "skip":
-            p = p.where(~failed)
-        elif on_page_error == "fail":
-            agg.append(F.count_if(failed).alias("_failed"))
-        else:
-            raise ValueError("on_page_error must be 'skip' or 'fail'")
-    out = p.groupBy(doc_col).agg(*agg)
+    failed = F.col(error_col).isNotNull() if error_col is not None else F.lit(False)
+    if error_col is not None and on_page_error == "skip":
+        p = p.where(~failed)
+    block = F.floor(F.col(page_col) / F.lit(pages_per_block)).alias("_block")
+    blocks = p.groupBy(doc_col, block).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if(failed).alias("_failed"),
+        F.count(text_col).alias("_texts"),
+        F.expr(f"listagg({text_col}, '') WITHIN GROUP (ORDER BY {page_col})").alias("_t"))
+    out = blocks.groupBy(doc_col).agg(
+        F.sum("_n").alias("n_pages"),
+        F.sum("_failed").alias("_failed"),
+        F.sum("_texts").alias("_texts"),
+        F.expr("listagg(_t, '') WITHIN GROUP (ORDER BY _block)").alias("text"))
+    # no page text at all -> NULL, as a single-level string aggregate gives
+    text = F.when(F.col("_texts") > 0, F.col("text"))
     if error_col is not None and on_page_error == "fail":
-        out = out.withColumn("text", F.when(F.col("_failed") == 0, F.col("text"))).drop("_failed")
-    return out
+        text = F.when(F.col("_failed") == 0, text)
+    return out.select(doc_col, "n_pages", text.alias("text"))
 
 
 def failed_documents(extracted: DataFrame, id_cols: Sequence[str]) -> DataFrame:

@@ -93,3 +93,10 @@ def test_x25_compare_lists_of_different_length(spark):
     rows = compare_methods(a, b).orderBy("rank").collect()
     assert [r.rank for r in rows] == [1, 2, 3, 4, 5]
     assert [r.tfidf_author for r in rows] == ["t1", "t2", "t3", None, None]
+
+
+def test_concat_pages_across_blocks_keeps_page_order(spark):
+    rows = [(1, p, chr(ord("a") + p)) for p in [7, 0, 3, 1, 6, 2, 5, 4]] + [(2, 0, None)]
+    pages = spark.createDataFrame(rows, "doc_id long, page_no int, text string")
+    got = {r.doc_id: (r.n_pages, r.text) for r in concat_pages(pages, pages_per_block=2).collect()}
+    assert got == {1: (8, "abcdefgh"), 2: (1, None)}
