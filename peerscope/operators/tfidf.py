@@ -34,20 +34,15 @@ class TfidfIndex:
     cache: dict = field(default_factory=dict, repr=False)
 
 
-def _runs(sorted_terms: str) -> F.Column:
-    """Start of every run of equal values in a sorted array: struct(term, pos)."""
-    tagged = F.transform(sorted_terms, lambda x, i: F.struct(x.alias("term"), i.alias("pos")))
-    return F.filter(tagged, lambda r, i: (i == 0) | (r["term"] != F.get(F.col(sorted_terms), i - 1)))
-
-
 def term_counts(corpus: DataFrame, id_col: str = "doc_id", author_col: str | None = "author",
                 text_col: str = "processed_text", ngram_max: int = 2) -> DataFrame:
     """Raw count of every 1/2-gram per document: (doc_id[, author], term, tf).
 
-    Counted inside the document's row: the n-grams are sorted and every run
-    of equal terms becomes one (term, run length) entry. No shuffle is
-    needed, and all rows of a document stay in the partition of its input
-    row, so later per-document aggregates collapse before their exchange.
+    Counted inside the document's row: the n-grams are sorted, the positions
+    where the term changes start a run, and each run becomes one (term, run
+    length) entry. No shuffle is needed, and all rows of a document stay in
+    the partition of its input row, so later per-document aggregates
+    collapse before their exchange.
     """
     if ngram_max not in (1, 2):
         raise ValueError("ngram_max must be 1 or 2")
@@ -57,12 +52,15 @@ def term_counts(corpus: DataFrame, id_col: str = "doc_id", author_col: str | Non
     words = corpus.select(*keys, model_tokens(text_col).alias("_words"))
     terms = with_bigrams("_words") if ngram_max == 2 else F.col("_words")
     srt = words.select(*keys, F.sort_array(terms).alias("_sorted"))
-    runs = srt.select(*keys, "_sorted", _runs("_sorted").alias("_runs"))
-    counted = F.transform("_runs", lambda r, j: F.struct(
-        r["term"].alias("term"),
-        (F.coalesce(F.get(F.col("_runs"), j + 1)["pos"], F.size("_sorted")) - r["pos"])
-        .cast("long").alias("tf")))
-    return runs.select(*keys, F.explode(counted).alias("_tc")).select(
+    s, n = F.col("_sorted"), F.size("_sorted")
+    # sequence(0, -1) would count down: empty documents get no positions
+    positions = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    starts = srt.select(*keys, "_sorted", F.filter(
+        positions, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))).alias("_starts"))
+    counted = F.transform("_starts", lambda p, j: F.struct(
+        F.get(s, p).alias("term"),
+        (F.coalesce(F.get(F.col("_starts"), j + 1), n) - p).cast("long").alias("tf")))
+    return starts.select(*keys, F.explode(counted).alias("_tc")).select(
         *keys, F.col("_tc.term").alias("term"), F.col("_tc.tf").alias("tf"))
 
 
