@@ -70,3 +70,15 @@ def test_scan_prunes_columns(spark):
 
 def test_name_match_is_nested_loop_broadcast(spark):
     assert "BroadcastNestedLoopJoin" in _plan(entry.queries()["q13_listed_authors"](spark, SF))
+
+
+def test_no_query_plans_a_cartesian_product(spark):
+    bad = []
+    for name, fn in entry.queries().items():
+        plan = _plan(fn(spark, SF))
+        if "CartesianProduct" in plan:
+            bad.append(name)
+        for line in plan.splitlines():
+            if "NestedLoopJoin" in line and "BroadcastNestedLoopJoin" not in line:
+                bad.append(name)
+    assert bad == []
