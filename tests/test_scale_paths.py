@@ -1,0 +1,67 @@
+"""The paths taken beyond the broadcast bounds give the same results."""
+
+import random
+
+import pytest
+
+from peerscope.operators.dense import dense_author_scores, similar_authors, author_profiles
+from peerscope.operators.recommend import recommend_tfidf
+from peerscope.operators.sizing import Limits
+from peerscope.operators.tfidf import fit_tfidf, sparse_cosine, transform_tfidf
+from peerscope.sources.ids import with_dense_id
+
+TINY = Limits(vocab_broadcast_rows=3, norm_broadcast_rows=3, query_broadcast_rows=7,
+              dense_broadcast_bytes=64, names_broadcast_rows=1)
+
+
+def _tfidf_inputs(spark):
+    rng = random.Random(11)
+    vocab = ["alpha", "beta", "gamma", "delta", "omega", "theta", "kappa"]
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(1, 20))) for _ in range(40)]
+    corpus = spark.createDataFrame([(i, f"au{i % 5}", t) for i, t in enumerate(texts)],
+                                   "doc_id long, author string, processed_text string")
+    subs = spark.createDataFrame(
+        [(q, " ".join(rng.choice(vocab) for _ in range(rng.randint(1, 8)))) for q in range(12)],
+        "query_id long, processed_text string")
+    return corpus, subs
+
+
+def test_tfidf_blocks_and_shuffle_joins_equal_broadcast_plans(spark):
+    corpus, subs = _tfidf_inputs(spark)
+    wide = fit_tfidf(corpus, min_df=2, max_df=0.95)
+    narrow = fit_tfidf(corpus, min_df=2, max_df=0.95, limits=TINY)
+    a = sorted((r.doc_id, r.term, round(r.weight, 12)) for r in wide.postings.collect())
+    b = sorted((r.doc_id, r.term, round(r.weight, 12)) for r in narrow.postings.collect())
+    assert a == b
+    for scoring in ("block", "join"):
+        x = sorted(tuple(r) for r in recommend_tfidf(subs, wide, k=4, scoring=scoring).collect())
+        y = sorted(tuple(r) for r in
+                   recommend_tfidf(subs, narrow, k=4, scoring=scoring, limits=TINY).collect())
+        assert [(q, k, au) for q, k, au, _ in x] == [(q, k, au) for q, k, au, _ in y]
+        assert [s for *_, s in x] == pytest.approx([s for *_, s in y])
+    qv = transform_tfidf(subs, wide)
+    p1 = {(r.query_id, r.doc_id): r.score for r in sparse_cosine(qv, wide).collect()}
+    p2 = {(r.query_id, r.doc_id): r.score for r in sparse_cosine(qv, wide, limits=TINY).collect()}
+    assert p1.keys() == p2.keys() and all(p1[k] == pytest.approx(p2[k]) for k in p1)
+
+
+def test_dense_query_blocks_equal_one_block(spark):
+    rng = random.Random(5)
+    rows = [(i, f"a{i % 4}", [rng.uniform(-1, 1) for _ in range(3)]) for i in range(30)]
+    corpus = spark.createDataFrame(rows, "paper_id long, author string, embedding array<double>")
+    queries = corpus.withColumnRenamed("paper_id", "query_id").select("query_id", "embedding")
+    one = {(r.query_id, r.author): r.score for r in dense_author_scores(queries, corpus).collect()}
+    many = {(r.query_id, r.author): r.score for r in
+            dense_author_scores(queries, corpus, limits=TINY).collect()}
+    assert one.keys() == many.keys() and all(one[k] == pytest.approx(many[k]) for k in one)
+    prof = author_profiles(corpus)
+    s1 = sorted(tuple(r)[:3] for r in similar_authors(prof, k=2).collect())
+    s2 = sorted(tuple(r)[:3] for r in similar_authors(prof, k=2, limits=TINY).collect())
+    assert s1 == s2
+
+
+def test_dense_ids_are_positions_across_partitions(spark):
+    df = spark.range(0, 1000, numPartitions=7).selectExpr("cast(999 - id as string) as k") \
+        .selectExpr("lpad(k, 4, '0') as k")
+    got = sorted((r.paper_id, r.k) for r in with_dense_id(df, "k").collect())
+    assert got == [(i, f"{i:04d}") for i in range(1000)]
