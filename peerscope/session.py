@@ -37,6 +37,11 @@ def get_session(master: str | None = None, app_name: str = "peerscope",
                                      os.environ.get("PEERSCOPE_DRIVER_MEMORY", "16g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    event_log = os.environ.get("PEERSCOPE_EVENT_LOG")
+    if event_log:
+        # stage and task times without the web UI: read the JSON event log
+        builder = (builder.config("spark.eventLog.enabled", "true")
+                   .config("spark.eventLog.dir", event_log))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
