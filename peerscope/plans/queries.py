@@ -29,7 +29,7 @@ from peerscope.session import materialize, scratch_path
 from peerscope.sources.index_io import load_index, save_index
 from peerscope.sources.sinks import export_csv, read_csv
 from peerscope.sources.tables import (benchmark_submissions, documents_corpus, embedding_corpus,
-                                      read_table)
+                                      read_table, spread)
 from peerscope.sources.vectors import align_vectors
 from peerscope.streaming.recommendations import stream_recommendations
 
@@ -67,7 +67,7 @@ def _index(spark, sf_dir, min_df=5, max_df=0.8):
 
 @query("q01_corpus_summary")
 def q01_corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents")
+    d = spread(read_table(spark, sf_dir, "documents"), "doc_id")
     ok = F.col("text").isNotNull() & (F.col("text") != "")
     processed = normalize_text("text")
     return d.groupBy(F.col("source").alias("author")).agg(
