@@ -51,8 +51,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
     Read from the session (``SparkContext.getCheckpointDir`` or the
-    ``spark.checkpoint.dir`` setting). Only when neither is set, as in a
-    bare local test session, a private folder is created.
+    ``spark.checkpoint.dir`` setting). Only when neither is set and the
+    master is local, as in a bare test session, a private folder is
+    created; on a cluster the setting is required.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -61,6 +62,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            # a machine-local folder is not shared by the executors of a cluster
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         configured = tempfile.mkdtemp(prefix="peerscope-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
