@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from peerscope.llm.common import table
 from peerscope.llm.line_dedup import dedup_lines
 from peerscope.llm.mixing import mix_sources
+from peerscope.llm.ngram_join import ngram_components
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,9 +24,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_line_dedup": op2_line_dedup,
+    "op7_ngram_join": op7_ngram_join,
 }
 
 _LINE_DEDUP_SQL = r"""
