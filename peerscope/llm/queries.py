@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peerscope.llm.common import table
+from peerscope.llm.common import held_out, table
 from peerscope.llm.line_dedup import dedup_lines
 from peerscope.llm.mixing import mix_sources
 from peerscope.llm.ngram_join import ngram_components
+from peerscope.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +25,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return (score_toxicity(docs, model)
+            .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                    (F.col("score") >= THRESHOLD).cast("int").alias("predicted")))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
@@ -31,6 +40,7 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_line_dedup": op2_line_dedup,
+    "op4_toxicity": op4_toxicity,
     "op7_ngram_join": op7_ngram_join,
 }
 
