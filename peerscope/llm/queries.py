@@ -7,11 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from peerscope.llm.bpe import bpe_encode
 from peerscope.llm.common import held_out, table
 from peerscope.llm.line_dedup import dedup_lines
 from peerscope.llm.mixing import mix_sources
 from peerscope.llm.ngram_join import ngram_components
+from peerscope.llm.token_store import read_tokens, token_checksums, write_tokens
 from peerscope.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
+from peerscope.session import scratch_path
+
+
+def tokenizer_file(name: str) -> str:
+    """A public tokenizer file of this machine (the same place on every executor)."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,11 +46,27 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens-orc")
+    write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"))
+    return token_checksums(read_tokens(spark, path))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe_encode(docs, tokenizer_file("word_bpe_49k.json"))
+    return coded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_line_dedup": op2_line_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_token_store": op5_token_store,
     "op7_ngram_join": op7_ngram_join,
+    "op8_bpe": op8_bpe,
 }
 
 _LINE_DEDUP_SQL = r"""
