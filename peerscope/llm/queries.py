@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from peerscope.llm.bpe import bpe_encode
 from peerscope.llm.common import held_out, table
+from peerscope.llm.html_text import extract_main_text
+from peerscope.llm.language_id import fit_language, predict_language
 from peerscope.llm.line_dedup import dedup_lines
 from peerscope.llm.mixing import mix_sources
 from peerscope.llm.ngram_join import ngram_components
@@ -60,6 +62,18 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    predicted = predict_language(docs.select("doc_id", "text"), fit_language(docs))
+    return predicted.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_main_text(pages).select("page_id", "url", "text",
+                                           F.char_length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_line_dedup": op2_line_dedup,
@@ -67,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_store": op5_token_store,
     "op7_ngram_join": op7_ngram_join,
     "op8_bpe": op8_bpe,
+    "op9_language_id": op9_language_id,
+    "op10_html_text": op10_html_text,
 }
 
 _LINE_DEDUP_SQL = r"""
