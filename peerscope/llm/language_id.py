@@ -28,7 +28,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from peerscope.llm.bpe import batches_by_size
 from peerscope.llm.common import held_out
 
-HIDDEN = 12
+HIDDEN = 8
 WINDOW = 128
 PER_LANGUAGE = 400
 MAX_LANGUAGES = 200
@@ -140,8 +140,8 @@ class ByteGru:
         return loss, g
 
 
-def train(windows: list[bytes], labels: list[int], classes: int, steps: int = 240, width: int = 96,
-          rate: float = 0.02, seed: int = 5) -> ByteGru:
+def train(windows: list[bytes], labels: list[int], classes: int, steps: int = 300, width: int = 96,
+          rate: float = 0.03, seed: int = 5) -> ByteGru:
     """Adam over random minibatches that draw every class equally often."""
     net, rng = ByteGru(classes), np.random.default_rng(seed)
     y = np.array(labels)

@@ -45,7 +45,7 @@ from peerscope.llm.common import free_name, union_all, written
 from peerscope.llm.components import connected_components
 from peerscope.llm.shingles import WordHashes, shingle_set
 
-COUNT_BITS = 20          # the count table: 2**20 counters of 4 bytes, at every input size
+COUNT_BITS = 22          # the count table: 2**22 counters of 4 bytes, at every input size
 _COUNT_SLICES = 64
 _FLUSH = 1 << 20
 _MEMBERS_PER_SALT = 64
@@ -99,7 +99,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
             names=["doc_id", "n", "cls", "bits", "slice", "counts"])
     if counts.any():
-        parts = counts.reshape(_COUNT_SLICES, -1)
+        parts = np.minimum(counts, 2**16 - 1).astype(np.uint16).reshape(_COUNT_SLICES, -1)
         k = _COUNT_SLICES
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
@@ -109,7 +109,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sum_slices(rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(c, np.int32).astype(np.int64) for c in rows["counts"])
+    total = sum(np.frombuffer(c, np.uint16).astype(np.int64) for c in rows["counts"])
     return pd.DataFrame({"slice": rows["slice"].iloc[:1],
                          "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
 
@@ -243,22 +243,64 @@ def _decide(percent: int):
     return run
 
 
+def _group_pairs(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of index pairs (i < j) of equal keys in a sorted array, about ``_FLUSH`` at a time."""
+    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    length = np.diff(np.append(start, len(keys)))
+    for m in np.unique(length[length > 1]):
+        groups = start[length == m]
+        if m * m <= _FLUSH:
+            i, j = np.triu_indices(m, 1)
+            step = max(1, _FLUSH // len(i))
+            for at in range(0, len(groups), step):
+                base = groups[at:at + step, None]
+                yield (base + i).ravel(), (base + j).ravel()
+        else:
+            for base in groups:
+                for i in range(m - 1):
+                    yield np.full(m - 1 - i, base + i), np.arange(base + i + 1, base + m)
+
+
+def _likely(a: np.ndarray, b: np.ndarray, n: np.ndarray, bits: list[bytes], percent: int) -> np.ndarray:
+    """Which pairs of class positions the bitmap bound lets through."""
+    width = np.array([len(x) for x in bits])
+    keep = np.zeros(len(a), bool)
+    tables, place = {}, np.zeros(len(bits), np.int64)
+    for w in np.unique(width):
+        own = np.flatnonzero(width == w)
+        place[own] = np.arange(len(own))
+        tables[w] = np.frombuffer(b"".join(bits[i] for i in own), np.uint64).reshape(len(own), -1)
+    low, high = np.minimum(width[a], width[b]), np.maximum(width[a], width[b])
+    for w, v in {*zip(low.tolist(), high.tolist())}:
+        for at in np.array_split(np.flatnonzero((low == w) & (high == v)), max(1, len(a) // 100_000)):
+            small = np.where(width[a[at]] == w, a[at], b[at])
+            large = a[at] + b[at] - small
+            x, y = tables[w][place[small]], tables[v][place[large]]
+            if v > w:
+                y = np.bitwise_xor.reduce(y.reshape(len(y), v // w, -1), axis=1)
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            n_a, n_b = n[a[at]], n[b[at]]
+            overlap = np.minimum((n_a + n_b - differ) // 2, np.minimum(n_a, n_b))
+            keep[at] = 100 * overlap >= percent * (n_a + n_b - overlap)
+    return keep
+
+
 def _cross_pairs(percent: int):
     """Task function: all pairs of one tile between different components within the bounds."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for _, group in rows.groupby("key", sort=False):
-            if group["root"].nunique() < 2:
-                continue
-            g = group.sort_values("n")
-            cls, root, n = g["a"].to_numpy(), g["root"].to_numpy(), g["n"].to_numpy()
-            bits = g["bits"].tolist()
-            for i in range(len(g)):
-                top = np.searchsorted(n, n[i] * 100 // percent, "right")
-                for j in i + 1 + np.flatnonzero(root[i + 1:top] != root[i]):
-                    if may_link(int(n[i]), int(n[j]), differing_bits(bits[i], bits[j]), percent):
-                        found.append((min(cls[i], cls[j]), max(cls[i], cls[j])))
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"]).astype("int64")
+        rows = rows.sort_values("key", ignore_index=True)
+        classes, first, of = np.unique(rows["a"].to_numpy(), return_index=True, return_inverse=True)
+        n, root = rows["n"].to_numpy()[first], rows["root"].to_numpy()[first]
+        bits = rows["bits"].iloc[first].tolist()
+        found = np.empty(0, np.int64)
+        for i, j in _group_pairs(rows["key"].to_numpy()):
+            a, b = np.minimum(of[i], of[j]), np.maximum(of[i], of[j])
+            fit = ((root[a] != root[b])
+                   & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])))
+            found = np.union1d(found, a[fit] * len(classes) + b[fit])
+        a, b = found // len(classes), found % len(classes)
+        keep = _likely(a, b, n, bits, percent)
+        return pd.DataFrame({"a": classes[a[keep]], "b": classes[b[keep]]}).astype("int64")
     return run
 
 
@@ -326,7 +368,7 @@ def ngram_components(docs: DataFrame, percent: int = 75, star_rounds: int = 2,
     slices = (profile.where("slice is not null").select("slice", "counts").groupBy("slice")
               .applyInPandas(_sum_slices, "slice int, counts binary"))
     counts = np.zeros((_COUNT_SLICES, (1 << COUNT_BITS) // _COUNT_SLICES), np.int32)
-    for row in slices.collect():       # a table of fixed size: 4 MB in all
+    for row in slices.collect():       # a table of fixed size: 16 MB in all
         counts[row["slice"]] = np.frombuffer(row["counts"], np.int32)
     order = docs.sparkSession.sparkContext.broadcast(counts.ravel())
 
