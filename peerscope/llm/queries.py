@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from peerscope.llm.ann_graph import nearest_neighbours, valid_vectors
 from peerscope.llm.bpe import bpe_encode
 from peerscope.llm.common import held_out, table
 from peerscope.llm.html_text import extract_main_text
@@ -36,6 +37,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = valid_vectors(table(spark, sf_dir, "embeddings"))
+    return nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -77,6 +83,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_line_dedup": op2_line_dedup,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_toxicity": op4_toxicity,
     "op5_token_store": op5_token_store,
     "op7_ngram_join": op7_ngram_join,
