@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peerscope.llm.ann_graph import nearest_neighbours, valid_vectors
+from peerscope.llm.bm25_search import bm25_top_k
 from peerscope.llm.bpe import bpe_encode
 from peerscope.llm.common import held_out, table
 from peerscope.llm.html_text import extract_main_text
@@ -50,6 +51,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("score") >= THRESHOLD).cast("int").alias("predicted")))
 
 
+def op6_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    queries = docs.where(F.col("doc_id") % 100 == 0).withColumnRenamed("doc_id", "query_id")
+    return bm25_top_k(docs, queries).withColumn("score", F.round("score", 6))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
@@ -86,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_toxicity": op4_toxicity,
     "op5_token_store": op5_token_store,
+    "op6_bm25_top_k": op6_bm25_top_k,
     "op7_ngram_join": op7_ngram_join,
     "op8_bpe": op8_bpe,
     "op9_language_id": op9_language_id,
@@ -113,6 +121,32 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+_BM25_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(string_split_regex(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+')) AS term
+  FROM documents WHERE text IS NOT NULL),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM words WHERE term <> '' GROUP BY doc_id, term),
+len AS (SELECT doc_id, sum(tf) AS len FROM tf GROUP BY doc_id),
+size AS (SELECT count(*) AS n, avg(len) AS average FROM len),
+idf AS (SELECT term, ln(1 + ((SELECT n FROM size) - count(*) + 0.5) / (count(*) + 0.5)) AS idf
+        FROM tf GROUP BY term),
+weight AS (
+  SELECT tf.doc_id, tf.term,
+         idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (SELECT average FROM size))) AS w
+  FROM tf JOIN len ON tf.doc_id = len.doc_id JOIN idf ON tf.term = idf.term),
+scored AS (
+  SELECT q.doc_id AS query_id, d.doc_id, round(sum(d.w), 9) AS score
+  FROM tf q JOIN weight d ON q.term = d.term
+  WHERE q.doc_id % 100 = 0 AND q.doc_id <> d.doc_id
+  GROUP BY q.doc_id, d.doc_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)
+SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ranked WHERE rank <= 10
+"""
+
 ORACLE: dict[str, str] = {
     "op2_line_dedup": _LINE_DEDUP_SQL,
+    "op6_bm25_top_k": _BM25_SQL,
 }
