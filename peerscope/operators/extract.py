@@ -1,17 +1,21 @@
 """Staged text extraction, page concatenation, dead letters, ingest summary.
 
 A stage is either a Column expression (evaluated in the JVM) or a Python
-function ``pandas.Series -> pandas.Series`` over the raw column (run as an
-Arrow-batched pandas UDF). Stages are tried in order; the first output
-holding a non-whitespace character wins. Python stages only see the rows
-still without text: the frame is split, the stage runs on the pending
-rows, and the two halves are unioned again (no shuffle).
+function ``pandas.Series -> pandas.Series`` over the raw column. Stages are
+tried in order; the first output holding a non-whitespace character wins.
+Neighbouring Python stages run in one Arrow-batched pandas UDF, each on the
+rows of the batch that are still without text. A stage that raises, or takes
+longer than ``timeout_s`` for a row, gives that row no text and the next stage
+goes on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import signal
+import threading
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,8 +67,62 @@ def page_stages(html: str = "html") -> list[Stage]:
             ("title", title_stage(html))]
 
 
+def _run_limited(stage, values: pd.Series, timeout_s: float | None) -> pd.Series:
+    """The stage's output; a raised error or a passed time limit is raised here."""
+    if not timeout_s or threading.current_thread() is not threading.main_thread():
+        return stage(values)
+
+    def stop(*_):
+        raise TimeoutError(f"no result within {timeout_s} s")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, timeout_s)
+    try:
+        return stage(values)
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def _tolerant(stage, values: pd.Series, timeout_s: float | None) -> list:
+    """Stage output per row, None where it failed: the batch at once, or row by row."""
+    if not timeout_s:
+        try:
+            return list(stage(values))
+        except Exception:  # noqa: BLE001 - a failed stage is a stage without text
+            if len(values) == 1:
+                return [None]
+    out = []
+    for i in range(len(values)):
+        try:
+            out.append(list(_run_limited(stage, values.iloc[i:i + 1], timeout_s))[0])
+        except Exception:  # noqa: BLE001
+            out.append(None)
+    return out
+
+
+def _python_stages(stages: Sequence[Stage], timeout_s: float | None):
+    """One pandas UDF (source, pending) -> struct(t, e) for a run of Python stages."""
+    def run(source: pd.Series, pending: pd.Series) -> pd.DataFrame:
+        texts, names = [None] * len(source), [None] * len(source)
+        todo = [i for i, p in enumerate(pending) if p]
+        for name, stage in stages:
+            if not todo:
+                break
+            found = _tolerant(stage, source.iloc[todo], timeout_s)
+            hit = [isinstance(t, str) and bool(t.strip()) for t in found]
+            for i, t, h in zip(todo, found, hit):
+                if h:
+                    texts[i], names[i] = t, name
+            todo = [i for i, h in zip(todo, hit) if not h]
+        return pd.DataFrame({"t": texts, "e": names}, dtype=object)
+
+    return F.pandas_udf(run, "t string, e string").asNondeterministic()
+
+
 def extract_text(df: DataFrame, stages: Sequence[Stage], source_col: str | None = None,
-                 guards: Sequence[tuple[str, Column]] = ()) -> DataFrame:
+                 guards: Sequence[tuple[str, Column]] = (),
+                 timeout_s: float | None = None) -> DataFrame:
     """Add ``raw_text`` ('' when nothing was found), ``extractor`` and ``status``.
 
     ``guards`` are (status, predicate) pairs checked first: a row matching
@@ -76,7 +134,15 @@ def extract_text(df: DataFrame, stages: Sequence[Stage], source_col: str | None
         guard_status = F.when(pred, F.lit(name)).otherwise(guard_status)
     out = df.withColumn("_guard", guard_status).withColumn(
         "raw_text", F.lit(None).cast("string")).withColumn("extractor", F.lit(None).cast("string"))
-    for name, stage in stages:
+    runs: list[list[Stage]] = []
+    for item in stages:
+        python = not isinstance(item[1], Column)
+        if python and runs and not isinstance(runs[-1][0][1], Column):
+            runs[-1].append(item)
+        else:
+            runs.append([item])
+    for run in runs:
+        name, stage = run[0]
         pending = F.col("_guard").isNull() & F.col("raw_text").isNull()
         if isinstance(stage, Column):
             # the stage value is bound once to a lambda variable; coalesce
@@ -84,20 +150,14 @@ def extract_text(df: DataFrame, stages: Sequence[Stage], source_col: str | None
             found = F.get(F.transform(F.array(stage), lambda x: F.when(
                 ~is_blank(x), F.struct(x.alias("t"), F.lit(name).alias("e")))), 0)
             hit = F.when(pending, found)
-            out = out.withColumn("_hit", hit)
-            out = (out.withColumn("raw_text", F.coalesce("raw_text", F.col("_hit.t")))
-                      .withColumn("extractor", F.coalesce("extractor", F.col("_hit.e")))
-                      .drop("_hit"))
-            continue
-        if source_col is None:
-            raise ValueError("a Python stage needs source_col")
-        udf = F.pandas_udf(stage, "string")
-        done = out.where(~pending)
-        todo = out.where(pending).withColumn("_s", udf(F.col(source_col)))
-        hit = ~is_blank("_s")
-        todo = (todo.withColumn("extractor", F.when(hit, F.lit(name)))
-                    .withColumn("raw_text", F.when(hit, F.col("_s"))).drop("_s"))
-        out = done.unionByName(todo)
+        else:
+            if source_col is None:
+                raise ValueError("a Python stage needs source_col")
+            hit = _python_stages(run, timeout_s)(F.col(source_col), pending)
+        out = out.withColumn("_hit", hit)
+        out = (out.withColumn("raw_text", F.coalesce("raw_text", F.col("_hit.t")))
+                  .withColumn("extractor", F.coalesce("extractor", F.col("_hit.e")))
+                  .drop("_hit"))
     status = (F.when(F.col("_guard").isNotNull(), F.col("_guard"))
                .when(F.col("raw_text").isNull(), F.lit("no_text")).otherwise(F.lit("ok")))
     return (out.withColumn("status", status)
@@ -110,7 +170,8 @@ def concat_pages(pages: DataFrame, doc_col: str = "doc_id", page_col: str = "pag
                  on_page_error: str = "skip", pages_per_block: int = 1024) -> DataFrame:
     """(doc_id, n_pages, text): page texts joined in page order, no separator.
 
-    With ``error_col``, a failed page is dropped (``on_page_error='skip'``)
+    With ``error_col``, a failed page is left out (``on_page_error='skip'``;
+    with no page left the text is '')
     or fails the whole document, whose text is then NULL (``'fail'``).
     Two levels, so a document with a huge number of pages is not ordered
     and merged in a single task: runs of ``pages_per_block`` consecutive
@@ -119,16 +180,15 @@ def concat_pages(pages: DataFrame, doc_col: str = "doc_id", page_col: str = "pag
     """
     if on_page_error not in ("skip", "fail"):
         raise ValueError("on_page_error must be 'skip' or 'fail'")
-    p = pages
     failed = F.col(error_col).isNotNull() if error_col is not None else F.lit(False)
-    if error_col is not None and on_page_error == "skip":
-        p = p.where(~failed)
+    p = pages.withColumn("_page", F.when(~failed, F.col(text_col)))
+    skip = error_col is not None and on_page_error == "skip"
     block = F.floor(F.col(page_col) / F.lit(pages_per_block)).alias("_block")
     blocks = p.groupBy(doc_col, block).agg(
         F.count(F.lit(1)).alias("_n"),
         F.count_if(failed).alias("_failed"),
-        F.count(text_col).alias("_texts"),
-        F.expr(f"listagg({text_col}, '') WITHIN GROUP (ORDER BY {page_col})").alias("_t"))
+        F.count("_page").alias("_texts"),
+        F.expr(f"listagg(_page, '') WITHIN GROUP (ORDER BY {page_col})").alias("_t"))
     out = blocks.groupBy(doc_col).agg(
         F.sum("_n").alias("n_pages"),
         F.sum("_failed").alias("_failed"),
@@ -138,6 +198,11 @@ def concat_pages(pages: DataFrame, doc_col: str = "doc_id", page_col: str = "pag
     text = F.when(F.col("_texts") > 0, F.col("text"))
     if error_col is not None and on_page_error == "fail":
         text = F.when(F.col("_failed") == 0, text)
+    if skip:
+        # a document whose pages all failed stays, without text: it is a failed document
+        text = F.when(F.col("_failed") == F.col("n_pages"), F.lit("")).otherwise(text)
+        return out.select(doc_col, (F.col("n_pages") - F.col("_failed")).alias("n_pages"),
+                          text.alias("text"))
     return out.select(doc_col, "n_pages", text.alias("text"))
 
 

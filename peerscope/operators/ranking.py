@@ -51,6 +51,15 @@ def top_k(best: DataFrame, k: int, query_col: str = "query_id",
                 .select(query_col, "rank", author_col, "score"))
 
 
+def top_papers(scores: DataFrame, k: int, query_col: str = "query_id",
+               id_col: str = "doc_id") -> DataFrame:
+    """The k best papers per query with their scores and authors, ties by id."""
+    w = Window.partitionBy(query_col).orderBy(
+        F.round("score", RANK_DECIMALS).desc_nulls_last(), F.col(id_col).asc())
+    return (scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+                  .select(query_col, "rank", id_col, "author", "score"))
+
+
 def rank_authors(scores: DataFrame, k: int = 5, queries: DataFrame | None = None,
                  authors: DataFrame | None = None, query_col: str = "query_id",
                  author_col: str = "author") -> DataFrame:

@@ -19,14 +19,9 @@ class Limits:
     vocab_broadcast_rows: int = 2_000_000
     # per-document norm rows (long + double) -> ~64 MB
     norm_broadcast_rows: int = 4_000_000
-    # query-term rows (long + string + numbers) -> ~100 MB
-    query_broadcast_rows: int = 1_500_000
-    # dense query block shipped to every task, in bytes (float64)
-    dense_broadcast_bytes: int = 128 * 1024 * 1024
-    # author-name rows for the nested-loop name match
-    names_broadcast_rows: int = 2_000
-    # distinct name keys (first q characters) inlined as a hash-set filter
-    name_keys_inline: int = 50_000
+    # queries, documents or vectors in one block of a block pair: a pair's score
+    # matrix has at most the square of it in doubles (32 MB)
+    block_rows: int = 2_048
 
 
 DEFAULT_LIMITS = Limits()

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from peerscope.functions.text import model_tokens, with_bigrams
 from peerscope.operators.sizing import DEFAULT_LIMITS, Limits, broadcast_if
-from peerscope.session import materialize
+from peerscope.session import write_table
 
 
 @dataclass
@@ -104,19 +104,18 @@ def fit_tfidf(corpus: DataFrame, min_df: float = 5, max_df: float = 0.8, ngram_m
     if n_docs == 0:
         raise ValueError("empty corpus")
     # read twice (document frequencies, then weights): computed once
-    counts = materialize(term_counts(base, id_col, author_col, text_col, ngram_max))
-    # a unique long per term, frozen by the checkpoint: the scoring join
+    counts = write_table(term_counts(base, id_col, author_col, text_col, ngram_max), "ngrams")
+    # a unique long per term, frozen in the written table: the scoring join
     # then probes a long-keyed hash relation instead of strings
-    vocab = materialize(vocabulary(counts, n_docs, min_df, max_df)
-                        .withColumn("term_id", F.monotonically_increasing_id()))
+    vocab = write_table(vocabulary(counts, n_docs, min_df, max_df)
+                        .withColumn("term_id", F.monotonically_increasing_id()), "vocabulary")
     vocab_size = vocab.count()
     if vocab_size == 0:
         raise ValueError("After pruning, no terms remain. Try a lower min_df or a higher max_df.")
     raw, norms = _weighted(counts, vocab, vocab_size, id_col, limits)
-    norms = broadcast_if(norms, n_docs, limits.norm_broadcast_rows)
-    postings = (raw.join(norms, id_col)
-                   .select(id_col, author_col, "term", "term_id", "tf",
-                           (F.col("w") / F.col("norm")).alias("weight")))
+    # weighted once; every use of the index reads the written postings
+    postings = write_table(raw.join(norms, id_col).select(
+        id_col, author_col, "term", "term_id", "tf", (F.col("w") / F.col("norm")).alias("weight")), "postings")
     docs = base.select(id_col, author_col)
     return TfidfIndex(vocab=vocab, postings=postings, docs=docs, n_docs=n_docs,
                       vocab_size=vocab_size)
@@ -143,27 +142,11 @@ def sparse_cosine(query_vectors: DataFrame, index: TfidfIndex, query_col: str =
     """Cosine of unit vectors through the inverted index.
 
     Returns (query_id, doc_id, author, score) for the pairs that share at
-    least one term; every other pair scores 0 and is not materialised.
-    The query side is checkpointed and counted; while it is below the
-    broadcast bound it is broadcast and the postings stream past it once
-    without a shuffle. A larger query set is cut into hash blocks of the
-    query id that each fit, and the blocks are scored one after another
-    (no salting, no skewed shuffle on popular terms).
+    least one term; every other pair scores 0 and is not formed. One equi-join
+    on the term: Spark broadcasts a small side by its size and splits the
+    partitions of a term that very many documents share (AQE skew join).
     """
-    q = materialize(query_vectors.select(query_col, "term_id", F.col("weight").alias("wq")))
-    n = q.count()
-    blocks = max(1, -(-n // limits.query_broadcast_rows))
-    postings = index.postings.select(id_col, "term_id", "weight")
-    parts = []
-    for b in range(blocks):
-        qb = q if blocks == 1 else q.where(F.pmod(F.xxhash64(query_col), F.lit(blocks)) == b)
-        products = postings.join(F.broadcast(qb), "term_id").select(
-            query_col, id_col, (F.col("wq") * F.col("weight")).alias("p"))
-        # fixed-width key: the fast hash aggregate, author attached afterwards
-        parts.append(products.groupBy(query_col, id_col).agg(F.sum("p").alias("score")))
-    scores = parts[0]
-    for p in parts[1:]:
-        scores = scores.unionByName(p)
-    docs = broadcast_if(index.docs.select(id_col, author_col), index.n_docs,
-                        limits.norm_broadcast_rows)
-    return scores.join(docs, id_col).select(query_col, id_col, author_col, "score")
+    q = query_vectors.select(query_col, "term_id", F.col("weight").alias("wq"))
+    products = index.postings.select(id_col, author_col, "term_id", "weight").join(q, "term_id").select(
+        query_col, id_col, author_col, (F.col("wq") * F.col("weight")).alias("p"))
+    return products.groupBy(query_col, id_col, author_col).agg(F.sum("p").alias("score"))

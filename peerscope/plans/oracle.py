@@ -171,8 +171,11 @@ def _q07():
     return f"""
 WITH {index_ctes()},
 {subs_cte()},
-{query_vector_ctes()}
-SELECT query_id, doc_id, round(score, 6) AS score FROM pairs"""
+{query_vector_ctes()},
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank
+  FROM pairs QUALIFY rank <= {K})
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, author, round(score, 6) AS score FROM ranked"""
 
 
 @oracle("q08_recommend_tfidf")
@@ -192,12 +195,11 @@ def _q09():
     return f"""
 WITH {index_ctes()},
 subs0 AS (
-  SELECT item_id AS query_id, text AS raw_text, {norm_sql('text', 2)} AS processed_text
-  FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)),
+  SELECT doc_id AS query_id, raw_text, {norm_sql('raw_text', 2)} AS processed_text FROM corpus),
 {query_vector_ctes('subs0')},
 qids AS (SELECT query_id FROM subs0 WHERE processed_text <> ''),
 {padded_tfidf_ranking('qids', K)}
-SELECT CAST(rank AS INTEGER) AS rank, author, round(score, 6) AS score FROM tfidf_ranked"""
+SELECT query_id, CAST(rank AS INTEGER) AS rank, author, round(score, 6) AS score FROM tfidf_ranked"""
 
 
 def vectors_cte() -> str:
@@ -244,8 +246,14 @@ profiles AS (
 @oracle("q10_dense_cosine")
 def _q10():
     return f"""
-WITH {dense_best_cte()}
-SELECT query_id, author, round(score, 6) AS score FROM dense_best"""
+WITH {vectors_cte()},
+pair AS (
+  SELECT q.paper_id AS query_id, c.paper_id, c.author, {cosine_sql('q', 'c')} AS score
+  FROM vecs q JOIN vecs c ON len(q.v) = len(c.v) WHERE c.author IS NOT NULL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, paper_id) AS rank
+  FROM pair QUALIFY rank <= {K})
+SELECT query_id, CAST(rank AS INTEGER) AS rank, paper_id, author, round(score, 6) AS score FROM ranked"""
 
 
 @oracle("q11_recommend_embedding")
@@ -276,9 +284,20 @@ FROM pmean WHERE author IN (SELECT author FROM profiles)"""
 @oracle("q17_author_similarity")
 def _q17():
     return f"""
-WITH {profiles_cte()}
-SELECT a.author AS author_a, b.author AS author_b, round({cosine_sql('a', 'b')}, 6) AS similarity
-FROM profiles a CROSS JOIN profiles b"""
+WITH {profiles_cte()},
+sizes AS (SELECT CAST(label AS VARCHAR) AS author, count(*) AS n FROM embeddings
+          WHERE label IS NOT NULL GROUP BY label),
+wanted AS (SELECT author FROM sizes WHERE n > (SELECT avg(n) FROM sizes)),
+sims AS (
+  SELECT a.author, b.author AS similar_author, {cosine_sql('a', 'b')} AS similarity
+  FROM profiles a JOIN profiles b ON a.author <> b.author
+  WHERE a.author IN (SELECT author FROM wanted)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY author
+                               ORDER BY round(similarity, 9) DESC, similar_author) AS rank
+  FROM sims QUALIFY rank <= {2 * K})
+SELECT author, CAST(rank AS INTEGER) AS rank, similar_author, round(similarity, 6) AS similarity
+FROM ranked"""
 
 
 @oracle("q18_similar_authors")
@@ -320,19 +339,26 @@ subs AS (SELECT doc_id AS query_id, raw_text FROM corpus)
 {listed_sql('subs')}"""
 
 
-ORACLE["q14_listed_authors_blocked"] = ORACLE["q13_listed_authors"]
+@oracle("q14_listed_authors_blocked")
+def _q14():
+    return f"""
+WITH {corpus_cte()},
+{names_cte()},
+subs AS (SELECT doc_id AS query_id, raw_text FROM corpus),
+parts AS (SELECT author || ':' || n AS author, substr(name, 1, n) AS name
+          FROM names CROSS JOIN (SELECT unnest([2, 4, 100]) AS n))
+{listed_sql('subs').replace('names n', 'parts n')}"""
 
 
 def online_ctes() -> str:
     fetch = K + OVERFETCH
     return f"""{index_ctes()},
-lim AS (SELECT least((SELECT count(*) FROM corpus), (SELECT count(*) FROM embeddings)) AS n),
 aligned AS (
-  SELECT c.doc_id, c.author, c.raw_text, CAST(e.embedding AS DOUBLE[]) AS v,
+  SELECT c.doc_id, c.author, CAST(e.embedding AS DOUBLE[]) AS v,
          sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) AS nv
-  FROM corpus c JOIN embeddings e ON c.doc_id = e.vec_id, lim WHERE c.doc_id < lim.n),
+  FROM corpus c JOIN embeddings e ON c.doc_id = e.vec_id),
 subs_all AS (
-  SELECT doc_id AS query_id, raw_text, {norm_sql('raw_text', 2)} AS processed_text FROM aligned),
+  SELECT doc_id AS query_id, raw_text, {norm_sql('raw_text', 2)} AS processed_text FROM corpus),
 subs AS (SELECT * FROM subs_all WHERE processed_text <> ''),
 {query_vector_ctes('subs')},
 qids AS (SELECT query_id FROM subs),
@@ -374,10 +400,9 @@ FROM f"""
 @oracle("q19_align_vectors")
 def _q19():
     return f"""
-WITH {corpus_cte()},
-lim AS (SELECT least((SELECT count(*) FROM corpus), (SELECT count(*) FROM embeddings)) AS n)
+WITH {corpus_cte()}
 SELECT c.doc_id AS paper_id, c.author, e.label, CAST(len(e.embedding) AS INTEGER) AS dim
-FROM corpus c JOIN embeddings e ON c.doc_id = e.vec_id, lim WHERE c.doc_id < lim.n"""
+FROM corpus c JOIN embeddings e ON c.doc_id = e.vec_id"""
 
 
 def comparison_cte() -> str:
@@ -401,12 +426,13 @@ def _q21():
     return f"""
 WITH {online_ctes()},
 {comparison_cte()}
-SELECT cmp.query_id, 'ok' AS status, c.author AS actual_author, cmp.rank, cmp.tfidf_author,
-       cmp.tfidf_score, cmp.embedding_author, cmp.embedding_score
-FROM cmp JOIN corpus c ON c.doc_id = cmp.query_id
-UNION ALL
-SELECT c.doc_id, 'no_vector', c.author, NULL, NULL, NULL, NULL, NULL
-FROM corpus c WHERE c.doc_id NOT IN (SELECT query_id FROM subs)"""
+SELECT s.query_id,
+       CASE WHEN s.processed_text = '' THEN 'no_text' WHEN a.doc_id IS NULL THEN 'no_vector' ELSE 'ok' END
+         AS status,
+       c.author AS actual_author, cmp.rank, cmp.tfidf_author, cmp.tfidf_score, cmp.embedding_author,
+       cmp.embedding_score
+FROM subs_all s JOIN corpus c ON c.doc_id = s.query_id
+LEFT JOIN aligned a ON a.doc_id = s.query_id LEFT JOIN cmp ON cmp.query_id = s.query_id"""
 
 
 @oracle("q29_listed_distinct_union")
@@ -423,10 +449,10 @@ def _blank_free(x: str) -> str:
     return f"coalesce(regexp_matches({x}, '{_NON_BLANK}'), false)"
 
 
-def page_stage_ctes() -> str:
+def page_stage_ctes(src: str = "pages") -> str:
     return rf"""a AS (
   SELECT page_id, url, html,
-         regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS art FROM pages),
+         regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS art FROM {src}),
 st AS (
   SELECT page_id, url,
     regexp_replace(array_to_string(regexp_extract_all(art, '(?s)<p(?:\s[^>]*)?>(.*?)</p>', 1),
@@ -461,8 +487,11 @@ FROM st"""
 @oracle("q24_failed_documents")
 def _q24():
     return f"""
-WITH {page_stage_ctes()}
-SELECT page_id, url, 'no_text' AS reason FROM st WHERE NOT {_blank_free('s1')}"""
+WITH handed AS (SELECT page_id, url, html FROM pages
+  UNION ALL SELECT doc_id, 'doc:' || doc_id, text FROM documents),
+{page_stage_ctes('handed')}
+SELECT page_id, url, 'no_text' AS reason FROM st
+WHERE NOT {_blank_free('s1')} AND NOT {_blank_free('s2')} AND NOT {_blank_free('s3')}"""
 
 
 ORACLE["q25_parquet_roundtrip"] = ORACLE["q05_tfidf_weights"]
@@ -487,3 +516,75 @@ SELECT doc_id, dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS
 
 
 ORACLE["q28_stream_recommendations"] = ORACLE["q08_recommend_tfidf"]
+
+
+def hash_vectors(src: str, key: str) -> str:
+    """(key, v DOUBLE[64], nv): unit hash vectors of ``processed_text``, zero for blank texts."""
+    return f"""{src}_tok AS (
+  SELECT {key}, CAST(('0x' || substr(md5(tok), 1, 8))::BIGINT % 64 AS INTEGER) AS dim, count(*) AS n
+  FROM (SELECT {key}, unnest(list_filter(string_split(processed_text, ' '), lambda x: length(x) > 0)) AS tok
+        FROM {src}) GROUP BY ALL),
+{src}_map AS (
+  SELECT {key}, map_from_entries(list((dim, n))) AS m, sqrt(sum(n * n)) AS nv FROM {src}_tok GROUP BY {key}),
+{src}_vec AS (
+  SELECT s.{key}, list_transform(range(64), lambda d: coalesce(m[CAST(d AS INTEGER)] / nv, 0.0)) AS v,
+         CASE WHEN nv IS NULL THEN 0.0 ELSE 1.0 END AS nv
+  FROM {src} s LEFT JOIN {src}_map p ON p.{key} = s.{key})"""
+
+
+@oracle("q30_text_to_recommendations")
+def _q30():
+    fetch = K + OVERFETCH
+    return f"""
+WITH {index_ctes()},
+subs AS (
+  SELECT * FROM (SELECT item_id AS query_id, text AS raw_text, {norm_sql('text', 2)} AS processed_text
+                 FROM benchmark) WHERE processed_text <> ''),
+papers AS (
+  SELECT doc_id, author, {norm_sql('raw_text', 2)} AS processed_text FROM corpus),
+{query_vector_ctes('subs')},
+qids AS (SELECT query_id FROM subs),
+{padded_tfidf_ranking('qids', fetch, 'tfidf_fetch')},
+{hash_vectors('subs', 'query_id')},
+{hash_vectors('papers', 'doc_id')},
+dense_fetch AS (
+  SELECT query_id, author, score,
+         row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, author) AS rank
+  FROM (SELECT q.query_id, p.author, max({cosine_sql('q', 'c')}) AS score
+        FROM subs_vec q CROSS JOIN papers_vec c JOIN papers p ON p.doc_id = c.doc_id
+        WHERE p.author IS NOT NULL GROUP BY ALL) QUALIFY rank <= {fetch}),
+names AS (SELECT DISTINCT author, author AS name FROM corpus WHERE author IS NOT NULL),
+listed AS ({listed_sql('subs')}),
+excl AS (
+  SELECT query_id, author FROM dense_fetch WHERE score >= {EXCLUDE_AT}
+  UNION SELECT query_id, author FROM listed),
+f AS ({_filtered('tfidf_fetch', 'tfidf')} UNION ALL {_filtered('dense_fetch', 'embedding')})
+SELECT query_id, method, CAST(new_rank AS INTEGER) AS rank, author, round(score, 6) AS score FROM f"""
+
+
+@oracle("q31_author_list")
+def _q31():
+    return f"""
+WITH {corpus_cte()},
+sizes AS (SELECT author, count(*) AS n FROM corpus WHERE author IS NOT NULL GROUP BY author)
+SELECT author FROM sizes
+WHERE author <> (SELECT author FROM sizes ORDER BY n DESC, author DESC LIMIT 1)"""
+
+
+@oracle("q32_point_lookups")
+def _q32():
+    return f"""
+WITH {corpus_cte()},
+docs AS (SELECT doc_id, author, 'doc_' || doc_id || '.pdf' AS full_path FROM corpus),
+ends AS (SELECT min(doc_id) AS lo, max(doc_id) AS hi FROM docs)
+SELECT docs.*, 'position' AS found_by FROM docs, ends WHERE doc_id IN (lo, hi)
+UNION ALL
+SELECT docs.*, 'path' FROM docs, ends WHERE full_path = 'doc_' || ((lo + hi) // 2) || '.pdf'"""
+
+
+@oracle("q33_saved_vectors")
+def _q33():
+    return """
+SELECT vec_id AS paper_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim,
+       round(CAST(unnest(embedding) AS DOUBLE), 6) AS value
+FROM embeddings"""

@@ -14,22 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peerscope.functions.text import normalize_text
-from peerscope.operators.dense import (author_profiles, author_similarity, dense_author_scores,
-                                      recommend_dense, similar_authors)
-from peerscope.operators.encode import hashed_counts
+from peerscope.operators.dense import (author_profiles, dense_top_papers, recommend_dense,
+                                      similar_authors)
+from peerscope.operators.encode import hashed_counts, hashing_vectors
 from peerscope.operators.evaluate import compare_methods, evaluate
-from peerscope.operators.exclusions import author_directory, excluded_authors, listed_authors
+from peerscope.operators.exclusions import excluded_authors, listed_authors
 from peerscope.operators.extract import (concat_pages, extract_text, failed_documents,
                                          page_stages)
-from peerscope.operators.ranking import padding_candidates, rank_single
+from peerscope.operators.ranking import author_list, top_papers
 from peerscope.operators.recommend import (excluded_by_score, recommend, recommend_tfidf,
-                                           valid_submissions)
+                                           submission_status, valid_submissions)
 from peerscope.operators.tfidf import fit_tfidf, sparse_cosine, term_counts, transform_tfidf
-from peerscope.session import materialize, scratch_path
+from peerscope.plans.stand_ins import author_directory
+from peerscope.session import scratch_path, write_table
 from peerscope.sources.index_io import load_index, save_index
 from peerscope.sources.sinks import export_csv, read_csv
 from peerscope.sources.tables import (benchmark_submissions, documents_corpus, embedding_corpus,
-                                      read_table, spread)
+                                      read_table, select_papers, spread)
 from peerscope.sources.vectors import align_vectors
 from peerscope.streaming.recommendations import stream_recommendations
 
@@ -53,13 +54,17 @@ _INDEXES: dict[tuple, object] = {}
 
 
 def _index(spark, sf_dir, min_df=5, max_df=0.8):
-    """The fitted index of the documents, built once per application.
+    """The fitted index of the documents, built once per application and table version.
 
     Like a served model it is fitted once and reused by every query of the
-    session; its vocabulary and counts are reliable checkpoints, so reuse
-    survives lost executors.
+    session; its vocabulary and postings are written tables, so reuse
+    survives lost executors. Rewritten documents (another modification time) are
+    fitted anew.
     """
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), min_df, max_df)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/documents.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    version = sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path))
+    key = (spark.sparkContext.applicationId, tuple(version), min_df, max_df)
     if key not in _INDEXES:
         _INDEXES[key] = fit_tfidf(documents_corpus(spark, sf_dir), min_df=min_df, max_df=max_df)
     return _INDEXES[key]
@@ -117,10 +122,11 @@ def q06_transform_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q07_sparse_cosine")
 def q07_sparse_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closest documents of every submission with their cosine."""
     index = _index(spark, sf_dir)
     q = transform_tfidf(benchmark_submissions(spark, sf_dir), index)
-    s = sparse_cosine(q, index)
-    return s.select("query_id", "doc_id", r6("score").alias("score"))
+    s = top_papers(sparse_cosine(q, index), K)
+    return s.select("query_id", "rank", "doc_id", "author", r6("score").alias("score"))
 
 
 @query("q08_recommend_tfidf")
@@ -132,17 +138,12 @@ def q08_recommend_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q09_recommend_single")
 def q09_recommend_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One submission (the first benchmark item) ranked with the limit form."""
+    """The same lists by block scoring, over every document of the corpus as a submission."""
     index = _index(spark, sf_dir)
-    subs = benchmark_submissions(spark, sf_dir)
-    first = subs.where(F.col("query_id") == subs.agg(F.min("query_id")).scalar())
-    first = first.where(F.col("processed_text") != "")
-    scores = sparse_cosine(transform_tfidf(first, index), index).select("author", "score")
-    # authors sharing no term score 0.0; the 2k first names are enough candidates
-    pads = first.select(F.explode(padding_candidates(index.docs, K)).alias("author"),
-                        F.lit(0.0).alias("score"))
-    ranked = rank_single(scores.unionByName(pads), K)
-    return ranked.select("rank", "author", r6("score").alias("score"))
+    subs = documents_corpus(spark, sf_dir, min_token_len=2).select(
+        F.col("doc_id").alias("query_id"), "processed_text")
+    r = recommend_tfidf(subs, index, k=K, scoring="block")
+    return r.select("query_id", "rank", "author", r6("score").alias("score"))
 
 
 def _embedding_queries(spark, sf_dir):
@@ -152,9 +153,9 @@ def _embedding_queries(spark, sf_dir):
 
 @query("q10_dense_cosine")
 def q10_dense_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = embedding_corpus(spark, sf_dir)
-    s = dense_author_scores(_embedding_queries(spark, sf_dir), corpus)
-    return s.select("query_id", "author", r6("score").alias("score"))
+    """The closest papers of every paper vector (itself included) with their cosine."""
+    s = dense_top_papers(_embedding_queries(spark, sf_dir), embedding_corpus(spark, sf_dir), k=K)
+    return s.select("query_id", "rank", "paper_id", "author", r6("score").alias("score"))
 
 
 @query("q11_recommend_embedding")
@@ -180,8 +181,12 @@ def q16_author_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q17_author_similarity")
 def q17_author_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = author_similarity(author_profiles(embedding_corpus(spark, sf_dir)))
-    return s.select("author_a", "author_b", r6("similarity").alias("similarity"))
+    """Rows of the author matrix for a table of authors: those with more papers than the mean."""
+    corpus = write_table(embedding_corpus(spark, sf_dir), "vectors")
+    sizes = corpus.where(F.col("author").isNotNull()).groupBy("author").count()
+    prolific = sizes.where(F.col("count") > sizes.agg(F.avg("count")).scalar()).select("author")
+    s = similar_authors(author_profiles(corpus), k=2 * K, authors=prolific)
+    return s.select("author", "rank", "similar_author", r6("similarity").alias("similarity"))
 
 
 @query("q18_similar_authors")
@@ -200,40 +205,43 @@ def _named(spark, sf_dir):
 @query("q13_listed_authors")
 def q13_listed_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     subs, directory = _named(spark, sf_dir)
-    return listed_authors(subs, directory, method="broadcast").select("query_id", "author")
+    return listed_authors(subs, directory).select("query_id", "author")
 
 
 @query("q14_listed_authors_blocked")
 def q14_listed_authors_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of every key length (the whole name, its first 4 and its first 2 letters)."""
     subs, directory = _named(spark, sf_dir)
-    return listed_authors(subs, directory, method="blocked").select("query_id", "author")
+    short = [directory.select(F.concat_ws(":", "author", F.lit(n)).alias("author"),
+                              F.substring("name", 1, n).alias("name")) for n in (2, 4, 100)]
+    names = short[0].unionByName(short[1]).unionByName(short[2])
+    return listed_authors(subs, names).select("query_id", "author")
 
 
 class _Online:
-    """The online flow on driver data: every paper that has a vector is submitted.
+    """The online flow on driver data: every document is submitted.
 
-    TF-IDF scores against all documents; vector scores against the aligned
-    papers (author = the paper's source), as in the positional alignment.
+    TF-IDF scores against all documents; vector scores against the papers that have a
+    vector (author = the paper's source), for the submissions that have one.
     """
 
     def __init__(self, spark, sf_dir, k=K, overfetch=OVERFETCH):
         # read by the index, the alignment, the submissions and the directory
-        corpus = materialize(documents_corpus(spark, sf_dir))
+        corpus = write_table(documents_corpus(spark, sf_dir), "corpus")
         self.corpus = corpus
         self.index = _index(spark, sf_dir)
         vecs = read_table(spark, sf_dir, "embeddings").select(
             "vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-        self.aligned = align_vectors(corpus.select("doc_id", "author", "raw_text"), vecs)
-        subs = self.aligned.select(
-            F.col("doc_id").alias("query_id"), "raw_text", "embedding",
-            normalize_text("raw_text", min_token_len=2).alias("processed_text"))
-        self.subs = valid_submissions(subs)
-        self.dense_corpus = self.aligned.select(F.col("doc_id").alias("paper_id"), "author",
-                                                "embedding")
+        aligned = align_vectors(corpus.select("doc_id", "author"), vecs)
+        papers = corpus.select(F.col("doc_id").alias("query_id"), "raw_text",
+                               normalize_text("raw_text", min_token_len=2).alias("processed_text"))
+        self.submitted = papers.join(vecs.withColumnRenamed("vec_id", "query_id"), "query_id", "left")
+        self.subs = write_table(valid_submissions(self.submitted), "submitted")
+        self.dense_corpus = aligned.select(F.col("doc_id").alias("paper_id"), "author", "embedding")
         self.k, self.fetch = k, k + overfetch
 
     def tfidf(self, k):
-        return recommend_tfidf(self.subs, self.index, k=k)
+        return recommend_tfidf(self.subs, self.index, k=k, scoring="block")
 
     def dense(self, k):
         return recommend_dense(self.subs.select("query_id", "embedding"), self.dense_corpus, k=k)
@@ -248,7 +256,7 @@ class _Online:
 def q15_recommend_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _Online(spark, sf_dir)
     r = recommend(o.subs, o.index, o.dense_corpus, author_directory(o.corpus), k=o.k,
-                  overfetch=o.fetch - o.k)
+                  overfetch=o.fetch - o.k, scoring="block")
     return r.select("query_id", "method", "rank", "author", r6("score").alias("score"))
 
 
@@ -277,10 +285,10 @@ def q20_compare_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q21_evaluate_sample")
 def q21_evaluate_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document is in the sample; those without a vector get a status row."""
+    """Every document is in the sample, with the reason where a method has no list."""
     o = _Online(spark, sf_dir)
     sample = o.corpus.select(F.col("doc_id").alias("query_id"))
-    ev = evaluate(sample, o.corpus, _comparison(o), o.subs)
+    ev = evaluate(sample, o.corpus, _comparison(o), submission_status(o.submitted))
     return ev.select("query_id", "status", "actual_author", "rank", "tfidf_author",
                      "tfidf_score", "embedding_author", "embedding_score")
 
@@ -305,9 +313,15 @@ def q23_extract_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q24_failed_documents")
 def q24_failed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text-layer-only extraction: pages without paragraph text go to the dead letter."""
-    pages = read_table(spark, sf_dir, "pages")
-    ex = extract_text(pages, page_stages("html")[:1])
+    """Dead letter of pages and of documents handed in as pages.
+
+    Documents are plain text without any markup, so all three stages really fail on them.
+    """
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    docs = read_table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("page_id"), F.concat(F.lit("doc:"), "doc_id").alias("url"),
+        F.col("text").alias("html"))
+    ex = extract_text(pages.unionByName(docs), page_stages("html"))
     return failed_documents(ex, ["page_id", "url"])
 
 
@@ -354,3 +368,48 @@ def q28_stream_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     q.awaitTermination()
     out = spark.read.parquet(sink)
     return out.select("query_id", "rank", "author", r6("score").alias("score"))
+
+
+@query("q30_text_to_recommendations")
+def q30_text_to_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw text to filtered lists: benchmark items are cleaned, encoded and recommended to.
+
+    Papers and submissions are encoded by hashing; names are the corpus authors' own.
+    """
+    corpus = documents_corpus(spark, sf_dir, min_token_len=2)
+    papers = hashing_vectors(corpus).join(corpus.select("doc_id", "author"), "doc_id") \
+        .withColumnRenamed("doc_id", "paper_id")
+    subs = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"),
+                                                         F.col("text").alias("raw_text"))
+    r = recommend(subs, _index(spark, sf_dir), papers, k=K,
+                  encode=lambda t: hashing_vectors(t, id_col="query_id"))
+    return r.select("query_id", "method", "rank", "author", r6("score").alias("score"))
+
+
+@query("q31_author_list")
+def q31_author_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authors of the corpus without the placeholder (here the most frequent author)."""
+    docs = documents_corpus(spark, sf_dir)
+    sizes = docs.where(F.col("author").isNotNull()).groupBy("author").count()
+    top = sizes.agg(F.max(F.struct("count", "author"))["author"]).first()[0]
+    return author_list(docs, placeholder=top)
+
+
+@query("q32_point_lookups")
+def q32_point_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers by position and by path: the first and last position, the path in the middle."""
+    docs = documents_corpus(spark, sf_dir).select(
+        "doc_id", "author", F.format_string("doc_%d.pdf", "doc_id").alias("full_path"))
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    by_id = select_papers(docs, ids=[low, high])
+    by_path = select_papers(docs, paths=[f"doc_{(low + high) // 2}.pdf"])
+    return by_id.withColumn("found_by", F.lit("position")).unionByName(
+        by_path.withColumn("found_by", F.lit("path")))
+
+
+@query("q33_saved_vectors")
+def q33_saved_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of the saved index, read back."""
+    v = _saved_index(spark, sf_dir).vectors
+    return v.select("paper_id", F.posexplode("embedding").alias("dim", "x")).select(
+        "paper_id", "dim", F.round(F.col("x").cast("double"), 6).alias("value"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from peerscope.functions.text import normalize_text
 from peerscope.operators.extract import Stage, extract_text, failed_documents, kept_documents
-from peerscope.operators.sizing import DEFAULT_LIMITS, broadcast_if
+from peerscope.session import write_table
 from peerscope.sources.ids import with_dense_id
 
 
@@ -23,15 +24,15 @@ def scan_corpus(spark: SparkSession, root: str, suffix: str = "*.pdf") -> DataFr
     the first folder below the root; a file directly in the root gets
     author ``"."``. Spark's listing skips names starting with '_' or '.'.
     """
+    root = _qualified(spark, root)
     files = (spark.read.format("binaryFile")
              .option("recursiveFileLookup", "true")
              .option("pathGlobFilter", suffix)
              .load(root))
-    base = root.rstrip("/")
-    rel = F.regexp_replace(F.regexp_replace("path", r"^file:", ""),
-                           "^" + _quote(base.removeprefix("file:")) + "/", "")
-    parts = F.split(rel, "/")
-    author = F.when(F.size(parts) == 1, F.lit(".")).otherwise(F.element_at(parts, 1))
+    depth = len([p for p in _PREFIX.sub("", root).split("/") if p])
+    parts = F.filter(F.split(F.regexp_replace("path", _PREFIX.pattern, ""), "/"), lambda p: p != "")
+    below = F.slice(parts, depth + 1, F.size(parts))
+    author = F.when(F.size(below) == 1, F.lit(".")).otherwise(F.get(below, 0))
     return files.select(
         F.col("path").alias("full_path"),
         author.alias("author"),
@@ -39,8 +40,16 @@ def scan_corpus(spark: SparkSession, root: str, suffix: str = "*.pdf") -> DataFr
         "content", "length")
 
 
-def _quote(s: str) -> str:
-    return "".join("\\" + ch if not ch.isalnum() and ch not in "/_-" else ch for ch in s)
+# scheme and authority of a path
+_PREFIX = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?")
+
+
+def _qualified(spark: SparkSession, root: str) -> str:
+    """The root as the session's file system names it: absolute, without ``..``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    uri = fs.makeQualified(path).toUri().normalize()
+    return spark._jvm.org.apache.hadoop.fs.Path(uri).toString()
 
 
 def utf8_stage(content_col: str = "content") -> Stage:
@@ -49,7 +58,7 @@ def utf8_stage(content_col: str = "content") -> Stage:
 
 
 def build_corpus(spark: SparkSession, root: str, stages: Sequence[Stage] | None = None,
-                 suffix: str = "*.pdf") -> tuple[DataFrame, DataFrame]:
+                 suffix: str = "*.pdf", timeout_s: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(corpus, failed): scan, extract, keep rows with text, normalise.
 
     ``corpus``: (paper_id, author, paper, full_path, raw_text, processed_text,
@@ -57,18 +66,19 @@ def build_corpus(spark: SparkSession, root: str, stages: Sequence[Stage] | None
     (full_path, reason).
     """
     files = scan_corpus(spark, root, suffix)
-    extracted = extract_text(files, stages or [utf8_stage()], source_col="content").drop("content")
+    extracted = extract_text(files, stages or [utf8_stage()], source_col="content",
+                             timeout_s=timeout_s).drop("content")
     # success / failure counts ride along with the first action, no extra pass
     extracted = extracted.observe(
         INGEST_OBSERVATION, F.count(F.lit(1)).alias("files"),
         F.count_if(F.col("status") == "ok").alias("extracted"),
         F.count_if(F.col("status") != "ok").alias("failed"))
+    # extraction is the expensive step: written once, read for ids, corpus and failed list
+    extracted = write_table(extracted, "extracted")
     kept = kept_documents(extracted)
-    # only the narrow path column is sorted to number the papers; the texts
-    # meet their ids through a size-checked broadcast join
+    # only the narrow path column is sorted to number the papers
     ids = with_dense_id(kept.select("full_path"), "full_path", "paper_id")
-    n = ids.count()
-    kept = kept.join(broadcast_if(ids, n, DEFAULT_LIMITS.norm_broadcast_rows), "full_path")
+    kept = kept.join(ids, "full_path")
     corpus = kept.select(
         "paper_id", "author", "paper", "full_path", "raw_text",
         normalize_text("raw_text").alias("processed_text"), "extractor")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "emptyValue": "",
-               "nullValue": "", "encoding": "UTF-8"}
+               "nullValue": "", "encoding": "UTF-8", "ignoreLeadingWhiteSpace": "false",
+               "ignoreTrailingWhiteSpace": "false"}
 
 
 def export_csv(df: DataFrame, path: str, columns: Sequence[str] = ("author", "paper",

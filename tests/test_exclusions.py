@@ -1,4 +1,4 @@
-from peerscope.operators.exclusions import author_directory, listed_authors
+from peerscope.operators.exclusions import listed_authors
 from peerscope.operators.recommend import exclude_and_rerank, excluded_by_score
 
 
@@ -29,46 +29,63 @@ def test_x19_substring_and_prefix_window(spark):
     text_in = "x" * 1998 + "Li"      # 'li' at characters 1,999-2,000 -> inside
     subs = _subs(spark, [(1, "The RELIABILITY study"), (2, text_cut), (3, text_in)])
     directory = _dir(spark, [("A. Li", "li")])
-    for method in ("broadcast", "blocked"):
-        got = sorted(r.query_id for r in listed_authors(subs, directory, method=method).collect())
-        assert got == [1, 3], method
+    got = sorted(r.query_id for r in listed_authors(subs, directory).collect())
+    assert got == [1, 3]
 
 
 def test_x20_null_never_empty_always(spark):
     subs = _subs(spark, [(1, "anything"), (2, "")])
     directory = _dir(spark, [("n", None), ("e", "")])
-    for method in ("broadcast", "blocked"):
-        got = sorted((r.query_id, r.author) for r in
-                     listed_authors(subs, directory, method=method).collect())
-        assert got == [(1, "e"), (2, "e")], method
+    got = sorted((r.query_id, r.author) for r in listed_authors(subs, directory).collect())
+    assert got == [(1, "e"), (2, "e")]
 
 
-def test_blocked_equals_broadcast(spark):
+def test_keyed_plan_equals_brute_force(spark):
     import random
     rng = random.Random(7)
-    words = ["alpha", "beta", "gamma", "delta", "omega", "mu", "x", "pi", "theta", "zeta"]
-    subs = _subs(spark, [(i, " ".join(rng.choice(words) for _ in range(50))) for i in range(40)])
-    directory = _dir(spark, [(f"au{i}", w) for i, w in enumerate(words + ["eta", "ph", "q"])])
-    a = sorted(tuple(r) for r in listed_authors(subs, directory, method="broadcast").collect())
-    b = sorted(tuple(r) for r in listed_authors(subs, directory, method="blocked", q=3).collect())
-    assert a == b and len(a) > 0
+    words = ["alpha", "beta", "gamma", "delta", "omega", "mu", "x", "pi", "theta", "zeta", "epsilonic"]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(50))) for i in range(40)]
+    names = words + ["eta", "ph", "q", "ha ga", "epsilonic beta", "epsilonix"]
+    directory = _dir(spark, [(f"au{i}", w) for i, w in enumerate(names)])
+    got = sorted((r.query_id, r.author) for r in listed_authors(_subs(spark, texts), directory).collect())
+    want = sorted((i, f"au{j}") for i, t in texts for j, w in enumerate(names) if w in t)
+    assert got == want and len(got) > 0
+
+
+def test_no_nested_loop_without_empty_names(spark):
+    plan = listed_authors(_subs(spark, [(1, "alpha beta")]), _dir(spark, [("a", "alpha"), ("b", "be")])) \
+        ._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_default_names_are_the_authors_own(spark):
+    """A submission that names an author loses that author, and nobody else."""
+    from peerscope import fit_tfidf, hashing_vectors, recommend
+    corpus = spark.createDataFrame(
+        [(0, "Ada Rao", "graph database index"), (1, "Bo Lin", "database graph query"),
+         (2, "Cy Moe", "neural graph database"), (3, "Di Poe", "query database neural")],
+        "doc_id long, author string, processed_text string")
+    vectors = hashing_vectors(corpus).join(corpus.select("doc_id", "author"), "doc_id") \
+        .withColumnRenamed("doc_id", "paper_id")
+    subs = _subs(spark, [(7, "Ada Rao. Notes on a database for graph people")])
+    top = recommend(subs, fit_tfidf(corpus, min_df=1, max_df=1.0), vectors, k=3,
+                    encode=lambda t: hashing_vectors(t, id_col="query_id"))
+    for method in ("tfidf", "embedding"):
+        authors = {r.author for r in top.collect() if r.method == method}
+        assert authors == {"Bo Lin", "Cy Moe", "Di Poe"}
 
 
 def test_author_directory_lowest_doc_smallest_long_word(spark):
     corpus = spark.createDataFrame(
         [(3, "a", "zebras apples"), (1, "a", "short bigword another"), (2, "b", "tiny")],
         "doc_id long, author string, processed_text string")
+    from peerscope.plans.stand_ins import author_directory
     assert [tuple(r) for r in author_directory(corpus).collect()] == [("a", "another")]
 
 
-def test_broadcast_bound_falls_back_to_exact_blocked_plans(spark):
-    from peerscope.operators.sizing import Limits
+def test_every_key_length_at_once(spark):
     subs = _subs(spark, [(1, "Alpha beta g"), (2, "xyz"), (3, "")])
-    directory = _dir(spark, [("e", ""), ("one", "g"), ("two", "be"), ("long", "alpha"),
+    directory = _dir(spark, [("e", ""), ("one", "g"), ("two", "be"), ("long", "alpha b"),
                              ("none", "qq"), ("nul", None)])
-    small = Limits(names_broadcast_rows=1)
-    wide = listed_authors(subs, directory, method="broadcast")
-    fallback = listed_authors(subs, directory, method="broadcast", limits=small)
-    a = sorted((r.query_id, r.author) for r in wide.collect())
-    b = sorted((r.query_id, r.author) for r in fallback.collect())
-    assert a == b == [(1, "e"), (1, "long"), (1, "one"), (1, "two"), (2, "e"), (3, "e")]
+    got = sorted((r.query_id, r.author) for r in listed_authors(subs, directory).collect())
+    assert got == [(1, "e"), (1, "long"), (1, "one"), (1, "two"), (2, "e"), (3, "e")]

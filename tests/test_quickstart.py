@@ -28,7 +28,7 @@ def test_quick_start_workflow(spark, tmp_dir):
     subs = (corpus.select(F.col("doc_id").alias("query_id"), "raw_text")
             .join(vectors.withColumnRenamed("paper_id", "query_id"), "query_id")
             .withColumn("processed_text", ps.normalize_text("raw_text", min_token_len=2)))
-    top = ps.recommend(subs, index, vector_corpus, ps.author_directory(corpus), k=3).collect()
+    top = ps.recommend(subs, index, vector_corpus, k=3).collect()
     assert failed.count() == 0
     # every paper is its own exact copy (score 1 >= 0.98), so its author is excluded
     own = {r.doc_id: r.author for r in corpus.collect()}

@@ -1,4 +1,4 @@
-"""The paths taken beyond the broadcast bounds give the same results."""
+"""Small bounds and blocks give the same results as large ones."""
 
 import random
 
@@ -10,8 +10,7 @@ from peerscope.operators.sizing import Limits
 from peerscope.operators.tfidf import fit_tfidf, sparse_cosine, transform_tfidf
 from peerscope.sources.ids import with_dense_id
 
-TINY = Limits(vocab_broadcast_rows=3, norm_broadcast_rows=3, query_broadcast_rows=7,
-              dense_broadcast_bytes=64, names_broadcast_rows=1)
+TINY = Limits(vocab_broadcast_rows=3, norm_broadcast_rows=3, block_rows=5)
 
 
 def _tfidf_inputs(spark):
@@ -40,8 +39,9 @@ def test_tfidf_blocks_and_shuffle_joins_equal_broadcast_plans(spark):
         assert [(q, k, au) for q, k, au, _ in x] == [(q, k, au) for q, k, au, _ in y]
         assert [s for *_, s in x] == pytest.approx([s for *_, s in y])
     qv = transform_tfidf(subs, wide)
+    qn = transform_tfidf(subs, narrow)
     p1 = {(r.query_id, r.doc_id): r.score for r in sparse_cosine(qv, wide).collect()}
-    p2 = {(r.query_id, r.doc_id): r.score for r in sparse_cosine(qv, wide, limits=TINY).collect()}
+    p2 = {(r.query_id, r.doc_id): r.score for r in sparse_cosine(qn, narrow).collect()}
     assert p1.keys() == p2.keys() and all(p1[k] == pytest.approx(p2[k]) for k in p1)
 
 
@@ -65,3 +65,30 @@ def test_dense_ids_are_positions_across_partitions(spark):
         .selectExpr("lpad(k, 4, '0') as k")
     got = sorted((r.paper_id, r.k) for r in with_dense_id(df, "k").collect())
     assert got == [(i, f"{i:04d}") for i in range(1000)]
+
+
+def test_vector_blocks_emit_first_k_per_query_only(spark):
+    """Every document has its own author: a pair of blocks leaves at most k rows per query."""
+    from peerscope.operators.dense import _nearest
+    rng = random.Random(3)
+    rows = [(i, f"a{i:03d}", [rng.uniform(-1, 1) for _ in range(4)]) for i in range(200)]
+    corpus = spark.createDataFrame(rows, "paper_id long, author string, embedding array<double>")
+    queries = corpus.selectExpr("cast(paper_id as string) as query_id", "embedding").limit(20)
+    k = 3
+    found = _nearest(queries, corpus, k, "query_id", "paper_id", "author", "embedding", Limits(block_rows=500))
+    assert found.count() == k * 20
+    assert dict(found.dtypes)["query_id"] == "string"
+
+
+def test_query_side_stays_off_the_driver(spark):
+    corpus, subs = _tfidf_inputs(spark)
+    index = fit_tfidf(corpus, min_df=2, max_df=0.95)
+    plan = recommend_tfidf(subs, index, k=4)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "MapInArrow" not in plan
+
+
+def test_empty_vector_corpus_gives_no_rows(spark):
+    from peerscope.operators.dense import recommend_dense
+    none = spark.createDataFrame([], "paper_id long, author string, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, embedding array<double>")
+    assert recommend_dense(queries, none).count() == 0

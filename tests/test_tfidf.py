@@ -140,26 +140,21 @@ def test_block_scoring_equals_join_scoring(spark):
     assert len(block) == 26 * 8  # 8 authors in the corpus, k = 9
 
 
-def test_block_kernel_chunked_and_batched_paths_agree(monkeypatch):
-    import pandas as pd
+def test_block_product_in_any_chunk_size(monkeypatch):
+    import numpy as np
 
     import peerscope.operators.sparse_block as sb
-
-    class BC:
-        def __init__(self, v):
-            self.value = v
-
-    qb = pd.DataFrame({"query_id": [1, 1, 2], "term_id": [10, 11, 11], "wq": [0.6, 0.8, 1.0]})
-    block = sb._query_block(qb, "query_id")
-    docs = pd.DataFrame({"author": ["a", "b", "a", "c"], "terms": [[10], [11], [10, 11], [12]],
-                         "weights": [[1.0], [1.0], [0.6, 0.8], [1.0]]})
-
-    def run(cells):
-        monkeypatch.setattr(sb, "_CELLS", cells)
-        out = pd.concat(list(sb._kernel("author", BC(block))(iter([docs]))))
-        return out.groupby(["query_id", "author"]).score.max().round(9).to_dict()
-
-    want = {(1, "a"): 1.0, (1, "b"): 0.8, (1, "c"): 0.0, (2, "a"): 0.8, (2, "b"): 1.0,
-            (2, "c"): 0.0}
-    assert run(4_000_000) == want
-    assert run(1) == want
+    from peerscope.operators.blocks import best_by_name, first_k
+
+    q = np.array([10, 11, 11]), np.array([0, 0, 1]), np.array([0.6, 0.8, 1.0])
+    d = np.array([10, 11, 10, 11, 12]), np.array([0, 1, 2, 2, 3]), np.array([1.0, 1.0, 0.6, 0.8, 1.0])
+    want = np.array([[0.6, 0.8, 1.0, 0.0], [0.0, 1.0, 0.8, 0.0]])
+    for products in (4_000_000, 2, 1):
+        monkeypatch.setattr(sb, "_TARGET_PRODUCTS", products)
+        assert np.allclose(sb._products(*q, *d, 2, 4), want)
+    best, names = best_by_name(want, np.array(["a", "b", "a", "c"], dtype=object))
+    assert names.tolist() == ["a", "b", "c"] and np.allclose(best, [[1.0, 0.8, 0.0], [0.8, 1.0, 0.0]])
+    assert sb._products(*(x[:0] for x in q), *d, 2, 4).tolist() == np.zeros((2, 4)).tolist()
+    # ties at the last place go to the first names
+    rows, columns = first_k(np.array([[0.5, 0.5, 0.5, 0.9], [np.nan, 0.1, 0.2, np.nan]]), np.arange(4), 2)
+    assert list(zip(rows.tolist(), columns.tolist())) == [(0, 0), (0, 3), (1, 1), (1, 2)]
