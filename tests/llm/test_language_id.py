@@ -1,0 +1,74 @@
+import numpy as np
+from pyspark.sql import functions as F
+
+from fixtures import DOCS, awkward, empty
+from peerscope.llm.common import held_out
+from peerscope.llm.language_id import ByteGru, fit_language, label_positions, predict_language, text_probabilities
+
+SYLLABLES = {"aa": ["ba", "da", "ga", "lo"], "bb": ["ést", "chr", "ßen", "ung"], "cc": ["ский", "мо", "ва"]}
+
+
+def corpus(spark, n=240):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(n):
+        lang = ["aa", "bb", "cc"][i % 3]
+        text = " ".join("".join(rng.choice(SYLLABLES[lang], 3)) for _ in range(rng.integers(3, 60)))
+        rows.append((i, text, lang, "s", 0))
+    return spark.createDataFrame(rows, DOCS)
+
+
+def test_gradients_are_those_of_the_loss():
+    net = ByteGru(3, hidden=4, seed=1)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    rng = np.random.default_rng(0)
+    x, y = rng.integers(0, 256, (6, 5)).astype(np.uint8), np.array([0, 1, 2, 1, 0])
+    mask = np.arange(6)[:, None] < np.array([6, 4, 1, 6, 3])
+    _, g = net.gradients(x, y, mask)
+    for name in ("rec_f", "rec_b", "out_b", "bias_f", "bias"):
+        spot = tuple(0 for _ in net.p[name].shape)
+        value = net.p[name][spot]
+        side = []
+        for step in (1e-3, -1e-3):
+            net.p[name][spot] = value + step
+            side.append(net.gradients(x, y, mask)[0])
+        net.p[name][spot] = value
+        assert abs((side[0] - side[1]) / 2e-3 - g[name][spot]) < 2e-3
+
+
+def test_padding_does_not_change_a_text():
+    net = ByteGru(3, seed=2)
+    texts = [b"short", bytes(range(40, 250)) * 3, b"x"]
+    together = text_probabilities(net, texts)
+    for t, row in zip(texts, together):
+        assert np.allclose(text_probabilities(net, [t])[0], row, atol=1e-5)
+        windows = [net.logits(np.frombuffer(t[i:i + 128], np.uint8)[:, None])[:, 0] for i in range(0, len(t), 128)]
+        e = np.exp(np.concatenate(windows))
+        assert np.allclose((e / e.sum(axis=1, keepdims=True)).mean(axis=0), row, atol=1e-4)
+
+
+def test_held_out_accuracy_and_positions(spark):
+    docs = corpus(spark)
+    model = fit_language(docs)
+    rows = predict_language(docs, model).where(held_out(F.col("doc_id"))).collect()
+    assert len(rows) > 30 and np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.97
+    net = ByteGru(3, params=model["params"])
+    assert (label_positions(net, "ский мова ский мова") == model["languages"].index("cc")).mean() > 0.9
+
+
+def test_labels_of_the_held_out_fold_do_not_matter(spark):
+    docs = corpus(spark)
+    other = docs.withColumn("lang", F.when(held_out(F.col("doc_id")), F.lit("zz")).otherwise(F.col("lang")))
+    a, b = fit_language(docs), fit_language(other)
+    assert a["languages"] == b["languages"] == ["aa", "bb", "cc"]
+    assert all(np.array_equal(a["params"][k], b["params"][k]) for k in a["params"])
+
+
+def test_awkward_documents(spark):
+    out = {r["doc_id"]: r for r in predict_language(awkward(spark), fit_language(corpus(spark))).collect()}
+    for i in (0, 1, 2):
+        assert (out[i]["lang_pred"], out[i]["score"]) == ("und", 0.0)
+    assert all(0 <= r["score"] <= 1 for r in out.values())
+    nothing = fit_language(empty(spark))
+    assert {r["lang_pred"] for r in predict_language(awkward(spark), nothing).collect()} == {"und"}
+    assert predict_language(empty(spark), nothing).count() == 0

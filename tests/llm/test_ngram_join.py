@@ -1,0 +1,90 @@
+import re
+from collections import defaultdict
+
+import numpy as np
+
+from fixtures import awkward, awkward_rows, empty, words
+from peerscope.llm.components import connected_components
+from peerscope.llm.ngram_join import (bitmap, differing_bits, keep_one_per_component, may_link,
+                                      ngram_components)
+
+
+def shingles(text):
+    tokens = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if len(tokens) < 5:
+        return {" ".join(tokens)} if tokens else set()
+    return {" ".join(tokens[i:i + 5]) for i in range(len(tokens) - 4)}
+
+
+def brute(rows):
+    sets = [(i, shingles(t)) for i, t in rows if i is not None]
+    root = {i: i for i, _ in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[n + 1:]:
+            both = len(a & b)
+            if a and b and 100 * both >= 75 * (len(a) + len(b) - both):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {(i, len(s), find(i)) for i, s in sets}
+
+
+def near_copies():
+    rows = [(i, words(i, 60)) for i in range(40)]
+    base = words(500, 100).split()
+    for i in range(60):                       # a large group of near copies, most pairs not linked directly
+        copy = list(base)
+        for j in range(i % 12):
+            copy[(i * 7 + j * 9) % 100] = f"edit{i}x{j}"
+        rows.append((100 + i, " ".join(copy)))
+    shared = words(900, 30)
+    rows += [(300 + i, words(1000 + i, 12) + " " + shared) for i in range(30)]   # a common passage
+    return rows
+
+
+def test_equals_brute_force(spark):
+    for rows, docs in ((near_copies(), None), ([(r[0], r[1]) for r in awkward_rows()], awkward(spark))):
+        if docs is None:
+            docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {tuple(r) for r in ngram_components(docs).collect() if r["doc_id"] is not None}
+        assert got == brute(rows)
+
+
+def test_bitmap_bound_never_drops_a_link():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        universe = rng.integers(0, 2**63, 400, dtype=np.uint64)
+        a = np.unique(rng.choice(universe, rng.integers(1, 300)))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.choice(universe, 10)]))
+        both = len(np.intersect1d(a, b))
+        differ = differing_bits(bitmap(a), bitmap(b))
+        assert differ <= len(a) + len(b) - 2 * both
+        if 100 * both >= 75 * (len(a) + len(b) - both):
+            assert may_link(len(a), len(b), differ, 75)
+
+
+def test_components_of_chains_and_stars(spark):
+    links = [(i, i + 1) for i in range(100)] + [(1000, 1000 + i) for i in range(50)] + [(5, 5)]
+    got = connected_components(spark.createDataFrame(links, "a long, b long")).collect()
+    groups = defaultdict(set)
+    for r in got:
+        groups[r["root"]].add(r["node"])
+    assert sorted(map(len, groups.values())) == [50, 101]
+
+
+def test_one_document_of_each_group_stays(spark):
+    docs = awkward(spark)
+    kept = keep_one_per_component(docs)
+    assert kept.columns == docs.columns
+    want = {c for _, _, c in brute([(r[0], r[1]) for r in awkward_rows()])} | {None}
+    assert sorted([r["doc_id"] for r in kept.collect()], key=str) == sorted(want, key=str)
+
+
+def test_empty_table(spark):
+    assert ngram_components(empty(spark)).count() == 0
+    assert keep_one_per_component(empty(spark)).count() == 0

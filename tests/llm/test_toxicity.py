@@ -1,0 +1,93 @@
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from fixtures import awkward, empty, words
+from peerscope.llm.common import held_out
+from peerscope.llm.toxicity import drop_toxic, fit_toxicity, maximal_segments, score_toxicity, toxic_passages
+
+INSULTS = ["blockhead", "nitwit", "dunce", "oaf"]
+
+
+def labelled(spark, n=400):
+    docs, labels = [], []
+    for i in range(n):
+        toxic = i % 5 == 0
+        tokens = words(i, 80).split()
+        if toxic:
+            for j in range(4):
+                tokens.insert(20 + j, INSULTS[(i + j) % 4])
+        docs.append((i, " ".join(tokens)))
+        labels.append((i, int(toxic)))
+    return (spark.createDataFrame(docs, "doc_id long, text string"),
+            spark.createDataFrame(labels + [(None, 1), (3, None)], "doc_id long, toxic int"))
+
+
+def brute_segments(s):
+    """Maximal scoring segments by their definition, recursively (all sums positive, best first)."""
+    def best(lo, hi):
+        found = None
+        for i in range(lo, hi):
+            total = 0.0
+            for j in range(i, hi):
+                total += s[j]
+                if total > 0 and (found is None or total > found[2] + 1e-12
+                                  or (abs(total - found[2]) <= 1e-12 and j + 1 - i < found[1] - found[0])):
+                    found = (i, j + 1, total)
+        return found
+
+    def walk(lo, hi):
+        b = best(lo, hi)
+        return [] if b is None else walk(lo, b[0]) + [b] + walk(b[1], hi)
+    return walk(0, len(s))
+
+
+def test_segments_equal_their_definition():
+    rng = np.random.default_rng(2)
+    for _ in range(150):
+        s = rng.normal(-0.3, 1, rng.integers(0, 25))
+        got = maximal_segments(s)
+        want = brute_segments(s)
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert np.allclose([g[2] for g in got], [w[2] for w in want])
+
+
+def test_held_out_documents_are_told_apart(spark):
+    docs, labels = labelled(spark)
+    model = fit_toxicity(docs, labels)
+    rows = score_toxicity(docs, model).withColumn("out", held_out(F.col("doc_id"))).collect()
+    for r in rows:
+        assert r["out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+    right = [(r["score"] >= 0.3) == (r["doc_id"] % 5 == 0) for r in rows if r["out"]]
+    assert len(right) > 50 and sum(right) / len(right) > 0.95
+    passages = toxic_passages(docs, model).collect()
+    strong = [p for p in passages if p["evalue"] < 1e-6]
+    assert strong and all(any(w in p["passage"] for w in INSULTS) for p in strong)
+    assert {p["doc_id"] % 5 for p in strong} == {0}
+    # by chance a clean text has at most max_evalue passages on average
+    assert len({p["doc_id"] for p in passages if p["doc_id"] % 5}) < 0.1 * docs.count()
+
+
+def test_labels_of_the_held_out_fold_do_not_matter(spark):
+    docs, labels = labelled(spark)
+    flipped = labels.withColumn("toxic", F.when(held_out(F.col("doc_id")), 1 - F.col("toxic"))
+                                .otherwise(F.col("toxic")))
+    a, b = fit_toxicity(docs, labels), fit_toxicity(docs, flipped)
+    assert a.scores == b.scores
+
+
+def test_awkward_documents(spark):
+    docs, labels = labelled(spark)
+    model = fit_toxicity(docs, labels)
+    out = score_toxicity(awkward(spark), model, out_col="tox")
+    assert all(0 <= r["tox"] <= 1 for r in out.collect())
+    kept = drop_toxic(awkward(spark), labels)
+    assert kept.columns == awkward(spark).columns
+
+
+def test_without_labels_nothing_is_toxic(spark):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    docs = awkward(spark)
+    assert drop_toxic(docs, none).count() == docs.count()
+    assert drop_toxic(empty(spark), none).count() == 0
