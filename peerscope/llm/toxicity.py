@@ -1,12 +1,12 @@
 """Toxic passages by maximum-scoring segment search over token log-odds.
 
-Every token has a score: its log-odds between toxic and clean documents under
-an informative Dirichlet prior (the prior of a token is its share of all
-tokens), less a margin that makes the expected score of clean text negative.
+Every token has a score: its log-odds between toxic and clean documents, counted
+once per document, under a Dirichlet prior (a part by the token's share of all
+tokens, and one document of either kind, so that rare words say little), less a margin that makes the expected score of clean text negative.
 One linear scan finds all maximal scoring segments of a text. On clean text the
 best segment of n tokens follows an extreme-value law, P(S >= x) = 1 - exp(-K n
-exp(-lambda x)); lambda solves sum p exp(lambda s) = 1 over the clean tokens, K is
-fitted to the best segments of clean documents. Segments with a small expected
+exp(-lambda x)); lambda solves sum p exp(lambda s) = 1 over the clean tokens unless the best
+segments of clean documents have a heavier tail, and K is fitted to those. Segments with a small expected
 number of chance occurrences are the toxic passages. A document's evidence
 (the tail probability of its best segment and the summed excess of its passages)
 becomes a probability by logistic regression on documents that the
@@ -127,31 +127,41 @@ def _logistic(x: tuple[float, float], weights: tuple[float, float, float]) -> fl
 
 
 def _score_text(text: str | None, pieces: PieceScores) -> np.ndarray:
+    """Scores of the words; a word speaks against a text once, its repeats count as neutral."""
     words = text.split() if text else []
-    return np.fromiter(map(pieces.__getitem__, words), np.float64, len(words))
+    scores = np.fromiter(map(pieces.__getitem__, words), np.float64, len(words))
+    said: set[str] = set()
+    for i in np.flatnonzero(scores > 0).tolist():
+        if words[i] in said:
+            scores[i] = -_MARGIN
+        said.add(words[i])
+    return scores
 
 
 # -- learning -------------------------------------------------------------------
 
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[tuple[bool, bool], Counter] = {}
+    counts: dict[tuple[bool, bool], tuple[Counter, Counter]] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for (toxic, second), c in counts.items():
+        for (toxic, second), (c, d) in counts.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), pa.string()), pa.array([toxic] * len(c)), pa.array([second] * len(c)),
-                 pa.array(list(c.values()), pa.int64())], names=["token", "toxic", "second", "n"])
+                 pa.array(list(c.values()), pa.int64()), pa.array([d[t] for t in c], pa.int64())],
+                names=["token", "toxic", "second", "n", "docs"])
         counts.clear()
 
     for batch in batches:
         for text, toxic, second in zip(*(c.to_pylist() for c in batch.columns)):
             words = Counter(_LETTERS.findall((text or "").lower()))
-            total = counts.setdefault((bool(toxic), bool(second)), Counter())
+            total, docs = counts.setdefault((bool(toxic), bool(second)), (Counter(), Counter()))
             for word, n in words.items():
                 for name in _names(word):
                     total[name] += n
+            docs.update({name for word in words for name in _names(word)})
             total[""] += sum(words.values())
-        if sum(map(len, counts.values())) > 2_000_000:
+            docs[""] += len(words)
+        if sum(len(c) for c, _ in counts.values()) > 2_000_000:
             yield from flush()
     yield from flush()
 
@@ -161,7 +171,7 @@ def _log_odds(rows: list[tuple[str, int, int]], tokens: tuple[int, int]) -> dict
     n_toxic, n_clean = tokens
     out = {"": -_MARGIN}
     for token, toxic, clean in rows:
-        prior = _PRIOR_TOKENS * (toxic + clean) / (n_toxic + n_clean)
+        prior = 1.0 + _PRIOR_TOKENS * (toxic + clean) / (n_toxic + n_clean)
         a, b = toxic + prior, clean + prior
         rest_a, rest_b = n_toxic + _PRIOR_TOKENS - a, n_clean + _PRIOR_TOKENS - b
         if a > 0 and b > 0 and rest_a > 0 and rest_b > 0:
@@ -202,8 +212,8 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[flo
 def _token_scores(counts: DataFrame, second: bool | None) -> dict[str, float]:
     """Log-odds of the ``MAX_TOKENS`` most frequent tokens."""
     part = counts if second is None else counts.where(F.col("second") == second)
-    sums = part.groupBy("token").agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("t"),
-                                     F.sum(F.when(~F.col("toxic"), F.col("n")).otherwise(0)).alias("c"))
+    sums = part.groupBy("token").agg(F.sum(F.when(F.col("toxic"), F.col("docs")).otherwise(0)).alias("t"),
+                                     F.sum(F.when(~F.col("toxic"), F.col("docs")).otherwise(0)).alias("c"))
     total = sums.where("token = ''").first()
     if total is None or not total["t"] or not total["c"]:
         return {}
@@ -245,8 +255,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PE
     second = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0
     text = docs.select("doc_id", "text").join(sample, "doc_id")
     counts = text.select("text", "toxic", second.alias("second")).mapInArrow(
-        _count_tokens, "token string, toxic boolean, second boolean, n long")
-    counts = counts.groupBy("token", "toxic", "second").agg(F.sum("n").alias("n"))
+        _count_tokens, "token string, toxic boolean, second boolean, n long, docs long")
+    counts = counts.groupBy("token", "toxic", "second").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     counts = written(counts, "toxicity-tokens")
 
     # calibration: log-odds from two thirds of the sample, evidence on the last third
@@ -266,9 +276,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PE
     model.lam = _solve_lambda(values, shares / max(1.0, shares.sum()))
     quiet = measured[~measured["toxic"] & (measured["n"] > 0)]
     best = np.array([max(s, default=0.0) if s is not None else 0.0 for s in quiet["segments"]])
-    # K by the median of the best segments: 1 - exp(-K n e^(-lambda S)) = 1/2 there
     if len(best):
-        model.k = float(np.median(math.log(2) * np.exp(np.minimum(model.lam * best, 50)) / quiet["n"].to_numpy()))
+        # words the sample does not know well are noisier than the model says: the law may not
+        # fall faster than the tail of the best segments, and K makes one in ten exceed the 9th decile
+        decile, tail = np.quantile(best, [0.9, 0.99])
+        if tail > decile:
+            model.lam = min(model.lam, math.log(10) / (tail - decile))
+        model.k = float(-math.log(0.9) * math.exp(min(model.lam * decile, 50)) / np.median(quiet["n"]))
     model.k = min(1.0, max(1e-6, model.k))
     x = np.array([_features([(0, 0, float(v)) for v in (s if s is not None else [])], int(n), model)
                   for s, n in zip(measured["segments"], measured["n"])]).reshape(-1, 2)
