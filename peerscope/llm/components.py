@@ -25,16 +25,15 @@ def connected_components(links: DataFrame) -> DataFrame:
     roots = nodes.select("node", F.col("node").alias("root"))
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        parent = written(both.groupBy(F.col("a").alias("node"))
-                         .agg(F.least(F.col("a"), F.min("b")).alias("to")), "cc-parents")
+        parent = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("to"))
         up = parent.select(F.col("node").alias("to"), F.col("to").alias("top"))
         grand = written(parent.join(up, "to").select("node", "top"), "cc-tops")
-        roots = written(
-            roots.join(grand, F.col("root") == grand["node"], "left")
-            .select(roots["node"], F.coalesce("top", "root").alias("root")), "cc-roots")
+        # one more join a round; the rounds are few, so the roots stay a plan until they are read
+        roots = (roots.join(grand.withColumnRenamed("node", "_node"), F.col("root") == F.col("_node"), "left")
+                 .select("node", F.coalesce("top", "root").alias("root")))
         ends = [grand.select(F.col("node").alias(c), F.col("top").alias(f"top_{c}")) for c in "ab"]
         edges = written(
             edges.join(ends[0], "a").join(ends[1], "b").where("top_a != top_b")
             .select(F.least("top_a", "top_b").alias("a"), F.greatest("top_a", "top_b").alias("b"))
             .distinct(), "cc-links")
-    return roots
+    return written(roots, "cc-roots")

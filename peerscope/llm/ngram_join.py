@@ -243,22 +243,31 @@ def _decide(percent: int):
     return run
 
 
-def _group_pairs(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of index pairs (i < j) of equal keys in a sorted array, about ``_FLUSH`` at a time."""
+def _group_pairs(keys: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of index pairs of equal keys and different roots, from about ``_FLUSH`` pairs each.
+
+    ``keys`` are sorted. Groups of one size are worked on together; of a large
+    group some rows at a time meet all later ones.
+    """
     start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     length = np.diff(np.append(start, len(keys)))
-    for m in np.unique(length[length > 1]):
+    for m in np.unique(length[length > 1]).tolist():
         groups = start[length == m]
         if m * m <= _FLUSH:
             i, j = np.triu_indices(m, 1)
             step = max(1, _FLUSH // len(i))
             for at in range(0, len(groups), step):
                 base = groups[at:at + step, None]
-                yield (base + i).ravel(), (base + j).ravel()
+                a, b = (base + i).ravel(), (base + j).ravel()
+                other = root[a] != root[b]
+                yield a[other], b[other]
         else:
-            for base in groups:
-                for i in range(m - 1):
-                    yield np.full(m - 1 - i, base + i), np.arange(base + i + 1, base + m)
+            step = max(1, _FLUSH // m)
+            for base in groups.tolist():
+                for at in range(base, base + m, step):
+                    a, b = np.nonzero(root[at:at + step, None] != root[None, at + 1:base + m])
+                    later = b >= a
+                    yield a[later] + at, b[later] + at + 1
 
 
 def _likely(a: np.ndarray, b: np.ndarray, n: np.ndarray, bits: list[bytes], percent: int) -> np.ndarray:
@@ -272,7 +281,8 @@ def _likely(a: np.ndarray, b: np.ndarray, n: np.ndarray, bits: list[bytes], perc
         tables[w] = np.frombuffer(b"".join(bits[i] for i in own), np.uint64).reshape(len(own), -1)
     low, high = np.minimum(width[a], width[b]), np.maximum(width[a], width[b])
     for w, v in {*zip(low.tolist(), high.tolist())}:
-        for at in np.array_split(np.flatnonzero((low == w) & (high == v)), max(1, len(a) // 100_000)):
+        own = np.flatnonzero((low == w) & (high == v))
+        for at in (own[i:i + 100_000] for i in range(0, len(own), 100_000)):
             small = np.where(width[a[at]] == w, a[at], b[at])
             large = a[at] + b[at] - small
             x, y = tables[w][place[small]], tables[v][place[large]]
@@ -290,14 +300,16 @@ def _cross_pairs(percent: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("key", ignore_index=True)
         classes, first, of = np.unique(rows["a"].to_numpy(), return_index=True, return_inverse=True)
-        n, root = rows["n"].to_numpy()[first], rows["root"].to_numpy()[first]
+        n = rows["n"].to_numpy()[first]
         bits = rows["bits"].iloc[first].tolist()
-        found = np.empty(0, np.int64)
-        for i, j in _group_pairs(rows["key"].to_numpy()):
+        found, new = np.empty(0, np.int64), []
+        for i, j in _group_pairs(rows["key"].to_numpy(), rows["root"].to_numpy()):
             a, b = np.minimum(of[i], of[j]), np.maximum(of[i], of[j])
-            fit = ((root[a] != root[b])
-                   & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])))
-            found = np.union1d(found, a[fit] * len(classes) + b[fit])
+            fit = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+            new.append(a[fit] * len(classes) + b[fit])
+            if sum(map(len, new)) >= 4 * _FLUSH:
+                found, new = np.unique(np.concatenate([found, *new])), []
+        found = np.unique(np.concatenate([found, *new]))
         a, b = found // len(classes), found % len(classes)
         keep = _likely(a, b, n, bits, percent)
         return pd.DataFrame({"a": classes[a[keep]], "b": classes[b[keep]]}).astype("int64")
@@ -354,7 +366,7 @@ def _next_star(open_entries: DataFrame, turn: int) -> DataFrame:
             .distinct())
 
 
-def ngram_components(docs: DataFrame, percent: int = 75, star_rounds: int = 2,
+def ngram_components(docs: DataFrame, percent: int = 75, star_rounds: int = 1,
                      entries_per_tile: int = 1_000_000) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
