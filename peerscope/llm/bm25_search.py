@@ -41,7 +41,7 @@ from peerscope.llm.shingles import WordHashes
 
 K1, B = 1.2, 0.75
 BLOCK = 64                 # documents per block maximum
-SHARD_CHARS = 24_000_000
+SHARD_CHARS = 16_000_000     # about as many bytes of index; tasks hold a few such rows at a time
 SHARD_DOCS = 60_000        # a document's place in its shard has 16 bits
 QUERY_BLOCK = 256
 _SCHEMA = ("shard string, doc_ids binary, lengths binary, terms binary, starts binary, "
@@ -138,17 +138,18 @@ def _pack(rows: pd.DataFrame) -> pd.DataFrame:
                          "q_ids": [ids.astype(np.int64).tobytes()],
                          "q_starts": [np.append(starts, len(rows)).astype(np.int64).tobytes()],
                          "q_terms": [rows["term"].to_numpy(np.int64).tobytes()],
-                         "q_idf": [rows["idf"].to_numpy(np.float64).tobytes()]})
+                         "q_df": [rows["df"].to_numpy(np.int64).astype(np.uint32).tobytes()]})
 
 
 class Shard:
     """One inverted index, ready to be searched."""
 
     def __init__(self, row: dict, average: float):
-        self.ids = np.frombuffer(row["doc_ids"], np.int64)
+        # copies of what is kept, so that the batch can be let go
+        self.ids = np.frombuffer(row["doc_ids"], np.int64).copy()
         lengths = np.frombuffer(row["lengths"], np.int64)
-        self.terms = np.frombuffer(row["terms"], np.int64)
-        self.starts = np.frombuffer(row["starts"], np.int64)
+        self.terms = np.frombuffer(row["terms"], np.int64).copy()
+        self.starts = np.frombuffer(row["starts"], np.int64).copy()
         self.docs = np.frombuffer(row["docs"], np.uint16).astype(np.int64)
         tf = np.frombuffer(row["tfs"], np.uint32).astype(np.float64)
         self.weights = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * lengths / average))[self.docs])
@@ -226,19 +227,21 @@ class Shard:
         return head, full
 
 
-def _search(k: int, average: float):
+def _search(k: int, documents: int, average: float):
     """Task function: a block of queries in one shard, the k best of each with ties."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, shard = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                if row["shard"] != name:
-                    name, shard = row["shard"], Shard(row, average)
+                # views of the batch: the arrays of a shard are read once for all its query blocks
+                row = {c: batch.column(c)[i].as_buffer() for c in batch.schema.names if c != "shard"}
+                if batch.column("shard")[i].as_py() != name:
+                    name, shard = batch.column("shard")[i].as_py(), Shard(row, average)
                 ids = np.frombuffer(row["q_ids"], np.int64)
                 starts = np.frombuffer(row["q_starts"], np.int64)
                 terms = np.frombuffer(row["q_terms"], np.int64)
-                idf = np.frombuffer(row["q_idf"], np.float64)
+                df = np.frombuffer(row["q_df"], np.uint32).astype(np.float64)
+                idf = np.log1p((documents - df + 0.5) / (df + 0.5))
                 out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                 for q, s, e in zip(ids, starts[:-1], starts[1:]):
                     own = int((shard.ids == q).sum())      # places that the query itself may take
@@ -266,16 +269,16 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, query_block: in
     asked = written(queries.select(F.col("query_id").cast("long").alias("query_id"), "text")
                     .mapInArrow(_query_terms, "query_id long, term long").distinct(), "bm25-queries")
     blocks = max(1, math.ceil(asked.select("query_id").distinct().count() / query_block))
-    idf = F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    packed = (asked.join(df, "term").withColumn("idf", idf)
+    packed = (asked.join(df, "term")
               .withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-              .select("block", "query_id", "term", "idf").groupBy("block")
-              .applyInPandas(_pack, "block long, q_ids binary, q_starts binary, q_terms binary, q_idf binary"))
-    # every block of queries meets every shard; the shard is the key of the join
-    shards = index.select("shard").withColumn("_every", F.lit(1))
-    routed = packed.withColumn("_every", F.lit(1)).join(shards, "_every").drop("_every", "block")
-    found = routed.join(index, "shard").mapInArrow(
-        _search(k, average), "query_id long, doc_id long, score double")
+              .select("block", "query_id", "term", "df").groupBy("block")
+              .applyInPandas(_pack, "block long, q_ids binary, q_starts binary, q_terms binary, q_df binary"))
+    # every block of queries goes to every route, and a shard lies on one route: each pair meets once
+    routes = max(1, index.select("shard").count())
+    routed = packed.drop("block").withColumn("route", F.explode(F.sequence(F.lit(0), F.lit(routes - 1))))
+    lying = index.withColumn("route", F.pmod(F.xxhash64("shard"), F.lit(routes)).cast("int"))
+    found = routed.join(lying, "route").drop("route").mapInArrow(
+        _search(k, n, average), "query_id long, doc_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "doc_id", "score"))
