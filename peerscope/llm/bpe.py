@@ -13,11 +13,11 @@ Encoding follows a tokenizer file of the word-level byte BPE kind: NFC,
 white space runs to one space, lower case, split into letter runs, single digits and
 runs of other characters, bytes as printable characters, word end mark. Words
 do not cross white space, so pieces between white space are encoded once and
-remembered (bounded, per task).
+remembered (bounded, per Python worker).
 
 Defined results: null and empty text have no tokens and decode to the empty
 string; the strings of special tokens are those tokens; texts of any length
-are encoded whole, ``_CHUNK_CHARS`` of text at a time.
+are encoded whole, ``_CHUNK_BYTES`` of text at a time.
 """
 
 from __future__ import annotations
@@ -30,12 +30,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
+from peerscope.llm.common import drop_oldest_half, worker_memory
+
 LONG_WORD = 256
-_CHUNK_CHARS = 4_000_000
+_CHUNK_BYTES = 4_000_000
 _CACHE_ENTRIES = 300_000
 _NO_RANK = np.int32(2**31 - 1)
 
@@ -185,20 +188,20 @@ class WordBpe:
     def words_of(self, piece: str) -> list[str]:
         if piece.isascii():
             return _WORDS.findall(piece.lower())
-        piece = unicodedata.normalize("NFC", piece)
-        return _WORDS.findall("".join(c.lower() for c in piece))
+        # letter by letter a capital sigma becomes the same small one everywhere
+        return _WORDS.findall(unicodedata.normalize("NFC", piece).replace("\u03a3", "\u03c3").lower())
 
     def remember(self, pieces: set[str]) -> None:
         new = [p for p in pieces if p not in self.piece_ids]
         if len(self.piece_ids) + len(new) > _CACHE_ENTRIES:
-            self.piece_ids.clear()
-            self.piece_text.clear()
-            new = list(pieces)
+            drop_oldest_half(self.piece_ids)
+            drop_oldest_half(self.piece_text)
+            new = [p for p in pieces if p not in self.piece_ids]
         split = [self.words_of(p) for p in new]
         unknown = {w for words in split for w in words if w not in self.word_ids}
         if len(self.word_ids) + len(unknown) > _CACHE_ENTRIES:
-            self.word_ids.clear()
-            unknown = {w for words in split for w in words}
+            drop_oldest_half(self.word_ids)
+            unknown = {w for words in split for w in words if w not in self.word_ids}
         self.encode_words(list(unknown))
         for piece, words in zip(new, split):
             ids = b"".join([self.word_ids[w] for w in words])
@@ -231,16 +234,15 @@ class WordBpe:
         return out
 
 
-def batches_by_size(values: list, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of a list of texts that hold about ``most`` characters each."""
-    start = size = 0
-    for i, v in enumerate(values):
-        size += len(v or "")
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(values):
-        yield start, len(values)
+def text_chunks(column: pa.Array, most: int) -> Iterator[tuple[int, int, list]]:
+    """(start, end, values) of slices of a text column of about ``most`` bytes each."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(column):
+        before = total[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(total, before + most, "right")))
+        yield start, end, column.slice(start, end - start).to_pylist()
+        start = end
 
 
 def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids",
@@ -254,11 +256,10 @@ def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str
     at = kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(path)
+        bpe = worker_memory(("words", path), lambda: WordBpe(path))
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for i, j in batches_by_size(texts, _CHUNK_CHARS):
-                ids, decoded = zip(*bpe.encode_batch(texts[i:j]))
+            for i, j, texts in text_chunks(batch.column(at), _CHUNK_BYTES):
+                ids, decoded = zip(*bpe.encode_batch(texts))
                 yield pa.RecordBatch.from_arrays(
                     [c.slice(i, j - i) for c in batch.columns]
                     + [pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],

@@ -53,3 +53,25 @@ def free_name(df: DataFrame, stem: str) -> str:
         n += 1
         name = f"{stem}{n}"
     return name
+
+
+def worker_memory(key: tuple, make):
+    """An object that lives as long as the Python worker, made by ``make`` at its first use.
+
+    Functions are shipped to the tasks by value, so module globals start anew
+    with every task; what is worth keeping for the next task of the same worker
+    (a loaded tokenizer file, a bounded cache) is kept under ``key``.
+    """
+    import sys
+    import types
+
+    name = "_peerscope_worker_memory"
+    kept = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
+def drop_oldest_half(cache: dict) -> None:
+    for old in [k for k, _ in zip(cache, range(len(cache) // 2))]:
+        del cache[old]

@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
-from peerscope.llm.bpe import batches_by_size
+from peerscope.llm.bpe import text_chunks
 
 SIGMA = 1.0            # of the Gaussian kernel, in lines
-_CHUNK_CHARS = 4_000_000
+_CHUNK_BYTES = 4_000_000
 
 # fixed values: elements of the HTML standard by their role
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -162,9 +162,8 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            html = batch.column(len(kept)).to_pylist()
-            for i, j in batches_by_size(html, _CHUNK_CHARS):
-                texts = [main_text(h) for h in html[i:j]]
+            for i, j, html in text_chunks(batch.column(len(kept)), _CHUNK_BYTES):
+                texts = [main_text(h) for h in html]
                 yield pa.RecordBatch.from_arrays(
                     [c.slice(i, j - i) for c in batch.columns[:-1]] + [pa.array(texts, pa.string())],
                     names=[*kept, text_col])

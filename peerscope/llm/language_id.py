@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from peerscope.llm.bpe import batches_by_size
+from peerscope.llm.bpe import text_chunks
 from peerscope.llm.common import held_out
 
 HIDDEN = 8
@@ -37,7 +37,7 @@ CUT_BYTES = 64
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _BLOCK = 2048
-_CHUNK_CHARS = 2_000_000
+_CHUNK_BYTES = 2_000_000
 
 
 class ByteGru:
@@ -246,16 +246,15 @@ def predict_language(docs: DataFrame, model: dict, text_col: str = "text",
         languages, params = shared.value["languages"], shared.value["params"]
         net = ByteGru(len(languages), params=params) if languages else None
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for i, j in batches_by_size(texts, _CHUNK_CHARS):
+            for i, j, texts in text_chunks(batch.column(at), _CHUNK_BYTES):
                 lang, score = [UNDETERMINED] * (j - i), [0.0] * (j - i)
-                real = [k for k in range(i, j) if net and texts[k] and _LETTER.search(texts[k])]
+                real = [k for k, t in enumerate(texts) if net and t and _LETTER.search(t)]
                 if real:
                     prob = text_probabilities(net, [texts[k].encode("utf-8", "surrogatepass")
                                                     for k in real])
                     for k, row in zip(real, prob):
                         best = int(row.argmax())
-                        lang[k - i], score[k - i] = languages[best], min(1.0, float(row[best]))
+                        lang[k], score[k] = languages[best], min(1.0, float(row[best]))
                 yield pa.RecordBatch.from_arrays(
                     [c.slice(i, j - i) for c in batch.columns]
                     + [pa.array(lang, pa.string()), pa.array(score, pa.float64())],

@@ -9,7 +9,7 @@ one document skips files, stripes and row groups by these metadata.
 
 A byte-level tokenizer of this kind begins a token at every space that follows
 another character, so the pieces between spaces are encoded once and
-remembered (bounded, per task). Where a space stands inside a run of white
+remembered (bounded, per Python worker). Where a space stands inside a run of white
 space, or a special token's string occurs, the text is encoded as a whole.
 
 Defined results: null and empty text is the end id alone; rows with null doc_id
@@ -29,45 +29,75 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from peerscope.llm.bpe import batches_by_size
+from peerscope.llm.bpe import text_chunks
+from peerscope.llm.common import drop_oldest_half, worker_memory
 
-_CHUNK_CHARS = 2_000_000
-_CACHE_ENTRIES = 400_000
+_CHUNK_BYTES = 2_000_000
+_CACHE_ENTRIES = 600_000
+_LINES = 500
 _INNER_SPACE = re.compile(r"\s \s")
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
 
-class PieceEncoder:
-    """Token ids of texts, piece by piece, with the tokenizers library."""
+class PieceEncoder(dict):
+    """Token ids of texts with the tokenizers library; maps a piece after a space to its ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.after_space: dict[str, bytes] = {}
+        self.marks = dict(zip(".,;:!?", self.whole(list(".,;:!?"))))
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def learn(self, pieces: set[str]) -> None:
+        """Encode the pieces that are not remembered yet.
+
+        Printable pieces hold no white space. They go to the library as lines of one
+        text; the line ends are tokens of their own and part the ids again.
+        """
+        new = [p for p in pieces if p not in self]
+        if len(self) + len(new) > _CACHE_ENTRIES:
+            drop_oldest_half(self)
+            new = [p for p in pieces if p not in self]
+        # a word and the mark after it are separate tokens: the word alone may be known already
+        marked = [p for p in new if p[-1:] in self.marks and p[:-1].isalpha()]
+        plain = {p[:-1] for p in marked if p[:-1] not in self}.union(new).difference(marked)
+        lines, rest = [], []
+        for p in plain:
+            (lines if p and p.isprintable() else rest).append(p)
+        blocks = [lines[i:i + _LINES] for i in range(0, len(lines), _LINES)]
+        coded = self.tokenizer.encode_batch_fast([" " + "\n ".join(b) + "\n" for b in blocks],
+                                                 add_special_tokens=False)
+        for block, found in zip(blocks, coded):
+            ids = np.array(found.ids, "<u4")
+            ends = np.flatnonzero(ids == self.line_end[0])
+            if len(ends) == len(block):
+                raw, ends = ids.tobytes(), (4 * ends).tolist()
+                starts = [0] + [e + 4 for e in ends]
+                self.update(zip(block, [raw[i:j] for i, j in zip(starts, ends)]))
+            else:
+                rest += block
+        self.update(zip(rest, self.whole([" " + p for p in rest])))
+        self.update([(p, self[p[:-1]] + self.marks[p[-1]]) for p in marked])
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         split: dict[int, list[str]] = {}
         for i, text in enumerate(texts):
             if not _INNER_SPACE.search(text) and not any(s in text for s in self.special):
                 split[i] = text.split(" ")
-        pieces = {p for ps in split.values() for p in ps[1:]}
-        new = [p for p in pieces if p not in self.after_space]
-        if len(self.after_space) + len(new) > _CACHE_ENTRIES:
-            self.after_space.clear()
-            new = list(pieces)
-        self.after_space.update(zip(new, self.whole([" " + p for p in new])))
         rest = [i for i in range(len(texts)) if i not in split]
         for i, ids in zip(rest, self.whole([texts[i] for i in rest])):
             out[i] = ids
         heads = self.whole([ps[0] for ps in split.values()])
+        self.learn(set().union(*split.values()))
         for (i, ps), head in zip(split.items(), heads):
-            out[i] = head + b"".join(map(self.after_space.__getitem__, ps[1:]))
+            out[i] = head + b"".join(map(self.__getitem__, ps[1:]))
         return out
 
 
@@ -76,12 +106,11 @@ def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, start = PieceEncoder(path), 0
+        encoder, start = worker_memory(("pieces", path), lambda: PieceEncoder(path)), 0
         end, part = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i, j in batches_by_size(texts, _CHUNK_CHARS):
-                coded = [ids + end for ids in encoder.encode_batch(texts[i:j])]
+            for i, j, texts in text_chunks(batch.column(1), _CHUNK_BYTES):
+                coded = [ids + end for ids in encoder.encode_batch([t or "" for t in texts])]
                 n = np.array([len(c) // 4 for c in coded], np.int64)
                 ends = np.cumsum(n)
                 values = pa.array(np.frombuffer(b"".join(coded), "<i4"))
@@ -111,13 +140,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): the store, with each document's place in the whole sequence.
 
-    Places need one number per file part, which is all that is summed in one task.
+    Places need one number per file part, which is all that is summed in one task
+    and broadcast (16 bytes a part; parts hold 100 MB and more of a large table).
     """
     stored = spark.read.schema(SCHEMA).orc(path)
     sizes = stored.groupBy("part").agg(F.max(F.col("local_start") + F.col("n_tokens")).alias("size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    return stored.join(offsets, "part").select(
+    return stored.join(F.broadcast(offsets), "part").select(
         "doc_id", (F.col("offset") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
