@@ -41,7 +41,7 @@ from peerscope.llm.shingles import WordHashes
 
 K1, B = 1.2, 0.75
 BLOCK = 64                 # documents per block maximum
-SHARD_CHARS = 16_000_000     # about as many bytes of index; tasks hold a few such rows at a time
+SHARD_CHARS = 10_000_000     # about as many bytes of index; tasks hold a few such rows at a time
 SHARD_DOCS = 60_000        # a document's place in its shard has 16 bits
 QUERY_BLOCK = 256
 _SCHEMA = ("shard string, doc_ids binary, lengths binary, terms binary, starts binary, "
