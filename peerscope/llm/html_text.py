@@ -5,11 +5,14 @@ between two block boundaries, with the number of tags since the line before; tex
 elements that never hold an article makes no line. Each line has a text-to-tag ratio
 (characters over tags, link text not counted). The ratios are smoothed by a Gaussian
 kernel and clustered by a threshold (their standard deviation, at most their
-mean). When lines above it lie in ``article`` or ``main`` elements, those alone are the
-page's article; otherwise a region, that is the lines of one sectioning element,
-is content when at least half of its text (or the largest share of any region) lies above it. All lines of the content regions that are not in menus,
+mean). A region, that is the lines of one sectioning element (an ``article`` is one
+region), is content when at least half of its text without links (or the largest share of any region)
+lies above it; for a region in an ``article`` or ``main`` element three fifths of that share are
+enough. All lines of the content regions that are not in menus,
 headers, footers, sidebars, notices, adverts, forms or reader comments are
-the main text.
+the main text. A class or id marks such a part by its words, but never an ``article`` or
+``main`` element, nor an element that holds more than half of the page's text (when the word
+is a whole class or id, as in ``class="ad"``, that also must hold all article and main text).
 
 Defined results: null or empty html, and pages without content, give the empty string;
 broken or cut-off markup is read as far as it goes.
@@ -29,6 +32,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from peerscope.llm.bpe import text_chunks
 
 SIGMA = 1.0            # of the Gaussian kernel, in lines
+_SHARE = 0.5           # of a region's text above the threshold
+_ARTICLE_SHARE = 0.6   # of that share, for regions in article or main elements
 _CHUNK_BYTES = 4_000_000
 
 # fixed values: elements of the HTML standard by their role
@@ -52,23 +57,30 @@ _NAME = re.compile(r"[a-z]+")
 
 
 class LineReader(HTMLParser):
-    """Collects lines: text, tags, link characters, section, whether outside any article."""
+    """Collects lines: text, tags, link characters, section, whether in article or main.
 
-    def __init__(self):
+    Elements whose class or id has a word of ``_OUTSIDE_WORDS`` are numbered in ``marked`` as
+    [parent, characters, characters in article or main, word is a whole class or id]; their text
+    makes lines only when their number is in ``kept``.
+    """
+
+    def __init__(self, kept: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int, bool]] = []   # text, tags, link chars, section, in article
-        self.stack: list[tuple[str, bool, int, bool]] = []       # tag, outside, section, in article
+        # tag, outside, in a marked element that is not kept, section, in "article", "main" or "", marked element
+        self.stack: list[tuple[str, bool, bool, int, str, int]] = []
+        self.kept, self.marked = kept, [[0, 0, 0, False]]        # number 0 is the page
         self.text: list[str] = []
         self.tags = self.links = self.sections = self.in_link = 0
 
-    def state(self) -> tuple[bool, int, bool]:
-        return self.stack[-1][1:] if self.stack else (False, 0, False)
+    def state(self) -> tuple[bool, bool, int, str, int]:
+        return self.stack[-1][1:] if self.stack else (False, False, 0, "", 0)
 
     def end_line(self) -> None:
         line = " ".join("".join(self.text).split())
         if line:
-            _, section, article = self.state()
-            self.lines.append((line, self.tags, min(self.links, len(line)), section, article))
+            _, _, section, article, _ = self.state()
+            self.lines.append((line, self.tags, min(self.links, len(line)), section, bool(article)))
             self.tags = 0
         self.text, self.links = [], 0
 
@@ -87,19 +99,28 @@ class LineReader(HTMLParser):
                 del self.stack[i:]          # a paragraph or list item ends where the next block begins
         if tag in _VOID or not (tag in _BLOCKS or tag in _OUTSIDE or attrs):
             return
-        outside, section, article = self.state()
-        if tag in _SECTIONS:
+        outside, cut, section, article, mark = self.state()
+        if tag in _SECTIONS and (article != "article" or tag == "article"):
             self.sections += 1
             section = self.sections
         outside = outside or tag in _OUTSIDE or (tag == "header" and not article)
+        named = whole = False
         for name, value in attrs if tag not in ("html", "body") else ():
             if name in ("class", "id"):
-                outside = outside or not _OUTSIDE_WORDS.isdisjoint(_NAME.findall((value or "").lower()))
+                value = (value or "").lower()
+                named = named or not _OUTSIDE_WORDS.isdisjoint(_NAME.findall(value))
+                whole = whole or not _OUTSIDE_WORDS.isdisjoint(value.split())
             elif name == "role":
                 outside = outside or (value or "").lower() in _OUTSIDE_ROLES
             elif name in ("hidden",) or (name == "aria-hidden" and value == "true"):
                 outside = True
-        self.stack.append((tag, outside, section, article or tag in ("article", "main")))
+        if named and not outside and tag not in ("article", "main"):
+            self.marked.append([mark, 0, 0, whole])
+            mark = len(self.marked) - 1
+            cut = cut or mark not in self.kept
+        if tag == "article" or (tag == "main" and not article):
+            article = tag
+        self.stack.append((tag, outside, cut, section, article, mark))
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -113,7 +134,18 @@ class LineReader(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
-        if self.stack and self.stack[-1][1]:
+        outside, cut, _, article, mark = self.state()
+        if outside:
+            return
+        chars = sum(map(len, data.split()))
+        while True:
+            entry = self.marked[mark]
+            entry[1] += chars
+            entry[2] += chars if article else 0
+            if not mark:
+                break
+            mark = entry[0]
+        if cut:
             return
         self.text.append(data)
         if self.in_link:
@@ -121,11 +153,19 @@ class LineReader(HTMLParser):
 
 
 def page_lines(html: str) -> list[tuple[str, int, int, int, bool]]:
-    reader = LineReader()
-    reader.feed(html)
-    reader.close()
-    reader.end_line()
-    return reader.lines
+    kept: frozenset[int] = frozenset()
+    while True:
+        reader = LineReader(kept)
+        reader.feed(html)
+        reader.close()
+        reader.end_line()
+        # what holds most of the text is no side part, whatever its name: read again with it
+        _, total, in_article, _ = reader.marked[0]
+        large = frozenset(i for i, (_, n, inside, whole) in enumerate(reader.marked)
+                          if i and 2 * n > total and (inside == in_article or not whole))
+        if large == kept:
+            return reader.lines
+        kept = large
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -144,15 +184,14 @@ def main_text(html: str | None) -> str:
     links = np.array([n for _, _, n, *_ in lines], float)
     section = np.array([s for _, _, _, s, _ in lines])
     article = np.array([a for *_, a in lines], bool)
-    ratio = smoothed((chars - links) / np.maximum(tags, 1))
+    plain = chars - links
+    ratio = smoothed(plain / np.maximum(tags, 1))
     content = ratio >= min(ratio.std(), ratio.mean())
     sections, of = np.unique(section, return_inverse=True)
-    above = np.bincount(of, chars * content, len(sections))
-    if (content & article).any():
-        chosen = article
-    else:
-        share = above / np.bincount(of, chars, len(sections))
-        chosen = (share >= min(0.5, share.max()))[of]
+    above = np.bincount(of, plain * content, len(sections))
+    share = above / np.maximum(np.bincount(of, plain, len(sections)), 1)
+    enough = min(_SHARE, share.max()) * np.where(article, _ARTICLE_SHARE, 1.0)
+    chosen = share[of] >= enough
     return "\n".join(line[0] for line, keep in zip(lines, chosen) if keep)
 
 

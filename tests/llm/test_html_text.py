@@ -22,6 +22,31 @@ def test_regions_without_article_element():
     assert main_text(page).split("\n")[1:] == main_text(PAGE).split("\n")[1:]
 
 
+def test_text_beside_teaser_cards_is_the_article():
+    story = "".join(f"<p>{i} {LONG}</p>" for i in range(6))
+    card = "<article><h3><a href='/{0}'>Another story {0}</a></h3><p>A few words on it.</p><a href='/{0}'>More</a></article>"
+    cards = "".join(card.format(i) for i in range(8)) + "<article><p>An opinion, in two short lines.</p></article>"
+    want = [f"{i} {' '.join(LONG.split())}" for i in range(6)]
+    for page in (f"<body><div class='story'>{story}</div><div class='box'>{cards}</div></body>",
+                 f"<body><main><div class='box'>{cards}</div><div class='story'>{story}</div></main></body>"):
+        assert main_text(page).split("\n") == want
+
+
+def test_class_words_do_not_hide_the_article():
+    story = "".join(f"<p>{i} {LONG}</p>" for i in range(6))
+    want = [f"{i} {' '.join(LONG.split())}" for i in range(6)]
+    side = f"<div class='sidebar'><p>{LONG}</p></div>"
+    for page in (f"<div class='wrap has-sidebar'><div class='text'>{story}</div>{side}</div>",
+                 f"<div id='header-less'><div class='share-enabled text'>{story}</div>{side}</div>",
+                 f"<article class='post comments-open'>{story}{side}</article>",
+                 f"<main id='skip-target'>{story}</main>{side}"):
+        assert main_text(f"<html><body>{page}</body></html>").split("\n") == want
+
+
+def test_a_long_advert_beside_a_short_article_stays_out():
+    assert main_text(f"<div class='ad'>{LONG}</div><article><h1>Short</h1><p>news</p></article>") == "Short\nnews"
+
+
 def test_broken_and_empty_pages():
     assert main_text(None) == main_text("") == main_text("<html><nav>menu</nav>") == ""
     assert main_text("<article><p>cut off in the mid") == "cut off in the mid"
