@@ -3,7 +3,9 @@
 Every token has a score: its log-odds between toxic and clean documents, counted
 once per document, under a Dirichlet prior (a part by the token's share of all
 tokens, and one document of either kind, so that rare words say little), less a margin that makes the expected score of clean text negative.
-One linear scan finds all maximal scoring segments of a text. On clean text the
+One linear scan finds all maximal scoring segments of a text. A segment counts as much as
+its best stretch, in which a word that speaks against the text counts once and its repeats
+are neutral; what is said elsewhere in the text changes nothing. On clean text the
 best segment of n tokens follows an extreme-value law, P(S >= x) = 1 - exp(-K n
 exp(-lambda x)); lambda solves sum p exp(lambda s) = 1 over the clean tokens unless the best
 segments of clean documents have a heavier tail, and K is fitted to those. Segments with a small expected
@@ -126,16 +128,51 @@ def _logistic(x: tuple[float, float], weights: tuple[float, float, float]) -> fl
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def _score_text(text: str | None, pieces: PieceScores) -> np.ndarray:
-    """Scores of the words; a word speaks against a text once, its repeats count as neutral."""
+def _best_stretch(words: list[str], scores: np.ndarray) -> float:
+    """The largest sum of a stretch in which every positive word counts once, repeats as 0.
+
+    ``sums[i]`` is the sum of the stretch from the i-th positive word up to the current
+    one, less the negative scores left of either. A word adds to the stretches that start after
+    its last occurrence. Stretches lie in blocks with an addend and a maximum each, so
+    a word costs the square root of the number of words.
+    """
+    at = np.flatnonzero(scores > 0)
+    n, width = len(at), max(64, math.isqrt(len(at)))
+    cost = np.cumsum(np.minimum(scores, 0))[at]      # negative scores left of each positive word
+    sums = np.full(-(-n // width) * width, -np.inf)
+    added, top = np.zeros(len(sums) // width), np.full(len(sums) // width, -np.inf)
+    last: dict[str, int] = {}
+    best = 0.0
+    for j, (i, left) in enumerate(zip(at.tolist(), cost.tolist())):
+        block = j // width
+        sums[j] = -left - added[block]
+        lo, gain = last.get(words[i], -1) + 1, scores[i]
+        last[words[i]] = j
+        first = lo // width
+        if first == block:
+            sums[lo:j + 1] += gain
+        else:
+            sums[lo:(first + 1) * width] += gain
+            top[first] = sums[first * width:(first + 1) * width].max() + added[first]
+            added[first + 1:block] += gain
+            top[first + 1:block] += gain
+            sums[block * width:j + 1] += gain
+        top[block] = sums[block * width:j + 1].max() + added[block]
+        best = max(best, float(top[:block + 1].max()) + left)
+    return best
+
+
+def _text_segments(text: str | None, pieces: PieceScores) -> tuple[list[str], list[tuple[int, int, float]]]:
+    """The words of a text and its maximal segments, each with the sum of its best stretch."""
     words = text.split() if text else []
     scores = np.fromiter(map(pieces.__getitem__, words), np.float64, len(words))
-    said: set[str] = set()
-    for i in np.flatnonzero(scores > 0).tolist():
-        if words[i] in said:
-            scores[i] = -_MARGIN
-        said.add(words[i])
-    return scores
+    segments = []
+    for start, end, total in maximal_segments(scores):
+        own = words[start:end]
+        if end - start > 1 and len(set(own)) < len(own):
+            total = _best_stretch(own, scores[start:end])
+        segments.append((start, end, total))
+    return words, segments
 
 
 # -- learning -------------------------------------------------------------------
@@ -230,10 +267,10 @@ def _measure(scores: dict[str, float]):
         for batch in batches:
             toxic, n, segments = [], [], []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = _score_text(text, pieces)
+                words, found = _text_segments(text, pieces)
                 toxic.append(bool(label))
-                n.append(len(s))
-                segments.append([x for _, _, x in maximal_segments(s)])
+                n.append(len(words))
+                segments.append([x for _, _, x in found])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(toxic), pa.array(n, pa.int64()), pa.array(segments, pa.list_(pa.float64()))],
                 names=["toxic", "n", "segments"])
@@ -315,8 +352,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
                 if not m.usable():
                     out.append(0.0)
                     continue
-                s = _score_text(text.as_py(), pieces)
-                out.append(_logistic(_features(maximal_segments(s), len(s), m), m.weights))
+                words, segments = _text_segments(text.as_py(), pieces)
+                out.append(_logistic(_features(segments, len(words), m), m.weights))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())],
                                              names=[*names, out_col])
 
@@ -334,8 +371,8 @@ def toxic_passages(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = (text.as_py() or "").split()
-                for start, end, s in maximal_segments(_score_text(text.as_py(), pieces)):
+                words, segments = _text_segments(text.as_py(), pieces)
+                for start, end, s in segments:
                     chance = m.k * len(words) * math.exp(-m.lam * s)
                     if chance <= m.max_evalue:
                         rows.append((doc_id, start, end - start, " ".join(words[start:end]), s, chance))

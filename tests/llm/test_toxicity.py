@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from fixtures import awkward, empty, words
 from peerscope.llm.common import held_out
-from peerscope.llm.toxicity import drop_toxic, fit_toxicity, maximal_segments, score_toxicity, toxic_passages
+from peerscope.llm.toxicity import (PieceScores, ToxicityModel, _best_stretch, _text_segments, drop_toxic,
+                                    fit_toxicity, maximal_segments, score_toxicity, toxic_passages)
 
 INSULTS = ["blockhead", "nitwit", "dunce", "oaf"]
 
@@ -53,6 +54,44 @@ def test_segments_equal_their_definition():
         assert np.allclose([g[2] for g in got], [w[2] for w in want])
 
 
+def test_best_stretch_equals_its_definition():
+    rng = np.random.default_rng(3)
+    for case in range(60):
+        n = int(rng.integers(1, 25)) if case else 600
+        words = [f"w{i}" for i in rng.integers(0, 8 if case else 200, n)]
+        value = {w: rng.normal(0.2, 1) for w in words}
+        scores = np.array([value[w] for w in words])
+        want = 0.0
+        for i in range(n):
+            total, said = 0.0, set()
+            for w, x in zip(words[i:], scores[i:]):
+                total += 0.0 if x > 0 and w in said else x
+                said.add(w)
+                want = max(want, total)
+        assert np.isclose(_best_stretch(words, scores), want)
+
+
+def test_a_repeated_passage_is_found_each_time(spark):
+    model = ToxicityModel({"": -0.7, **{w: 3.0 for w in INSULTS}}, lam=1.0, k=0.1)
+    clean, passage = words(7, 60), " ".join(INSULTS)
+    # scattered: every insult stands singly in clean context long before the dense passage
+    scattered = " ".join(f"{words(20 + i, 60)} {w}" for i, w in enumerate(INSULTS))
+    # dense: a few insults said over and over, with clean words between them
+    texts = [f"{clean} {passage} {clean} {passage} {clean}", f"{scattered} {clean} {passage}",
+             f"{clean} {passage} {clean}", f"{clean} " + " ".join([passage, "and so"] * 5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {}
+    for p in toxic_passages(docs, model).collect():
+        found.setdefault(p["doc_id"], []).append((p["passage"], round(p["score"], 6)))
+    assert found == {0: [(passage, 12.0)] * 2, 1: [(passage, 12.0)], 2: [(passage, 12.0)],
+                     3: [(" ".join([passage, "and so"] * 4 + [passage]), 12.0)]}
+
+
+def test_repeats_do_not_add_up():
+    pieces = PieceScores({"": -0.7, "oaf": 3.0})
+    assert _text_segments("oaf " * 50, pieces)[1] == [(0, 50, 3.0)]
+
+
 def test_held_out_documents_are_told_apart(spark):
     docs, labels = labelled(spark)
     model = fit_toxicity(docs, labels)
