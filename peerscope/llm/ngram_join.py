@@ -23,7 +23,9 @@ link when 100 * intersection >= ``percent`` * union.
    lost, and a group of thousands of near copies costs about as many pairs as members.
 
 Hot groups: copies are one class; a shingle that very many documents share
-is late in the order; the sets of a star's members are dealt over salts.
+is late in the order; the sets of a star's members are dealt over salts. In the last round
+the entries of a shingle are dealt over blocks of about ``_BLOCK``, and every two blocks meet in
+a group of their own; of its pairs a task keeps only those that pass the bitmap bound.
 
 Defined results: null, empty or blank text has an empty set, links with
 nothing and is its own component; repeated rows are copies of each other.
@@ -49,6 +51,7 @@ COUNT_BITS = 22          # the count table: 2**22 counters of 4 bytes, at every
 _COUNT_SLICES = 64
 _FLUSH = 1 << 20
 _MEMBERS_PER_SALT = 64
+_BLOCK = 2048            # entries of one shingle that meet in one group of the last round
 
 
 # -- inside tasks ---------------------------------------------------------------
@@ -270,6 +273,16 @@ def _group_pairs(keys: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarra
                     yield a[later] + at, b[later] + at + 1
 
 
+def _side_pairs(side: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of index pairs of different roots, one of either side of a block pair."""
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    step = max(1, _FLUSH // max(1, len(right)))
+    for at in range(0, len(left), step):
+        part = left[at:at + step]
+        i, j = np.nonzero(root[part, None] != root[None, right])
+        yield part[i], right[j]
+
+
 def _likely(a: np.ndarray, b: np.ndarray, n: np.ndarray, bits: list[bytes], percent: int) -> np.ndarray:
     """Which pairs of class positions the bitmap bound lets through."""
     width = np.array([len(x) for x in bits])
@@ -296,23 +309,32 @@ def _likely(a: np.ndarray, b: np.ndarray, n: np.ndarray, bits: list[bytes], perc
 
 
 def _cross_pairs(percent: int):
-    """Task function: all pairs of one tile between different components within the bounds."""
+    """Task function: all pairs of one group between different components within the bounds."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("key", ignore_index=True)
         classes, first, of = np.unique(rows["a"].to_numpy(), return_index=True, return_inverse=True)
         n = rows["n"].to_numpy()[first]
         bits = rows["bits"].iloc[first].tolist()
+        root, side = rows["root"].to_numpy(), rows["side"].to_numpy()
         found, new = np.empty(0, np.int64), []
-        for i, j in _group_pairs(rows["key"].to_numpy(), rows["root"].to_numpy()):
+
+        def bounded() -> np.ndarray:
+            """The pairs found so far and those of the new ones that the bitmaps let through."""
+            pairs = np.setdiff1d(np.concatenate([found[:0], *new]), found)
+            new.clear()
+            keep = _likely(pairs // len(classes), pairs % len(classes), n, bits, percent)
+            return np.union1d(found, pairs[keep])
+
+        blocks = _group_pairs(rows["key"].to_numpy(), root) if side[0] < 0 else _side_pairs(side, root)
+        for i, j in blocks:
             a, b = np.minimum(of[i], of[j]), np.maximum(of[i], of[j])
             fit = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
             new.append(a[fit] * len(classes) + b[fit])
             if sum(map(len, new)) >= 4 * _FLUSH:
-                found, new = np.unique(np.concatenate([found, *new])), []
-        found = np.unique(np.concatenate([found, *new]))
-        a, b = found // len(classes), found % len(classes)
-        keep = _likely(a, b, n, bits, percent)
-        return pd.DataFrame({"a": classes[a[keep]], "b": classes[b[keep]]}).astype("int64")
+                found = bounded()
+        found = bounded()
+        return pd.DataFrame({"a": classes[found // len(classes)],
+                             "b": classes[found % len(classes)]}).astype("int64")
     return run
 
 
@@ -347,14 +369,32 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int)
 
 
 def _open_entries(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """Entries (key, band, a, root) of shingles that stand in two components or more."""
+    """Entries (key, band, a, root, blocks) of shingles that stand in two components or more."""
     labelled = entries.join(roots, F.col("a") == F.col("node"), "left").select(
         "key", "band", "a", F.coalesce("root", "a").alias("root"))
-    split = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")) \
-                    .where("lo != hi").select("key")
+    split = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
+                                        F.ceil(F.count(F.lit(1)) / _BLOCK).cast("int").alias("blocks")) \
+                    .where("lo != hi").select("key", "blocks")
     return labelled.join(split, "key")
 
 
+def _pair_groups(open_entries: DataFrame, tiles: int) -> DataFrame:
+    """Entries with the group (tile, hot, lo, hi) in which they meet, and their side of it.
+
+    Shingles of one block share the groups of their tile; the entries of another meet in a group of
+    its own for every two blocks, as sides 0 and 1, and within each block (side -1).
+    """
+    own = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
+    return (open_entries.withColumn("own", own)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+            .withColumn("side", F.when(F.col("lo") == F.col("hi"), -1)
+                        .otherwise((F.col("own") == F.col("hi")).cast("int")))
+            .withColumn("tile", F.pmod("key", F.lit(tiles)))
+            .withColumn("hot", F.when(F.col("blocks") > 1, F.col("key")))
+            .drop("own", "other", "blocks"))
+
+
 def _next_star(open_entries: DataFrame, turn: int) -> DataFrame:
     """Star pairs with another leader per shingle, between different components."""
     lead = open_entries.groupBy("key").agg(
@@ -405,7 +445,7 @@ def ngram_components(docs: DataFrame, percent: int = 75, star_rounds: int = 1,
             pairs = _next_star(left, turn)
         else:
             meta = classes.select(F.col("cls").alias("a"), "n", "bits")
-            pairs = (left.join(meta, "a").groupBy(F.pmod("key", F.lit(tiles)).alias("tile"))
+            pairs = (_pair_groups(left.join(meta, "a"), tiles).groupBy("tile", "hot", "lo", "hi")
                      .applyInPandas(_cross_pairs(percent), "a long, b long").distinct())
         more = _verify(pairs, classes, docs, percent)
         links = union_all([links, more])

@@ -1,11 +1,14 @@
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 
 from fixtures import awkward, awkward_rows, empty, words
 from peerscope.llm.components import connected_components
-from peerscope.llm.ngram_join import (bitmap, differing_bits, keep_one_per_component, may_link,
+from peerscope.llm import ngram_join
+from peerscope.llm.ngram_join import (_cross_pairs, _pair_groups, bitmap, differing_bits, keep_one_per_component, may_link,
                                       ngram_components)
 
 
@@ -68,6 +71,38 @@ def test_bitmap_bound_never_drops_a_link():
             assert may_link(len(a), len(b), differ, 75)
 
 
+def test_hot_shingles_are_dealt_over_block_pairs(spark, monkeypatch):
+    """Texts assembled of common passages: no two link, and many share their shingles."""
+    monkeypatch.setattr(ngram_join, "_BLOCK", 4)
+    passages = [words(2000 + i, 25) for i in range(6)]
+    rows = [(i, " ".join([passages[i % 6], words(3000 + i, 20), passages[(i * 5 + 1) % 6]])) for i in range(60)]
+    rows += near_copies()
+    got = ngram_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {tuple(r) for r in got.collect()} == brute(rows)
+
+    entries = [(7, a, 13) for a in range(50)] + [(8, a, 1) for a in range(4)]
+    groups = defaultdict(list)
+    for r in _pair_groups(spark.createDataFrame(entries, "key long, a long, blocks int"), 1).collect():
+        groups[r["tile"], r["hot"], r["lo"], r["hi"]].append((r["key"], r["a"], r["side"]))
+    pairs = [(k, *sorted((a, b))) for g in groups.values() for x, (k, a, s) in enumerate(g)
+             for (j, b, t) in g[x + 1:] if k == j and (s < 0 or s != t)]
+    assert len(pairs) == len(set(pairs)) == 50 * 49 // 2 + 6
+    assert len(groups) > 50 and max(map(len, groups.values())) < 30
+
+
+def test_pairs_beyond_the_bitmap_bound_are_not_kept(monkeypatch):
+    monkeypatch.setattr(ngram_join, "_FLUSH", 1 << 14)
+    rng, m = np.random.default_rng(5), 3000       # 4.5 million pairs, 36 MB
+    rows = pd.DataFrame({"key": 1, "a": np.arange(m), "root": np.arange(m), "n": 100, "side": -1,
+                         "bits": [bitmap(rng.integers(0, 2**63, 100, dtype=np.uint64)) for _ in range(m)]})
+    rows.loc[1, "bits"] = rows.loc[0, "bits"]
+    tracemalloc.start()
+    out = _cross_pairs(75)(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.values.tolist() == [[0, 1]] and peak < 20e6
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100)] + [(1000, 1000 + i) for i in range(50)] + [(5, 5)]
     got = connected_components(spark.createDataFrame(links, "a long, b long")).collect()
