@@ -5,13 +5,13 @@ sets form one class, and classes are joined, never their copies. Two classes
 link when 100 * intersection >= ``percent`` * union.
 
 1. profile: one pass over the texts gives set size, class and a parity bitmap
-   whose width follows the size band (a factor 4/3 of sizes), and counts
+   whose width follows the size band (a factor 100/percent of sizes, at least 4/3), and counts
    shingles in a table of fixed size that covers all documents.
 2. tiles: every class is entered under the n - ceil(0.75 n) + 1 shingles
    that come first in one global order, rare shingles first (by the count
    table, ties by hash). Two sets that link share such a shingle. Entries meet in
    tiles of (hash range of the shingle, size band); a class looks at its own and
-   the next lower band only, as sizes of linked sets differ by 4/3 at most.
+   the next lower band only, as sizes of linked sets differ by that factor at most.
 3. rounds: within a tile each shingle proposes its smallest class as partner
    of the others (a star, as many pairs as entries). The number of bits in which two
    bitmaps differ is at most the number of shingles in which the sets differ, so
@@ -56,9 +56,9 @@ _BLOCK = 2048            # entries of one shingle that meet in one group of the
 
 # -- inside tasks ---------------------------------------------------------------
 
-def size_band(n: np.ndarray) -> np.ndarray:
-    """Sizes up to a factor 4/3 apart are in the same or in neighbouring bands."""
-    return np.floor(np.log(np.maximum(n, 1)) / math.log(4 / 3) + 1e-9).astype(np.int16)
+def size_band(n: np.ndarray, percent: int = 75) -> np.ndarray:
+    """Sizes of sets that can link (a factor 100/percent, at least 4/3) are in the same or in neighbouring bands."""
+    return np.floor(np.log(np.maximum(n, 1)) / math.log(max(4 / 3, 100 / percent)) + 1e-9).astype(np.int16)
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
@@ -131,7 +131,7 @@ def _entries(order, tiles: int, percent: int):
             keys = np.concatenate([k for k, _, _ in held])
             lengths = [len(k) for k, _, _ in held]
             classes = np.repeat(np.array([c for _, c, _ in held], np.int64), lengths)
-            bands = np.repeat(size_band(np.array([n for _, _, n in held])), lengths)
+            bands = np.repeat(size_band(np.array([n for _, _, n in held]), percent), lengths)
             tile = (keys >> np.uint64(40)).astype(np.int64) % tiles
             at = np.argsort(tile, kind="stable")
             keys, classes, bands, tile = keys[at], classes[at], bands[at], tile[at]
@@ -412,6 +412,8 @@ def ngram_components(docs: DataFrame, percent: int = 75, star_rounds: int = 1,
 
     ``component_id`` is the smallest doc_id reachable over links.
     """
+    if not 1 <= percent <= 100:
+        raise ValueError(f"percent must be between 1 and 100, not {percent}")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profile = written(texts.mapInArrow(
         _profile, "doc_id long, n long, cls long, bits binary, slice int, counts binary"),

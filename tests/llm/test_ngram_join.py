@@ -9,7 +9,7 @@ from fixtures import awkward, awkward_rows, empty, words
 from peerscope.llm.components import connected_components
 from peerscope.llm import ngram_join
 from peerscope.llm.ngram_join import (_cross_pairs, _pair_groups, bitmap, differing_bits, keep_one_per_component, may_link,
-                                      ngram_components)
+                                      ngram_components, size_band)
 
 
 def shingles(text):
@@ -103,6 +103,18 @@ def test_pairs_beyond_the_bitmap_bound_are_not_kept(monkeypatch):
     assert out.values.tolist() == [[0, 1]] and peak < 20e6
 
 
+def test_size_bands_follow_the_percentage(spark):
+    long = words(4000, 100)
+    rows = [(1, long), (2, " ".join(long.split()[:56])), (3, words(4001, 60))]     # 52 of 96 shingles
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_components(docs, 50).collect()} == {1: 1, 2: 1, 3: 3}
+    for percent in (1, 30, 50, 75, 90, 100):
+        n = np.arange(1, 400)
+        bands = size_band(n, percent).astype(int)
+        a, b = np.nonzero(100 * n[:, None] >= percent * n[None, :])
+        assert (bands[b] - bands[a]).max() <= 1
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100)] + [(1000, 1000 + i) for i in range(50)] + [(5, 5)]
     got = connected_components(spark.createDataFrame(links, "a long, b long")).collect()
