@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 class Limits:
     # vocabulary rows (term string + two numbers, ~60 bytes each) -> ~120 MB
     vocab_broadcast_rows: int = 2_000_000
-    # per-document norm rows (long + double) -> ~64 MB
-    norm_broadcast_rows: int = 4_000_000
     # queries, documents or vectors in one block of a block pair: a pair's score
     # matrix has at most the square of it in doubles (32 MB)
     block_rows: int = 2_048
+    # a vector corpus of up to so many blocks is multiplied whole, without pivots
+    whole_blocks: int = 4
+    # pivots of a larger one: a pivot table of 1,024 vectors of 1,024 doubles has 8 MB
+    pivots: int = 1_024
 
 
 DEFAULT_LIMITS = Limits()

@@ -588,3 +588,10 @@ def _q33():
 SELECT vec_id AS paper_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim,
        round(CAST(unnest(embedding) AS DOUBLE), 6) AS value
 FROM embeddings"""
+
+
+# other plans for the same results
+ORACLE["q34_bounded_papers"] = ORACLE["q07_sparse_cosine"]
+ORACLE["q35_bounded_authors"] = ORACLE["q08_recommend_tfidf"]
+ORACLE["q36_pivoted_papers"] = ORACLE["q10_dense_cosine"]
+ORACLE["q37_pivoted_authors"] = ORACLE["q18_similar_authors"]

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peerscope.functions.text import normalize_text
+from peerscope.operators.bounded_index import bounded_papers
 from peerscope.operators.dense import (author_profiles, dense_top_papers, recommend_dense,
                                       similar_authors)
 from peerscope.operators.encode import hashed_counts, hashing_vectors
@@ -24,6 +25,7 @@ from peerscope.operators.extract import (concat_pages, extract_text, failed_docu
 from peerscope.operators.ranking import author_list, top_papers
 from peerscope.operators.recommend import (excluded_by_score, recommend, recommend_tfidf,
                                            submission_status, valid_submissions)
+from peerscope.operators.sizing import Limits
 from peerscope.operators.tfidf import fit_tfidf, sparse_cosine, term_counts, transform_tfidf
 from peerscope.plans.stand_ins import author_directory
 from peerscope.session import scratch_path, write_table
@@ -413,3 +415,36 @@ def q33_saved_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _saved_index(spark, sf_dir).vectors
     return v.select("paper_id", F.posexplode("embedding").alias("dim", "x")).select(
         "paper_id", "dim", F.round(F.col("x").cast("double"), 6).alias("value"))
+
+
+@query("q34_bounded_papers")
+def q34_bounded_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closest documents of every submission from the score-bounded index (the lists of q07)."""
+    index = _index(spark, sf_dir)
+    q = transform_tfidf(benchmark_submissions(spark, sf_dir), index)
+    return bounded_papers(q, index, K).select("query_id", "rank", "doc_id", "author", r6("score").alias("score"))
+
+
+@query("q35_bounded_authors")
+def q35_bounded_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The authors of q08 from the score-bounded index."""
+    r = recommend_tfidf(benchmark_submissions(spark, sf_dir), _index(spark, sf_dir), k=K, scoring="bounded")
+    return r.select("query_id", "rank", "author", r6("score").alias("score"))
+
+
+# small blocks, so that tables of any size are searched around pivots
+_PIVOTED = Limits(block_rows=256, whole_blocks=0)
+
+
+@query("q36_pivoted_papers")
+def q36_pivoted_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closest papers of every paper vector (q10) without the block pairs that pivots rule out."""
+    s = dense_top_papers(_embedding_queries(spark, sf_dir), embedding_corpus(spark, sf_dir), k=K, limits=_PIVOTED)
+    return s.select("query_id", "rank", "paper_id", "author", r6("score").alias("score"))
+
+
+@query("q37_pivoted_authors")
+def q37_pivoted_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar authors (q18) found around pivots."""
+    s = similar_authors(author_profiles(embedding_corpus(spark, sf_dir)), k=K, limits=_PIVOTED)
+    return s.select("author", "rank", "similar_author", r6("similarity").alias("similarity"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from peerscope.functions.text import normalize_text
 from peerscope.operators.extract import Stage, extract_text, failed_documents, kept_documents
 from peerscope.session import write_table
+from peerscope.sources.file_tree import list_files, read_files
 from peerscope.sources.ids import with_dense_id
 
 
@@ -18,17 +19,15 @@ INGEST_OBSERVATION = "ingest"
 
 
 def scan_corpus(spark: SparkSession, root: str, suffix: str = "*.pdf") -> DataFrame:
-    """(full_path, author, paper, content, length): every matching file below ``root``.
+    """(full_path, author, paper, content, length, read_error): every matching file below ``root``.
 
-    The suffix test is case-sensitive (``.PDF`` is not read). The author is
-    the first folder below the root; a file directly in the root gets
-    author ``"."``. Spark's listing skips names starting with '_' or '.'.
+    All folders and files count, whatever their names. The suffix test is
+    case-sensitive (``.PDF`` is not read). The author is the first folder below
+    the root; a file directly in the root gets author ``"."``. Folders and
+    files that cannot be read are rows with ``read_error`` and no content.
     """
     root = _qualified(spark, root)
-    files = (spark.read.format("binaryFile")
-             .option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", suffix)
-             .load(root))
+    files = read_files(list_files(spark, root, suffix), root)
     depth = len([p for p in _PREFIX.sub("", root).split("/") if p])
     parts = F.filter(F.split(F.regexp_replace("path", _PREFIX.pattern, ""), "/"), lambda p: p != "")
     below = F.slice(parts, depth + 1, F.size(parts))
@@ -37,7 +36,7 @@ def scan_corpus(spark: SparkSession, root: str, suffix: str = "*.pdf") -> DataFr
         F.col("path").alias("full_path"),
         author.alias("author"),
         F.element_at(parts, -1).alias("paper"),
-        "content", "length")
+        "content", "length", F.col("error").alias("read_error"))
 
 
 # scheme and authority of a path
@@ -67,6 +66,7 @@ def build_corpus(spark: SparkSession, root: str, stages: Sequence[Stage] | None
     """
     files = scan_corpus(spark, root, suffix)
     extracted = extract_text(files, stages or [utf8_stage()], source_col="content",
+                             guards=[("unreadable", F.col("read_error").isNotNull())],
                              timeout_s=timeout_s).drop("content")
     # success / failure counts ride along with the first action, no extra pass
     extracted = extracted.observe(

@@ -10,7 +10,7 @@ from peerscope.operators.sizing import Limits
 from peerscope.operators.tfidf import fit_tfidf, sparse_cosine, transform_tfidf
 from peerscope.sources.ids import with_dense_id
 
-TINY = Limits(vocab_broadcast_rows=3, norm_broadcast_rows=3, block_rows=5)
+TINY = Limits(vocab_broadcast_rows=3, block_rows=5)
 
 
 def _tfidf_inputs(spark):
