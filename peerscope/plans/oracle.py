@@ -595,3 +595,10 @@ ORACLE["q34_bounded_papers"] = ORACLE["q07_sparse_cosine"]
 ORACLE["q35_bounded_authors"] = ORACLE["q08_recommend_tfidf"]
 ORACLE["q36_pivoted_papers"] = ORACLE["q10_dense_cosine"]
 ORACLE["q37_pivoted_authors"] = ORACLE["q18_similar_authors"]
+
+
+@oracle("q38_lsa_vectors")
+def _q38():
+    return f"""
+WITH {index_ctes()}
+SELECT DISTINCT doc_id, author, CAST(64 AS INTEGER) AS dim, 1.0::DOUBLE AS norm FROM postings"""
