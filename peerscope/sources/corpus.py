@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from peerscope.functions.text import normalize_text
 from peerscope.operators.extract import Stage, extract_text, failed_documents, kept_documents
+from peerscope.operators.pages import PageStage, extract_files
 from peerscope.session import write_table
 from peerscope.sources.file_tree import list_files, read_files
 from peerscope.sources.ids import with_dense_id
@@ -57,17 +58,26 @@ def utf8_stage(content_col: str = "content") -> Stage:
 
 
 def build_corpus(spark: SparkSession, root: str, stages: Sequence[Stage] | None = None,
-                 suffix: str = "*.pdf", timeout_s: float | None = None) -> tuple[DataFrame, DataFrame]:
+                 suffix: str = "*.pdf", timeout_s: float | None = None,
+                 readers: Sequence[PageStage] | None = None) -> tuple[DataFrame, DataFrame]:
     """(corpus, failed): scan, extract, keep rows with text, normalise.
 
+    ``stages`` work on whole files; ``readers`` (instead) page by page, each
+    page in a child process with a time limit (``operators.pages``).
+
     ``corpus``: (paper_id, author, paper, full_path, raw_text, processed_text,
     extractor); ``paper_id`` is a dense id in path order. ``failed``:
     (full_path, reason).
     """
     files = scan_corpus(spark, root, suffix)
-    extracted = extract_text(files, stages or [utf8_stage()], source_col="content",
-                             guards=[("unreadable", F.col("read_error").isNotNull())],
-                             timeout_s=timeout_s).drop("content")
+    if readers:
+        texts, _ = extract_files(files, readers)
+        extracted = files.drop("content").join(texts, "full_path").withColumn(
+            "status", F.when(F.col("read_error").isNotNull(), "unreadable").otherwise(F.col("status")))
+    else:
+        extracted = extract_text(files, stages or [utf8_stage()], source_col="content",
+                                 guards=[("unreadable", F.col("read_error").isNotNull())],
+                                 timeout_s=timeout_s).drop("content")
     # success / failure counts ride along with the first action, no extra pass
     extracted = extracted.observe(
         INGEST_OBSERVATION, F.count(F.lit(1)).alias("files"),
