@@ -20,6 +20,8 @@ class Limits:
     # queries, documents or vectors in one block of a block pair: a pair's score
     # matrix has at most the square of it in doubles (32 MB)
     block_rows: int = 2_048
+    # names of one Aho-Corasick automaton: about 10 MB as text
+    names: int = 200_000
     # a vector corpus of up to so many blocks is multiplied whole, without pivots
     whole_blocks: int = 4
     # pivots of a larger one: a pivot table of 1,024 vectors of 1,024 doubles has 8 MB

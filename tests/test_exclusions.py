@@ -1,4 +1,7 @@
-from peerscope.operators.exclusions import listed_authors
+import pyarrow as pa
+
+from peerscope.operators.exclusions import _hits, automaton, listed_authors, names_in
+from peerscope.operators.sizing import Limits
 from peerscope.operators.recommend import exclude_and_rerank, excluded_by_score
 
 
@@ -47,9 +50,20 @@ def test_keyed_plan_equals_brute_force(spark):
     texts = [(i, " ".join(rng.choice(words) for _ in range(50))) for i in range(40)]
     names = words + ["eta", "ph", "q", "ha ga", "epsilonic beta", "epsilonix"]
     directory = _dir(spark, [(f"au{i}", w) for i, w in enumerate(names)])
-    got = sorted((r.query_id, r.author) for r in listed_authors(_subs(spark, texts), directory).collect())
     want = sorted((i, f"au{j}") for i, t in texts for j, w in enumerate(names) if w in t)
-    assert got == want and len(got) > 0
+    # one automaton for all names, and shards of a few names each
+    for limits in (Limits(), Limits(names=3, block_rows=7)):
+        got = sorted((r.query_id, r.author) for r in listed_authors(_subs(spark, texts), directory, limits=limits).collect())
+        assert got == want and len(got) > 0
+
+
+def test_one_row_per_hit_leaves_the_scan():
+    machine = automaton(["an", "ana", "banana", "x"])
+    assert names_in(machine, "banana banana an") == {"an", "ana", "banana"}
+    batch = _hits(pa.array([7, 8, 9]), ["banana banana", "none", "x an"], machine)
+    assert sorted(zip(*(c.to_pylist() for c in batch.columns))) == [
+        (7, "an"), (7, "ana"), (7, "banana"), (9, "an"), (9, "x")]
+    assert names_in(automaton([]), "text") == set()
 
 
 def test_no_nested_loop_without_empty_names(spark):

@@ -179,3 +179,19 @@ def test_stream_over_epochs_with_a_replay(spark, tmp_dir, both):
     assert run() == first
     methods = {r.method for r in spark.read.parquet(sink).collect()} if both else {"tfidf"}
     assert methods == ({"tfidf", "embedding"} if both else {"tfidf"})
+
+
+def test_exact_overfetch_goes_past_authors_at_the_threshold(spark):
+    """More authors reach the threshold than any fixed over-fetch holds."""
+    rows = [(i, f"near{i:02d}", "graph query", [1.0, 0.0]) for i in range(30)]
+    rows += [(100 + i, f"far{i}", "graph index", [0.5, 1.0]) for i in range(3)]
+    corpus = spark.createDataFrame(rows, "doc_id long, author string, processed_text string, embedding array<double>")
+    index = ps.fit_tfidf(corpus, min_df=1, max_df=1.0)
+    vectors = corpus.select(corpus.doc_id.alias("paper_id"), "author", "embedding")
+    subs = spark.createDataFrame([(1, "graph by far1", "graph", [1.0, 0.0]), (2, "x", "index", [0.0, 1.0])],
+                                 "query_id long, raw_text string, processed_text string, embedding array<double>")
+    top = ps.recommend(subs, index, vectors, k=3, overfetch=None).collect()
+    got = {(r.query_id, r.method): [x.author for x in sorted(top, key=lambda x: x["rank"])
+                                    if (x.query_id, x.method) == (r.query_id, r.method)] for r in top}
+    assert got[1, "embedding"] == got[1, "tfidf"] == ["far0", "far2"]
+    assert got[2, "embedding"] == got[2, "tfidf"] == ["far0", "far1", "far2"]
