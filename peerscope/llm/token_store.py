@@ -8,8 +8,8 @@ Files, and stripes within a file, can be read by separate tasks; a search for
 one document skips files, stripes and row groups by these metadata.
 
 A byte-level tokenizer of this kind begins a token at every space that follows
-another character, so the pieces between spaces are encoded once and
-remembered (bounded, per Python worker). Where a space stands inside a run of white
+another character, so a few megabytes of text are cut at spaces in arrays, their
+distinct pieces are encoded, and the ids gathered. Where a space stands inside a run of white
 space, or a special token's string occurs, the text is encoded as a whole.
 
 Defined results: null and empty text is the end id alone; rows with null doc_id
@@ -25,80 +25,123 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from peerscope.llm.bpe import text_chunks
-from peerscope.llm.common import drop_oldest_half, worker_memory
+from peerscope.llm.common import worker_memory
 
-_CHUNK_BYTES = 2_000_000
-_CACHE_ENTRIES = 600_000
+_CHUNK_BYTES = 6_000_000
 _LINES = 500
 _INNER_SPACE = re.compile(r"\s \s")
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
 
-class PieceEncoder(dict):
-    """Token ids of texts with the tokenizers library; maps a piece after a space to its ids."""
+class PieceEncoder:
+    """Token ids of texts with the tokenizers library, by their distinct pieces."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.marks = dict(zip(".,;:!?", self.whole(list(".,;:!?"))))
-        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_end = line_end[0] if len(line_end) == 1 else None
 
-    def whole(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [np.array(e.ids, "<u4") for e in found]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encode the pieces that are not remembered yet.
+    def of_pieces(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of distinct pieces that stand after a space, one after the other; number of ids of each).
 
-        Printable pieces hold no white space. They go to the library as lines of one
-        text; the line ends are tokens of their own and part the ids again.
+        Printable pieces hold no white space. They go to the library as lines of a
+        few texts; the line ends are tokens of their own and part the ids again.
         """
-        new = [p for p in pieces if p not in self]
-        if len(self) + len(new) > _CACHE_ENTRIES:
-            drop_oldest_half(self)
-            new = [p for p in pieces if p not in self]
-        # a word and the mark after it are separate tokens: the word alone may be known already
-        marked = [p for p in new if p[-1:] in self.marks and p[:-1].isalpha()]
-        plain = {p[:-1] for p in marked if p[:-1] not in self}.union(new).difference(marked)
-        lines, rest = [], []
-        for p in plain:
-            (lines if p and p.isprintable() else rest).append(p)
-        blocks = [lines[i:i + _LINES] for i in range(0, len(lines), _LINES)]
-        coded = self.tokenizer.encode_batch_fast([" " + "\n ".join(b) + "\n" for b in blocks],
-                                                 add_special_tokens=False)
-        for block, found in zip(blocks, coded):
+        line = np.zeros(len(pieces), dtype=bool)
+        if self.line_end is not None:
+            data, at = np.frombuffer(pieces.buffers()[2] or b"", np.uint8), np.frombuffer(pieces.buffers()[1], "<i4")
+            at = at[pieces.offset:pieces.offset + len(pieces) + 1]
+            # pieces with bytes that are not plain ASCII letters, digits or marks are looked at one by one
+            odd = np.flatnonzero((data < 33) | (data > 126))
+            some = np.searchsorted(odd, at[1:]) > np.searchsorted(odd, at[:-1])
+            line = (at[1:] > at[:-1]) & ~some
+            line[some] = [p.isprintable() for p in pieces.filter(pa.array(some)).to_pylist()]
+        lines = np.flatnonzero(line)
+        cuts = np.append(np.arange(0, len(lines), _LINES), len(lines)).astype(np.int32)
+        blocks = [lines[i:j] for i, j in zip(cuts[:-1], cuts[1:])]
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), pieces.filter(pa.array(line))), "\n ").to_pylist()
+        coded = self.tokenizer.encode_batch_fast([f" {text}\n" for text in joined], add_special_tokens=False)
+        n, parts, order = np.zeros(len(pieces), dtype=np.int64), [], []
+        for block, found in zip(blocks, coded if len(lines) else []):
             ids = np.array(found.ids, "<u4")
-            ends = np.flatnonzero(ids == self.line_end[0])
+            ends = np.flatnonzero(ids == self.line_end)
             if len(ends) == len(block):
-                raw, ends = ids.tobytes(), (4 * ends).tolist()
-                starts = [0] + [e + 4 for e in ends]
-                self.update(zip(block, [raw[i:j] for i, j in zip(starts, ends)]))
+                n[block] = np.diff(ends, prepend=-1) - 1
+                parts.append(np.delete(ids, ends))
+                order.append(block)
             else:
-                rest += block
-        self.update(zip(rest, self.whole([" " + p for p in rest])))
-        self.update([(p, self[p[:-1]] + self.marks[p[-1]]) for p in marked])
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        split: dict[int, list[str]] = {}
-        for i, text in enumerate(texts):
-            if not _INNER_SPACE.search(text) and not any(s in text for s in self.special):
-                split[i] = text.split(" ")
-        rest = [i for i in range(len(texts)) if i not in split]
-        for i, ids in zip(rest, self.whole([texts[i] for i in rest])):
-            out[i] = ids
-        heads = self.whole([ps[0] for ps in split.values()])
-        self.learn(set().union(*split.values()))
-        for (i, ps), head in zip(split.items(), heads):
-            out[i] = head + b"".join(map(self.__getitem__, ps[1:]))
-        return out
+                line[block] = False
+        rest = np.flatnonzero(~line)
+        alone = self.whole([" " + p for p in pieces.take(pa.array(rest)).to_pylist()])
+        n[rest] = [len(x) for x in alone]
+        order = np.concatenate([*order, rest]).astype(np.int64)
+        flat = np.concatenate([*parts, *alone, np.zeros(0, "<u4")])
+        # from the order of encoding to the order of the pieces
+        first = np.empty(len(pieces), dtype=np.int64)
+        first[order] = np.cumsum(n[order]) - n[order]
+        return _gather(flat, first, n), n
+
+    def encode_batch(self, texts: list[str], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, ``end`` behind each; number of ids of each text).
+
+        The pieces of all texts are cut and numbered in arrays; only distinct ones are looked up.
+        """
+        apart = [bool(_INNER_SPACE.search(t)) or any(s in t for s in self.special) for t in texts]
+        # a space before each text makes its first piece like the others for now
+        raw_texts = [b"" if x or not t else b" " + t.encode("utf-8", "surrogatepass") for x, t in zip(apart, texts)]
+        sizes = np.array([len(r) for r in raw_texts], dtype=np.int64)
+        raw = np.frombuffer(b"".join(raw_texts), np.uint8)
+        begins = np.cumsum(sizes) - sizes
+        space = raw == 32
+        starts = np.flatnonzero(space)
+        offsets = np.append(starts - np.arange(len(starts)), len(raw) - len(starts)).astype(np.int32)
+        coded = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets),
+                                            pa.py_buffer(raw[~space])).dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, n_ids = self.of_pieces(coded.dictionary)
+        # the first piece of a text has no space before it
+        first_pieces = np.searchsorted(starts, begins[sizes > 0])
+        heads = self.whole(coded.dictionary.take(pa.array(codes[first_pieces])).to_pylist())
+        codes[first_pieces] = len(n_ids) + np.arange(len(heads))
+        # behind the pieces of a text: the text as a whole, if it was kept apart, and the end
+        whole = self.whole([t for t, x in zip(texts, apart) if x])
+        next_whole = len(n_ids) + len(heads)
+        end_code = next_whole + len(whole)
+        at, more = [], []
+        for stop, x in zip(np.searchsorted(starts, begins + sizes).tolist(), apart):
+            if x:
+                at.append(stop)
+                more.append(next_whole)
+                next_whole += 1
+            at.append(stop)
+            more.append(end_code)
+        codes = np.insert(codes, np.array(at, dtype=np.int64), np.array(more, dtype=np.int64))
+        own = [*heads, *whole, np.frombuffer(end, "<u4")]
+        n_ids = np.concatenate([n_ids, [len(x) for x in own]]).astype(np.int64)
+        flat = np.concatenate([flat, *own])
+        n = n_ids[codes]
+        ids = _gather(flat, (np.cumsum(n_ids) - n_ids)[codes], n)
+        # every text ends with the code of the end
+        ends = np.cumsum(n)[np.flatnonzero(codes == end_code)]
+        return ids, np.diff(ends, prepend=0)
+
+
+def _gather(flat: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The runs of ``n`` values that begin at ``first``, one after the other."""
+    ends = np.cumsum(n)
+    return flat[np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def _encode(path: str, end_id: int):
@@ -106,14 +149,13 @@ def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, start = worker_memory(("pieces", path), lambda: PieceEncoder(path)), 0
+        encoder, start = worker_memory(("byte-pieces", path), lambda: PieceEncoder(path)), 0
         end, part = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         for batch in batches:
             for i, j, texts in text_chunks(batch.column(1), _CHUNK_BYTES):
-                coded = [ids + end for ids in encoder.encode_batch([t or "" for t in texts])]
-                n = np.array([len(c) // 4 for c in coded], np.int64)
+                flat, n = encoder.encode_batch([t or "" for t in texts], end)
                 ends = np.cumsum(n)
-                values = pa.array(np.frombuffer(b"".join(coded), "<i4"))
+                values = pa.array(flat.view("<i4"))
                 ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), values)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array([part] * (j - i), pa.int32()),
