@@ -31,16 +31,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from peerscope.llm.bpe import text_chunks
 from peerscope.llm.common import union_all, written
 
 # fixed values: bytes that end a piece and bytes that part words
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 WORD_GAPS = b" \t"
 
-BATCH_BYTES = 8 << 20   # text that is split at once
-FLUSH_SLOTS = 6 << 20   # slots that are counted before they are sent
+BATCH_BYTES = 2 << 20   # text that is split at once
+FLUSH_SLOTS = 2 << 20   # slots that are counted before they are sent
 SLOT_RANGES = 1024      # groups of slots that are summed together
 RANGE_BITS = 22         # slots of a range: 2**32 / SLOT_RANGES
+TOP_BUCKETS = 32        # parts of a language whose first phrases are found apart
 MAX_FILTER_BITS = 28    # the bits sent to the tasks: at most 2**28, 32 MB
 
 
@@ -71,16 +73,15 @@ def _part(text: bytes) -> Iterator[bytes]:
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[str]]]:
     texts, langs, size = [], [], 0
     for batch in batches:
-        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if not text:
-                continue
-            for part in _part(text.encode()):
-                if size and size + len(part) > BATCH_BYTES:
-                    yield texts, langs
-                    texts, langs, size = [], [], 0
-                texts.append(part)
-                langs.append(lang)
-                size += len(part) + 1
+        for i, j, some in text_chunks(batch.column(0), BATCH_BYTES):
+            for text, lang in zip(some, batch.column(1).slice(i, j - i).to_pylist()):
+                for part in _part(text.encode()) if text else ():
+                    if size and size + len(part) > BATCH_BYTES:
+                        yield texts, langs
+                        texts, langs, size = [], [], 0
+                    texts.append(part)
+                    langs.append(lang)
+                    size += len(part) + 1
     if texts:
         yield texts, langs
 
@@ -99,17 +100,18 @@ class Words:
         np.cumsum(ends - starts, out=offsets[1:])
         packed = LOWER[raw[kind == 0]]
         coded = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(packed)).dictionary_encode()
-        self.code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.code = coded.indices.to_numpy(zero_copy_only=False)
         self.words = coded.dictionary
         names = sorted(set(langs))
         place = {name: i for i, name in enumerate(names)}
         self.langs = names
         begins = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
         doc = np.searchsorted(begins, starts, side="right") - 1
-        self.lang = np.array([place[x] for x in langs], dtype=np.int64)[doc] if len(starts) else doc
-        piece = np.searchsorted(np.flatnonzero(kind == 2), starts)
-        last = np.searchsorted(piece, piece, side="right") if len(piece) else piece
-        self.room = np.minimum(last - np.arange(len(piece)), order)
+        self.lang = np.array([place[x] for x in langs], dtype=np.int32)[doc]
+        ends_of_pieces = np.flatnonzero(kind == 2)
+        first_after = np.append(np.searchsorted(starts, ends_of_pieces), len(starts))
+        after = first_after[np.searchsorted(ends_of_pieces, starts)]
+        self.room = np.minimum(after - np.arange(len(starts)), order).astype(np.int8)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -222,7 +224,7 @@ def _lengths(w: Words, bits: int, table: np.ndarray, order: int) -> np.ndarray:
     two &= w.room >= 2
     three &= two & (w.room >= 3)
     three[:-1] &= two[1:]
-    length = np.ones(len(w.code), dtype=np.int64)
+    length = np.ones(len(w.code), dtype=np.int8)
     length[two] = 2
     alive = three
     for k in range(3, order + 1):
@@ -242,7 +244,7 @@ def _count_grams(order: int, shipped, bits: int):
                 continue
             length = np.minimum(_lengths(w, bits, shipped.value, order), w.room)
             n_words, at = len(w.words), np.arange(len(w.code))
-            name = w.lang * n_words + w.code
+            name = w.lang.astype(np.int64) * n_words + w.code
             names, grams, counts = [], [], []
             for k in range(1, order + 1):
                 own = length[at] == k
@@ -380,10 +382,14 @@ def collocations(docs: DataFrame, order: int = 5, min_count: int = 100, top: int
                           f"(CAST(a AS {big}) * CAST(n_words AS {big}) * CAST(1000 AS decimal(4,0)))"
                           f" DIV (CAST(l AS {big}) * CAST(r AS {big})) AS score"))
     weakest = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "cut", "a", "l", "r", "n")).alias("s"))
-    order_by = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return (weakest.select("lang", "phrase", "s.a", "s.l", "s.r", "s.n", "s.score")
-            .withColumn("rank", F.row_number().over(order_by).cast("long")).where(F.col("rank") <= top)
-            .select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
+    best_first = [F.desc("score"), F.desc("a"), "phrase"]
+    # each bucket's first rows before the language's: one task never gets more than TOP_BUCKETS * top rows
+    in_bucket = Window.partitionBy("lang", "bucket").orderBy(*best_first)
+    first = (weakest.select("lang", "phrase", "s.a", "s.l", "s.r", "s.n", "s.score")
+             .withColumn("bucket", F.pmod(F.xxhash64("phrase"), F.lit(TOP_BUCKETS)))
+             .withColumn("rank", F.row_number().over(in_bucket)).where(F.col("rank") <= top))
+    return (first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best_first)).cast("long"))
+            .where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
 
 
 def _inner_phrases(candidates: DataFrame, size: int) -> DataFrame:
