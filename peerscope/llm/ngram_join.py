@@ -17,9 +17,10 @@ link when 100 * intersection >= ``percent`` * union.
    bitmaps differ is at most the number of shingles in which the sets differ, so
    it bounds the overlap from above; pairs beyond the bound go. The rest is decided
    by intersecting the sorted arrays. Links join components; the next round
-   proposes pairs between different components only. After ``star_rounds``
-   rounds every remaining pair between different components that passes
-   the size and bitmap bounds is decided. No link between different texts is
+   proposes pairs between different components only, with another leader for each
+   shingle. After ``star_rounds`` rounds every remaining pair between different
+   components that passes the size, position and bitmap bounds is decided (position:
+   from the first shingle two sets share, both have enough shingles left to link). No link between different texts is
    lost, and a group of thousands of near copies costs about as many pairs as members.
 
 Hot groups: copies are one class; a shingle that very many documents share
@@ -62,8 +63,11 @@ def size_band(n: np.ndarray, percent: int = 75) -> np.ndarray:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """Parity bitmap: one bit per shingle (rounded up to a power of two, 64 to 65,536 bits)."""
-    width = 1 << min(16, max(6, int(len(shingles) - 1).bit_length()))
+    """Parity bitmap: two to four bits a shingle (a power of two, 256 to 131,072 bits).
+
+    Fewer bits would let through pairs well below the threshold, for shingles that meet in one bit cancel out.
+    """
+    width = 1 << min(17, max(8, int(len(shingles) - 1).bit_length() + 1))
     ones = np.bincount((shingles >> np.uint64(8)).astype(np.int64) & (width - 1), minlength=width) & 1
     return np.packbits(ones.astype(np.uint8)).tobytes()
 
@@ -129,19 +133,20 @@ def _entries(order, tiles: int, percent: int):
 
         def flush() -> pa.RecordBatch:
             keys = np.concatenate([k for k, _, _ in held])
+            places = np.concatenate([np.arange(len(k), dtype=np.int32) for k, _, _ in held])
             lengths = [len(k) for k, _, _ in held]
             classes = np.repeat(np.array([c for _, c, _ in held], np.int64), lengths)
             bands = np.repeat(size_band(np.array([n for _, _, n in held]), percent), lengths)
             tile = (keys >> np.uint64(40)).astype(np.int64) % tiles
             at = np.argsort(tile, kind="stable")
-            keys, classes, bands, tile = keys[at], classes[at], bands[at], tile[at]
+            keys, classes, bands, places, tile = keys[at], classes[at], bands[at], places[at], tile[at]
             cuts = np.flatnonzero(np.diff(tile, prepend=-1))
             ends = np.append(cuts[1:], len(tile))
             held.clear()
             return pa.RecordBatch.from_arrays(
                 [pa.array(tile[cuts], pa.int64())]
                 + [pa.array([x[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary())
-                   for x in (keys, classes, bands)], names=["tile", "keys", "classes", "bands"])
+                   for x in (keys, classes, bands, places)], names=["tile", "keys", "classes", "bands", "places"])
 
         for batch in batches:
             for text in batch.column(0):
@@ -188,21 +193,22 @@ def _meet(rows: pd.DataFrame) -> pd.DataFrame:
     keys = np.frombuffer(b"".join(rows["keys"]), np.uint64)
     classes = np.frombuffer(b"".join(rows["classes"]), np.int64)
     bands = np.frombuffer(b"".join(rows["bands"]), np.int16)
+    places = np.frombuffer(b"".join(rows["places"]), np.int32)
     by = np.lexsort((classes, bands, keys))
-    keys, classes, bands = keys[by], classes[by], bands[by]
+    keys, classes, bands, places = keys[by], classes[by], bands[by], places[by]
     new = np.r_[True, (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1])]
-    keys, classes, bands = keys[new], classes[new], bands[new]
+    keys, classes, bands, places = keys[new], classes[new], bands[new], places[new]
     near = np.zeros(len(keys), bool)
     pair = (keys[1:] == keys[:-1]) & (bands[1:] - bands[:-1] <= 1)
     near[1:] |= pair
     near[:-1] |= pair
-    keys, classes, bands = keys[near], classes[near], bands[near]
+    keys, classes, bands, places = keys[near], classes[near], bands[near], places[near]
     if not len(keys):
-        return pd.DataFrame({"key": [], "band": [], "a": [], "b": []}).astype(
-            {"key": "int64", "band": "int16", "a": "int64", "b": "Int64"})
+        return pd.DataFrame({"key": [], "band": [], "place": [], "a": [], "b": []}).astype(
+            {"key": "int64", "band": "int16", "place": "int32", "a": "int64", "b": "Int64"})
     pairs = _star_pairs(keys, classes, bands)
-    entries = pd.DataFrame({"key": keys.view(np.int64), "band": bands, "a": classes, "b": pd.NA})
-    stars = pd.DataFrame({"key": np.int64(0), "band": np.int16(0), "a": pairs[:, 0], "b": pairs[:, 1]})
+    entries = pd.DataFrame({"key": keys.view(np.int64), "band": bands, "place": places, "a": classes, "b": pd.NA})
+    stars = pd.DataFrame({"key": np.int64(0), "band": np.int16(0), "place": np.int32(0), "a": pairs[:, 0], "b": pairs[:, 1]})
     return pd.concat([entries, stars]).astype({"b": "Int64"})
 
 
@@ -295,7 +301,7 @@ def _likely(a: np.ndarray, b: np.ndarray, n: np.ndarray, bits: list[bytes], perc
     low, high = np.minimum(width[a], width[b]), np.maximum(width[a], width[b])
     for w, v in {*zip(low.tolist(), high.tolist())}:
         own = np.flatnonzero((low == w) & (high == v))
-        for at in (own[i:i + 100_000] for i in range(0, len(own), 100_000)):
+        for at in (own[i:i + 25_000] for i in range(0, len(own), 25_000)):
             small = np.where(width[a[at]] == w, a[at], b[at])
             large = a[at] + b[at] - small
             x, y = tables[w][place[small]], tables[v][place[large]]
@@ -316,6 +322,7 @@ def _cross_pairs(percent: int):
         n = rows["n"].to_numpy()[first]
         bits = rows["bits"].iloc[first].tolist()
         root, side = rows["root"].to_numpy(), rows["side"].to_numpy()
+        size, place = rows["n"].to_numpy().astype(np.int64), rows["place"].to_numpy().astype(np.int64)
         found, new = np.empty(0, np.int64), []
 
         def bounded() -> np.ndarray:
@@ -328,7 +335,11 @@ def _cross_pairs(percent: int):
         blocks = _group_pairs(rows["key"].to_numpy(), root) if side[0] < 0 else _side_pairs(side, root)
         for i, j in blocks:
             a, b = np.minimum(of[i], of[j]), np.maximum(of[i], of[j])
-            fit = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+            # at the first shingle two sets share in the global order, each has only what follows to share:
+            # a pair that links passes there, and a pair that passes nowhere goes
+            need = -(-percent * (size[i] + size[j]) // (100 + percent))
+            fit = (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (
+                np.minimum(size[i] - place[i], size[j] - place[j]) >= need)
             new.append(a[fit] * len(classes) + b[fit])
             if sum(map(len, new)) >= 4 * _FLUSH:
                 found = bounded()
@@ -369,9 +380,9 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int)
 
 
 def _open_entries(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """Entries (key, band, a, root, blocks) of shingles that stand in two components or more."""
+    """Entries (key, band, place, a, root, blocks) of shingles that stand in two components or more."""
     labelled = entries.join(roots, F.col("a") == F.col("node"), "left").select(
-        "key", "band", "a", F.coalesce("root", "a").alias("root"))
+        "key", "band", "place", "a", F.coalesce("root", "a").alias("root"))
     split = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
                                         F.ceil(F.count(F.lit(1)) / _BLOCK).cast("int").alias("blocks")) \
                     .where("lo != hi").select("key", "blocks")
@@ -406,7 +417,7 @@ def _next_star(open_entries: DataFrame, turn: int) -> DataFrame:
             .distinct())
 
 
-def ngram_components(docs: DataFrame, percent: int = 75, star_rounds: int = 1,
+def ngram_components(docs: DataFrame, percent: int = 75, star_rounds: int = 2,
                      entries_per_tile: int = 1_000_000) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -432,24 +443,24 @@ def ngram_components(docs: DataFrame, percent: int = 75, star_rounds: int = 1,
     total = classes.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
     tiles = max(64, math.ceil(total / entries_per_tile))
     met = written(texts.select("text").mapInArrow(
-        _entries(order, tiles, percent), "tile long, keys binary, classes binary, bands binary")
-        .groupBy("tile").applyInPandas(_meet, "key long, band short, a long, b long"), "ngram-met")
-    entries = met.where("b is null").select("key", "band", "a")
+        _entries(order, tiles, percent), "tile long, keys binary, classes binary, bands binary, places binary")
+        .groupBy("tile").applyInPandas(_meet, "key long, band short, place int, a long, b long"), "ngram-met")
+    entries = met.where("b is null").select("key", "band", "place", "a")
 
-    links = _verify(met.where("b is not null").select("a", "b").distinct(), classes, docs, percent)
+    links = _verify(met.where("b is not null").select("a", "b").distinct(), classes, texts, percent)
     roots = connected_components(links)
     for turn in range(1, star_rounds + 1):
         left = written(_open_entries(entries, roots), "ngram-open")
         if left.isEmpty():
             break
-        entries = left.select("key", "band", "a")
+        entries = left.select("key", "band", "place", "a")
         if turn < star_rounds:
             pairs = _next_star(left, turn)
         else:
             meta = classes.select(F.col("cls").alias("a"), "n", "bits")
             pairs = (_pair_groups(left.join(meta, "a"), tiles).groupBy("tile", "hot", "lo", "hi")
                      .applyInPandas(_cross_pairs(percent), "a long, b long").distinct())
-        more = _verify(pairs, classes, docs, percent)
+        more = _verify(pairs, classes, texts, percent)
         links = union_all([links, more])
         roots = connected_components(links)
 
@@ -467,10 +478,10 @@ def keep_one_per_component(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     Rows without a doc_id stay as they are.
     """
+    own, version = free_name(docs, "_kept_id"), free_name(docs, "_version")
     first = (ngram_components(docs, percent).where("doc_id = component_id")
-             .select(F.col("doc_id").alias("_kept_id")).distinct())
-    version = free_name(docs, "_version")
-    kept = (docs.join(first, F.col("doc_id") == F.col("_kept_id"), "left_semi")
+             .select(F.col("doc_id").alias(own)).distinct())
+    kept = (docs.join(first, F.col("doc_id") == F.col(own), "left_semi")
             .withColumn(version, F.xxhash64("text")).dropDuplicates(["doc_id", version])
             .drop(version))
     return kept.unionByName(docs.where("doc_id is null"))

@@ -93,7 +93,7 @@ def test_hot_shingles_are_dealt_over_block_pairs(spark, monkeypatch):
 def test_pairs_beyond_the_bitmap_bound_are_not_kept(monkeypatch):
     monkeypatch.setattr(ngram_join, "_FLUSH", 1 << 14)
     rng, m = np.random.default_rng(5), 3000       # 4.5 million pairs, 36 MB
-    rows = pd.DataFrame({"key": 1, "a": np.arange(m), "root": np.arange(m), "n": 100, "side": -1,
+    rows = pd.DataFrame({"key": 1, "a": np.arange(m), "root": np.arange(m), "n": 100, "place": 0, "side": -1,
                          "bits": [bitmap(rng.integers(0, 2**63, 100, dtype=np.uint64)) for _ in range(m)]})
     rows.loc[1, "bits"] = rows.loc[0, "bits"]
     tracemalloc.start()
