@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peerscope.llm.bpe import bpe_encode
-from peerscope.llm.common import table, written
+from peerscope.llm.common import table
 from peerscope.llm.line_dedup import dedup_lines
 from peerscope.llm.mixing import mix_sources, repeat_documents
 from peerscope.llm.ngram_join import keep_one_per_component
 from peerscope.llm.queries import tokenizer_file
 from peerscope.llm.toxicity import drop_toxic
+from peerscope.session import scratch_path, scratch_scope
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,5 +67,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; every stage's output but the last is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch_path(spark, f"pipeline-{name}")
+        with scratch_scope(spark):      # what a stage wrote on the way goes when its output is written
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

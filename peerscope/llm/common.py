@@ -42,6 +42,12 @@ def held_out(doc_id: Column) -> Column:
     return (F.crc32(doc_id.cast("string").cast("binary")) % HELD_OUT_FOLDS) == HELD_OUT_FOLD
 
 
+def hash_below(key: Column, share: float | Column) -> Column:
+    """True for about ``share`` of the keys: those with the smallest ``xxhash64``; all, from 1 on."""
+    share = share if isinstance(share, Column) else F.lit(float(share))
+    return (share >= 1.0) | (F.xxhash64(key).cast("double") < -(2.0**63) + share * 2.0**64)
+
+
 def null_safe_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -72,6 +78,19 @@ def worker_memory(key: tuple, make):
     return kept[key]
 
 
+def release_memory() -> None:
+    """Give memory that a task no longer uses back to the system: idle workers stay beside the JVM."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def drop_oldest_half(cache: dict) -> None:
     for old in [k for k, _ in zip(cache, range(len(cache) // 2))]:
         del cache[old]

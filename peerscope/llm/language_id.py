@@ -7,8 +7,9 @@ windows of ``WINDOW`` bytes that go through the network side by side.
 
 The network is trained in numpy by backpropagation through time (Adam,
 cross-entropy at every position) on a bounded sample: ``PER_LANGUAGE`` documents of
-each of at most ``MAX_LANGUAGES`` languages (the most frequent ones), chosen
-by a hash of doc_id, and ``CUTS`` windows of each, spread over its text.
+each language, ``MAX_SAMPLE`` in all, chosen by a hash of doc_id, and ``CUTS`` windows
+of each, spread over its text. Every lang value is learnt; units and steps
+grow with their number.
 
 Defined results: null, empty or letterless text is ``und`` with score 0; so is
 everything when no label was learnt; ties go to the smaller language value.
@@ -16,6 +17,7 @@ everything when no label was learnt; ties go to the smaller language value.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -26,12 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from peerscope.llm.bpe import text_chunks
-from peerscope.llm.common import held_out
+from peerscope.llm.common import hash_below, held_out
 
-HIDDEN = 8
+HIDDEN = 8              # units a direction, for up to 16 languages
 WINDOW = 128
-PER_LANGUAGE = 400
-MAX_LANGUAGES = 200
+PER_LANGUAGE = 400      # documents of a language that are learnt from
+MAX_SAMPLE = 80_000     # documents of all languages: with many languages, fewer of each
+STEPS = 300
 CUTS = 4
 CUT_BYTES = 64
 UNDETERMINED = "und"
@@ -40,6 +43,11 @@ _BLOCK = 2048
 _CHUNK_BYTES = 2_000_000
 
 
+def units(classes: int) -> int:
+    """Units a direction: they grow with the number of languages."""
+    return min(64, max(HIDDEN, 2 * math.ceil(math.sqrt(classes))))
+
+
 class ByteGru:
     """Both directions and the labelling layer; parameters are float32 arrays in a dict.
 
@@ -47,9 +55,11 @@ class ByteGru:
     weights, bias_d (3H), in the order update gate, reset gate, candidate; out_d (H, C).
     """
 
-    def __init__(self, classes: int, hidden: int = HIDDEN, seed: int = 3, params: dict | None = None):
+    def __init__(self, classes: int, hidden: int | None = None, seed: int = 3, params: dict | None = None):
         rng = np.random.default_rng(seed)
-        self.h = hidden
+        if params is not None:
+            hidden = len(params["rec_f"])
+        self.h = hidden = hidden or units(classes)
         if params is None:
             params = {"bias": np.zeros(classes)}
             for d in "fb":
@@ -140,10 +150,11 @@ class ByteGru:
         return loss, g
 
 
-def train(windows: list[bytes], labels: list[int], classes: int, steps: int = 300, width: int = 96,
+def train(windows: list[bytes], labels: list[int], classes: int, steps: int | None = None, width: int = 96,
           rate: float = 0.03, seed: int = 5) -> ByteGru:
     """Adam over random minibatches that draw every class equally often."""
     net, rng = ByteGru(classes), np.random.default_rng(seed)
+    steps = steps or STEPS * min(4, math.ceil(classes / 64))
     y = np.array(labels)
     longest = max(map(len, windows))
     x = np.zeros((len(windows), longest), np.uint8)
@@ -184,19 +195,22 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["window", "lang"])
 
 
-def fit_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
-    """Train on documents with a lang outside the held-out fold: {"languages", "params"}."""
-    known = (docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()
+def fit_language(docs: DataFrame, per_language: int = PER_LANGUAGE, max_sample: int = MAX_SAMPLE) -> dict:
+    """Train on documents with a lang outside the held-out fold: {"languages", "params"}.
+
+    Every lang value of these documents is learnt, from ``per_language`` documents
+    each, ``max_sample`` in all (one of each value at least).
+    """
+    known = (docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull()
                         & F.col("doc_id").isNotNull())
              .where(~held_out(F.col("doc_id"))))
-    top = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang")
-           .limit(MAX_LANGUAGES).collect()]
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.count()
+    per_language = max(1, min(per_language, max_sample // max(1, found)))
+    # of a large language, only rows with small hashes are numbered: about twice as many as are wanted
+    few = known.join(counts, "lang").where(hash_below(F.col("doc_id"), F.lit(2.0 * per_language + 200) / F.col("n")))
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (known.where(F.col("lang").isin(top)).select("doc_id", "lang")
-              .withColumn("turn", F.row_number().over(by_hash)).where(F.col("turn") <= per_language)
-              .select("doc_id", F.col("lang").alias("_lang")))
-    # at most per_language * MAX_LANGUAGES rows are broadcast
-    picked = (docs.join(F.broadcast(chosen), "doc_id").where(F.col("lang") == F.col("_lang"))
+    picked = (few.withColumn("turn", F.row_number().over(by_hash)).where(F.col("turn") <= per_language)
               .select("text", "lang"))
     sample = picked.mapInArrow(_cut, "window binary, lang string").toPandas()
     sample = sample.sort_values(["lang", "window"], ignore_index=True)   # rows come in any order
@@ -218,12 +232,13 @@ def text_probabilities(net: ByteGru, texts: list[bytes]) -> np.ndarray:
     firsts = np.repeat(np.cumsum(windows) - windows, windows)
     filled = np.minimum(WINDOW, lengths[owner] - (np.arange(len(grid)) - firsts) * WINDOW)
     total = np.zeros((len(texts), len(net.p["bias"])))
-    for at in range(0, len(grid), _BLOCK):
-        x, n = grid[at:at + _BLOCK].T, filled[at:at + _BLOCK]
+    block = max(32, min(_BLOCK, 16 * _BLOCK // len(net.p["bias"])))
+    for at in range(0, len(grid), block):
+        x, n = grid[at:at + block].T, filled[at:at + block]
         scores = np.exp(net.logits(np.ascontiguousarray(x), n))
         scores /= scores.sum(axis=2, keepdims=True)
         scores *= (np.arange(WINDOW)[:, None] < n)[:, :, None]
-        np.add.at(total, owner[at:at + _BLOCK], scores.sum(axis=0))
+        np.add.at(total, owner[at:at + block], scores.sum(axis=0))
     return total / np.maximum(lengths, 1)[:, None]
 
 

@@ -163,18 +163,20 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_ratio
 def repeat_documents(docs: DataFrame, mix: DataFrame) -> DataFrame:
     """The documents as the mix takes them: each row as many times as its copies.
 
-    Rows that repeat a doc_id are matched to the decisions of that doc_id one
-    by one.
+    Rows that agree in doc_id, source and size are matched to the decisions of
+    such rows one by one.
     """
-    turn, times = free_name(docs, "_turn"), free_name(docs, "_copies")
-    by_id = Window.partitionBy("doc_id").orderBy("source", "_size")
-    sized = docs.withColumn("_size", F.coalesce(
-        F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long"))
-    left = sized.withColumn(turn, F.row_number().over(by_id)).drop("_size")
-    right = (mix.withColumn("_size", F.col("size")).withColumn(turn, F.row_number().over(by_id))
-             .where("copies > 0")
-             .select(F.col("doc_id").alias("_id"), F.col(turn).alias("_t"),
-                     F.col("copies").alias(times)))
-    kept = left.join(right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(turn) == F.col("_t")))
+    names = {n: free_name(docs, n) for n in ("_turn", "_copies", "_size", "_id", "_source", "_words", "_t")}
+    turn, times, size = names["_turn"], names["_copies"], names["_size"]
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+    left = docs.withColumn(size, words)
+    left = left.withColumn(turn, F.row_number().over(Window.partitionBy("doc_id", "source", size).orderBy(F.lit(0))))
+    alike = Window.partitionBy("doc_id", "source", "size").orderBy(F.desc("copies"))
+    right = (mix.withColumn(turn, F.row_number().over(alike)).where("copies > 0")
+             .select(F.col("doc_id").alias(names["_id"]), F.col("source").alias(names["_source"]),
+                     F.col("size").alias(names["_words"]), F.col(turn).alias(names["_t"]), F.col("copies").alias(times)))
+    kept = left.join(right, F.col("doc_id").eqNullSafe(F.col(names["_id"]))
+                     & F.col("source").eqNullSafe(F.col(names["_source"]))
+                     & (F.col(size) == F.col(names["_words"])) & (F.col(turn) == F.col(names["_t"])))
     return (kept.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
             .select(*docs.columns))

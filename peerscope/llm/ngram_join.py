@@ -44,13 +44,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerscope.llm.common import free_name, union_all, written
+from peerscope.llm.bpe import text_chunks
+from peerscope.llm.common import free_name, release_memory, union_all, written
 from peerscope.llm.components import connected_components
 from peerscope.llm.shingles import WordHashes, shingle_set
 
 COUNT_BITS = 22          # the count table: 2**22 counters of 4 bytes, at every input size
 _COUNT_SLICES = 64
-_FLUSH = 1 << 20
+_FLUSH = 1 << 19
+_CHUNK_BYTES = 4 << 20
 _MEMBERS_PER_SALT = 64
 _BLOCK = 2048            # entries of one shingle that meet in one group of the last round
 
@@ -92,10 +94,11 @@ def may_link(n_a: int, n_b: int, differ: int, percent: int) -> bool:
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words, counts = WordHashes(), np.zeros(1 << COUNT_BITS, np.int32)
     mask = np.uint64((1 << COUNT_BITS) - 1)
-    for batch in batches:
-        ids, sizes, classes, bits = batch.column(0), [], [], []
-        for text in batch.column(1):
-            s = shingle_set(text.as_py(), words)
+    for ids, texts in ((batch.column(0).slice(i, j - i), texts)
+                       for batch in batches for i, j, texts in text_chunks(batch.column(1), _CHUNK_BYTES)):
+        sizes, classes, bits = [], [], []
+        for text in texts:
+            s = shingle_set(text, words)
             sizes.append(len(s))
             classes.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
             bits.append(bitmap(s) if len(s) else None)
@@ -113,6 +116,8 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()),
              pa.array([p.tobytes() for p in parts], pa.binary())],
             names=["doc_id", "n", "cls", "bits", "slice", "counts"])
+    del words, counts
+    release_memory()
 
 
 def _sum_slices(rows: pd.DataFrame) -> pd.DataFrame:
@@ -157,7 +162,7 @@ def _entries(order, tiles: int, percent: int):
                 cls = xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
                 if cls in seen:
                     continue
-                if len(seen) < 500_000:
+                if len(seen) < 200_000:
                     seen.add(cls)
                 first = n - -(-n * percent // 100) + 1
                 by = np.argsort(counts[(s & mask).astype(np.int64)], kind="stable")
@@ -168,6 +173,9 @@ def _entries(order, tiles: int, percent: int):
                     yield flush()
         if held:
             yield flush()
+        words.clear()
+        seen.clear()
+        release_memory()
 
     return run
 

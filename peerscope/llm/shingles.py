@@ -8,7 +8,7 @@ import xxhash
 # fixed values: odd multipliers of the shingle hash
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 150_000
 
 
 class WordHashes(dict):

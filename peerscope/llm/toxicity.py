@@ -27,16 +27,16 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType
 
-from peerscope.llm.common import free_name, held_out, written
+from peerscope.llm.common import free_name, hash_below, held_out, release_memory, written
 
 MAX_PER_CLASS = 10_000     # labelled documents of each class that are learnt from
 MAX_TOKENS = 200_000       # tokens that the model keeps
@@ -44,7 +44,7 @@ _PREFIXES = (6, 5, 4)      # leading characters that stand in for a word too rar
 _MIN_COUNT = 3
 _PRIOR_TOKENS = 2_000.0    # weight of the prior, in tokens
 _MARGIN = 0.7
-_CACHE_PIECES = 400_000
+_CACHE_PIECES = 100_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.3
 
@@ -198,12 +198,13 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             docs.update({name for word in words for name in _names(word)})
             total[""] += sum(words.values())
             docs[""] += len(words)
-        if sum(len(c) for c, _ in counts.values()) > 2_000_000:
+        if sum(len(c) for c, _ in counts.values()) > 150_000:
             yield from flush()
     yield from flush()
+    release_memory()
 
 
-def _log_odds(rows: list[tuple[str, int, int]], tokens: tuple[int, int]) -> dict[str, float]:
+def _log_odds(rows: Iterable[tuple[str, int, int]], tokens: tuple[int, int]) -> dict[str, float]:
     """Dirichlet-smoothed log-odds less the margin; the word "" stands for unknown words."""
     n_toxic, n_clean = tokens
     out = {"": -_MARGIN}
@@ -257,7 +258,10 @@ def _token_scores(counts: DataFrame, second: bool | None) -> dict[str, float]:
     rows = (sums.where((F.col("token") != "") & (F.col("t") + F.col("c") >= _MIN_COUNT))
             .orderBy(F.desc(F.col("t") + F.col("c")), "token").limit(MAX_TOKENS)
             .toPandas())
-    return _log_odds(list(zip(rows["token"], rows["t"], rows["c"])), (total["t"], total["c"]))
+    odds = _log_odds(zip(rows["token"], rows["t"].tolist(), rows["c"].tolist()), (total["t"], total["c"]))
+    del rows
+    release_memory()
+    return odds
 
 
 def _measure(scores: dict[str, float]):
@@ -285,8 +289,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PE
     rates = {row["toxic"]: row["count"] for row in marks.groupBy("toxic").count().collect()}
     if not rates.get(True) or not rates.get(False):
         return ToxicityModel({})
-    chosen = [marks.where(F.col("toxic") == flag).orderBy(F.xxhash64("doc_id"), "doc_id")
-              .limit(max_per_class) for flag in (True, False)]
+    # of a large class, only rows with small hashes are sorted: about twice as many as are wanted
+    chosen = [marks.where((F.col("toxic") == flag) & hash_below(F.col("doc_id"), (2 * max_per_class + 200) / rates[flag]))
+              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class) for flag in (True, False)]
     # at most 2 * max_per_class rows of two numbers are broadcast
     sample = F.broadcast(chosen[0].union(chosen[1]))
     second = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0
@@ -310,6 +315,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PE
     pieces = PieceScores(partial)
     values = np.array([pieces.word(w) for w in clean["token"]])
     shares = clean["n"].to_numpy(float)
+    del clean, pieces
+    release_memory()
     model.lam = _solve_lambda(values, shares / max(1.0, shares.sum()))
     quiet = measured[~measured["toxic"] & (measured["n"] > 0)]
     best = np.array([max(s, default=0.0) if s is not None else 0.0 for s in quiet["segments"]])
@@ -340,25 +347,23 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
                    out_col: str = "score") -> DataFrame:
     """``docs`` with its columns and the probability of being toxic added."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
-    names = docs.columns
-    at = names.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = ToxicityModel(**shared.value)
         pieces = PieceScores(m.scores)
-        for batch in batches:
+        for column in columns:
             out = []
-            for text in batch.column(at):
+            for text in column:
                 if not m.usable():
                     out.append(0.0)
                     continue
                 words, segments = _text_segments(text.as_py(), pieces)
                 out.append(_logistic(_features(segments, len(words), m), m.weights))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())],
-                                             names=[*names, out_col])
+            yield pa.array(out, pa.float64())
+        release_memory()
 
-    schema = StructType([*docs.schema.fields, StructField(out_col, DoubleType())])
-    return docs.mapInArrow(run, schema)
+    # only the text goes to Python and only the score comes back
+    return docs.withColumn(out_col, F.arrow_udf(run, DoubleType())(F.col(text_col)))
 
 
 def toxic_passages(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:

@@ -6,7 +6,8 @@ DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text"
                      T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
                      T.StructField("n_chars", T.LongType())])
 # clashes with names that operators add
-CLASHES = ["score", "key", "ids", "_drop", "size", "n", "root", "_copies", "kept_text"]
+CLASHES = ["score", "key", "ids", "_drop", "size", "n", "root", "_copies", "kept_text",
+           "cls", "_lang", "_kept_id", "_size", "_id", "_t", "_turn", "_version", "slice", "counts", "place", "bits"]
 
 
 def words(seed: int, n: int) -> str:

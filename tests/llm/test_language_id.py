@@ -72,3 +72,19 @@ def test_awkward_documents(spark):
     nothing = fit_language(empty(spark))
     assert {r["lang_pred"] for r in predict_language(awkward(spark), nothing).collect()} == {"und"}
     assert predict_language(empty(spark), nothing).count() == 0
+
+
+def test_every_language_is_learnt(spark):
+    """More languages than the old limit of 200; each has its own letters."""
+    rng = np.random.default_rng(11)
+    rows, n = [], 300
+    for i in range(n * 10):
+        lang = i % n
+        letters = [chr(0x4E00 + lang * 5 + j) for j in range(5)]
+        rows.append((i, "".join(rng.choice(letters, 24)), f"l{lang:03d}", "s", 0))
+    model = fit_language(spark.createDataFrame(rows, DOCS), per_language=8)
+    assert len(model["languages"]) == n and model["params"]["rec_f"].shape[0] > 8
+    got = predict_language(spark.createDataFrame(rows, DOCS), model).where(held_out(F.col("doc_id"))).collect()
+    right = np.mean([r["lang"] == r["lang_pred"] for r in got])
+    print("held-out accuracy, 300 languages:", right)
+    assert len({r["lang_pred"] for r in got}) > 200 and right > 0.5

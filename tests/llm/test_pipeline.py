@@ -3,7 +3,7 @@ import os
 import pytest
 
 import corpus_pipeline
-from fixtures import CLASHES, awkward, empty
+from fixtures import awkward, empty
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,7 +14,7 @@ def test_stages_in_order():
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver data not present")
 def test_each_stage_on_awkward_documents(spark, tmp_dir):
-    for k, docs in enumerate((awkward(spark).drop(*CLASHES), empty(spark))):
+    for k, docs in enumerate((awkward(spark), empty(spark))):
         columns = docs.columns
         for name, stage in corpus_pipeline.STAGES:
             assert docs.columns == columns
