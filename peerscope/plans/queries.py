@@ -22,7 +22,7 @@ from peerscope.operators.evaluate import compare_methods, evaluate
 from peerscope.operators.exclusions import excluded_authors, listed_authors
 from peerscope.operators.extract import (concat_pages, extract_text, failed_documents,
                                          page_stages)
-from peerscope.operators.lsa import corpus_vectors, fit_lsa, lsa_vectors
+from peerscope.operators.lsa import corpus_vectors, fit_lsa
 from peerscope.operators.ranking import author_list, top_papers
 from peerscope.operators.recommend import (excluded_by_score, recommend, recommend_tfidf,
                                            submission_status, valid_submissions)
@@ -470,13 +470,3 @@ def q38_lsa_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     squares = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x * x)
     return v.select(F.col("paper_id").alias("doc_id"), "author", F.size("embedding").alias("dim"),
                     r6(F.sqrt(squares)).alias("norm"))
-
-
-@query("q39_lsa_recommendations")
-def q39_lsa_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flow of q30 with the learnt encoder: raw benchmark texts to filtered lists of both methods."""
-    model = _lsa(spark, sf_dir)
-    subs = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"),
-                                                         F.col("text").alias("raw_text"))
-    r = recommend(subs, model.index, corpus_vectors(model), k=K, encode=lambda t: lsa_vectors(t, model))
-    return r.select("query_id", "method", "rank", "author", r6("score").alias("score"))
