@@ -12,10 +12,11 @@ the proposals are scored exactly in double precision on the original vectors and
 Work inside a shard is numpy on bounded arrays; Spark deals points, pairs
 query blocks with shards by a join on the shard number, and merges.
 
-Defined results: null vectors, zero vectors and vectors with null or non-finite
+Defined results: rows without a vec_id, null vectors, zero vectors and vectors with null or non-finite
 components take no part; vectors are compared within one dimension; rows that repeat a
 vector are neighbours with the score of equal vectors, smaller ids first; rows that
-repeat a vec_id are rows of their own; no valid vector gives an empty table.
+repeat a vec_id are rows of their own, as queries (a list each) and as neighbours, and a query leaves
+out one row only, with its vec_id and vector; no valid vector gives an empty table.
 """
 
 from __future__ import annotations
@@ -161,7 +162,7 @@ def valid_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     v = F.col(vector_col)
     finite = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     nonzero = F.exists(v, lambda c: c != 0)
-    return rows.where(v.isNotNull() & finite & nonzero).select(
+    return rows.where(F.col(id_col).isNotNull() & v.isNotNull() & finite & nonzero).select(
         F.col(id_col).cast("long").alias("vec_id"), v.alias("vector"))
 
 
@@ -202,6 +203,7 @@ def build_index(vectors: DataFrame, copies: int, shard_points: int = SHARD_POINT
 def _pack(rows: pd.DataFrame) -> pd.DataFrame:
     x = np.stack(rows["vector"].to_numpy()).astype(np.float64)
     return pd.DataFrame({"dim": [x.shape[1]], "block": rows["block"].iloc[:1].to_numpy(),
+                         "rows": [rows["row"].to_numpy(np.int64).tobytes()],
                          "queries": [rows["vec_id"].to_numpy(np.int64).tobytes()], "wanted": [x.tobytes()]})
 
 
@@ -213,6 +215,7 @@ def _search(copies: int, k: int, beam: int):
             x = np.frombuffer(row["vectors"], np.float64).reshape(-1, dim)
             ids = np.frombuffer(row["ids"], np.int64).reshape(len(x), copies)
             graph = np.frombuffer(row["graph"], np.int32).reshape(len(x), -1)
+            query_rows = np.frombuffer(row["rows"], np.int64)
             query_ids = np.frombuffer(row["queries"], np.int64)
             wanted = np.frombuffer(row["wanted"], np.float64).reshape(-1, dim)
             unit, units, norms = unit_rows(x), unit_rows(wanted), np.linalg.norm(x, axis=1)
@@ -225,35 +228,39 @@ def _search(copies: int, k: int, beam: int):
                 score = np.where(found >= 0, score, -np.inf)
                 best = np.argsort(-score, axis=1, kind="stable")[:, :k + 1]
                 found, score = np.take_along_axis(found, best, 1), np.take_along_axis(score, best, 1)
-                query = np.repeat(query_ids[i:i + _BATCH], found.shape[1] * copies)
-                score = np.repeat(score.ravel(), copies)
-                other = ids[found].ravel()
-                keep = (other >= 0) & np.isfinite(score)
+                query, other = query_ids[i:i + _BATCH], ids[found]
+                keep = (other >= 0) & np.isfinite(score)[:, :, None]
+                # the query's own row: the first with its id at the point of its vector, and no other
+                own = keep & (other == query[:, None, None]) & (x[found] == w[:, None]).all(axis=2)[:, :, None]
+                flat = own.reshape(len(w), -1)
+                each = np.flatnonzero(flat.any(axis=1))
+                keep.reshape(len(w), -1)[each, flat[each].argmax(axis=1)] = False
+                at = np.nonzero(keep)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(query[keep]), pa.array(other[keep]), pa.array(score[keep])],
-                    names=["query_id", "vec_id", "score"])
+                    [pa.array(query_rows[i + at[0]]), pa.array(query[at[0]]), pa.array(other[at]),
+                     pa.array(score[at[0], at[1]])], names=["row", "query_id", "vec_id", "score"])
     return run
 
 
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, beam: int = SEARCH_BEAM,
                        shard_points: int = SHARD_POINTS, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest found of every query row, its own id left out.
+    """(query_id, rank, vec_id, score): the ``k`` nearest found of every query row, its own row left out.
 
     ``vectors`` and ``queries`` are (vec_id, vector) as ``valid_vectors`` returns them.
     """
     copies = k + 1
     index = build_index(vectors, copies, shard_points)
-    asked = written(queries.dropDuplicates(["vec_id"]), "ann-queries")
+    # the written number of a query row is its key: a vec_id may stand for several rows
+    asked = written(queries.withColumn("row", F.monotonically_increasing_id()), "ann-queries")
     blocks = max(1, math.ceil(asked.count() / query_block))
-    packed = (asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    packed = (asked.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
               .withColumn("dim", F.size("vector")).groupBy("dim", "block")
-              .applyInPandas(_pack, "dim int, block long, queries binary, wanted binary"))
+              .applyInPandas(_pack, "dim int, block long, rows binary, queries binary, wanted binary"))
     # every block meets every shard of its dimension; the shard number is the join key
     shards = index.select("dim", "shard")
     pairs = packed.join(shards, "dim").join(index.drop("dim"), "shard")
-    found = pairs.select("dim", "medoid", "vectors", "ids", "graph", "queries", "wanted").mapInArrow(
-        _search(copies, k, beam), "query_id long, vec_id long, score double")
-    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (found.where("query_id != vec_id").dropDuplicates(["query_id", "vec_id"])
-            .withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+    found = pairs.select("dim", "medoid", "vectors", "ids", "graph", "rows", "queries", "wanted").mapInArrow(
+        _search(copies, k, beam), "row long, query_id long, vec_id long, score double")
+    nearest = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    return (found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -102,6 +102,26 @@ def test_neighbours_with_copies_and_invalid_vectors(spark):
     assert not {r["query_id"] for r in got} & {1000, 1050, 1100, 1150, 1200, 1250}
 
 
+def test_rows_that_repeat_a_vec_id(spark):
+    rng = np.random.default_rng(17)
+    points = rng.normal(size=(90, 6)).astype(np.float32)
+    ids = [int(i) for i in rng.integers(0, 60, 90)]
+    ids[:4], points[1], points[3] = [50, 50, 50, 7], points[0], points[0]
+    rows = [(i, [float(v) for v in p], 0) for i, p in zip(ids, points)]
+    rows.append((None, [1.0] * 6, 0))
+    v = valid_vectors(vectors(spark, rows))
+    for shard_points in (4096, 30):
+        got = nearest_neighbours(v, v.where("vec_id % 50 = 0"), shard_points=shard_points).collect()
+        x = points.astype(float)
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+        want = []
+        for q in [i for i, own in enumerate(ids) if own % 50 == 0]:
+            near = np.round(u @ u[q], 9)
+            others = sorted((-near[j], ids[j]) for j in range(90) if j != q)[:5]
+            want += [(ids[q], rank, j, -s) for rank, (s, j) in enumerate(others, 1)]
+        assert sorted((r[0], r[1], r[2], round(r[3], 9)) for r in got) == sorted(want)
+
+
 def test_no_vectors(spark):
     v = valid_vectors(vectors(spark, [(50, None, 0)]))
     assert nearest_neighbours(v, v).count() == 0
