@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 from fixtures import awkward, awkward_rows, empty
 from peerscope.llm.bpe import WordBpe, bpe_encode
 from peerscope.llm.queries import tokenizer_file
-from peerscope.llm.token_store import find_tokens, read_tokens, token_checksums, write_tokens
+from peerscope.llm.token_store import PieceEncoder, find_tokens, read_tokens, token_checksums, write_tokens
 
 WORD, BYTE = tokenizer_file("word_bpe_49k.json"), tokenizer_file("byte_bpe_50k.json")
 
@@ -17,7 +17,7 @@ def odd_texts():
     rng = random.Random(4)
     wide = [chr(c) for c in [*range(0, 0x250), *range(0x370, 0x400), *range(0x2000, 0x2070)]]
     wide += list("日ꯀ👍ﬁẞअ٠①﻿") + ["é", "ñ", "İ", "Σ"]
-    near = list("ab'st re  \n\t..12") + ["<|endoftext|>", "<|startoftext|>"]
+    near = list("ab'st re  \n\n\té..12") + ["<|endoftext|>", "<|startoftext|>"]
     texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 60))) for pool in (wide, near) * 1 for _ in range(600)]
     return texts + ["", " ", "a" * 3000, "'s't re", "x" * 300 + " " + "lorem" * 100]
 
@@ -64,6 +64,19 @@ def test_store_round_trip(spark, tmp_dir):
     assert {r["doc_id"] for r in find_tokens(spark, f"{tmp_dir}/store", [3, 9]).collect()} == {3, 9}
 
 
+@pytest.mark.parametrize("most,most_bytes", [(600_000, 32_000_000), (40, 32_000_000), (600_000, 60), (0, 0)])
+def test_remembered_pieces_change_no_ids(most, most_bytes):
+    library, texts = Tokenizer.from_file(BYTE), odd_texts()
+    encoder = PieceEncoder(BYTE, most, most_bytes)
+    for _ in range(2):
+        for i in range(0, len(texts), 37):
+            some = texts[i:i + 37]
+            flat, n = encoder.encode_batch(some, np.array([2], "<u4").tobytes())
+            assert len(encoder.known) <= most and len(encoder.known) == len(encoder.known_n)
+            for text, ids in zip(some, np.split(flat, np.cumsum(n)[:-1])):
+                assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_empty_store(spark, tmp_dir):
     write_tokens(empty(spark), f"{tmp_dir}/store", BYTE)
     assert token_checksums(read_tokens(spark, f"{tmp_dir}/store")).count() == 0
