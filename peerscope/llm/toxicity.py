@@ -257,8 +257,8 @@ def _token_scores(counts: DataFrame, second: bool | None) -> dict[str, float]:
         return {}
     rows = (sums.where((F.col("token") != "") & (F.col("t") + F.col("c") >= _MIN_COUNT))
             .orderBy(F.desc(F.col("t") + F.col("c")), "token").limit(MAX_TOKENS)
-            .toPandas())
-    odds = _log_odds(zip(rows["token"], rows["t"].tolist(), rows["c"].tolist()), (total["t"], total["c"]))
+            .toArrow())
+    odds = _log_odds(zip(*(rows[c].to_pylist() for c in ("token", "t", "c"))), (total["t"], total["c"]))
     del rows
     release_memory()
     return odds
@@ -303,41 +303,43 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PE
 
     # calibration: log-odds from two thirds of the sample, evidence on the last third
     partial = _token_scores(counts, False)
-    scores = _token_scores(counts, None)
-    if not partial or not scores:
+    if not partial:
         return ToxicityModel({})
     measured = (text.where(second).select("text", "toxic")
-                .mapInArrow(_measure(partial), "toxic boolean, n long, segments array<double>").toPandas())
+                .mapInArrow(_measure(partial), "toxic boolean, n long, segments array<double>").toArrow())
     model = ToxicityModel(partial)
     clean = counts.where((F.col("token") != "") & ~F.col("token").endswith("*") & ~F.col("toxic")) \
                   .groupBy("token").agg(F.sum("n").alias("n")) \
-                  .orderBy(F.desc("n"), "token").limit(MAX_TOKENS).toPandas()
+                  .orderBy(F.desc("n"), "token").limit(MAX_TOKENS).toArrow()
     pieces = PieceScores(partial)
-    values = np.array([pieces.word(w) for w in clean["token"]])
-    shares = clean["n"].to_numpy(float)
+    values = np.array([pieces.word(w) for w in clean["token"].to_pylist()])
+    shares = clean["n"].to_numpy().astype(float)
     del clean, pieces
     release_memory()
     model.lam = _solve_lambda(values, shares / max(1.0, shares.sum()))
-    quiet = measured[~measured["toxic"] & (measured["n"] > 0)]
-    best = np.array([max(s, default=0.0) if s is not None else 0.0 for s in quiet["segments"]])
+    y, n = np.array(measured["toxic"].to_pylist(), bool), measured["n"].to_numpy()
+    segments = measured["segments"].to_pylist()
+    del measured
+    quiet = np.flatnonzero(~y & (n > 0))
+    best = np.array([max(segments[i], default=0.0) for i in quiet])
     if len(best):
         # words the sample does not know well are noisier than the model says: the law may not
         # fall faster than the tail of the best segments, and K makes one in ten exceed the 9th decile
         decile, tail = np.quantile(best, [0.9, 0.99])
         if tail > decile:
             model.lam = min(model.lam, math.log(10) / (tail - decile))
-        model.k = float(-math.log(0.9) * math.exp(min(model.lam * decile, 50)) / np.median(quiet["n"]))
+        model.k = float(-math.log(0.9) * math.exp(min(model.lam * decile, 50)) / np.median(n[quiet]))
     model.k = min(1.0, max(1e-6, model.k))
-    x = np.array([_features([(0, 0, float(v)) for v in (s if s is not None else [])], int(n), model)
-                  for s, n in zip(measured["segments"], measured["n"])]).reshape(-1, 2)
-    y = measured["toxic"].to_numpy(bool)
+    x = np.array([_features([(0, 0, v) for v in found], words, model)
+                  for found, words in zip(segments, n.tolist())]).reshape(-1, 2)
     if not y.any() or y.all():
         return ToxicityModel({})
     # classes weigh as in all labels
     share = {flag: rates[flag] / sum(rates.values()) for flag in (True, False)}
     weight = np.where(y, share[True] / y.mean(), share[False] / (1 - y.mean()))
     model.weights = _fit_logistic(x, y.astype(float), weight)
-    model.scores = scores
+    del segments, model.scores, partial
+    model.scores = _token_scores(counts, None)
     return model
 
 
