@@ -292,10 +292,12 @@ def sparse_cosine(query_vectors: DataFrame, index: TfidfIndex, query_col: str =
 
     Returns (query_id, doc_id, author, score) for the pairs that share at
     least one term; every other pair scores 0 and is not formed. One equi-join
-    on the term: Spark broadcasts a small side by its size and splits the
-    partitions of a term that very many documents share (AQE skew join).
+    on the term: few queries are broadcast, so that the postings stay where
+    they are; otherwise Spark splits the partitions of a term that very many
+    documents share (AQE skew join).
     """
-    q = query_vectors.select(query_col, "term_id", F.col("weight").alias("wq"))
+    q = write_table(query_vectors.select(query_col, "term_id", F.col("weight").alias("wq")), "query-weights")
+    q = broadcast_if(q, q.count(), limits.vocab_broadcast_rows)
     products = entries(index).select(id_col, author_col, "term_id", "weight").join(q, "term_id").select(
         query_col, id_col, author_col, (F.col("wq") * F.col("weight")).alias("p"))
     return products.groupBy(query_col, id_col, author_col).agg(F.sum("p").alias("score"))
