@@ -125,3 +125,30 @@ def test_rows_that_repeat_a_vec_id(spark):
 def test_no_vectors(spark):
     v = valid_vectors(vectors(spark, [(50, None, 0)]))
     assert nearest_neighbours(v, v).count() == 0
+
+
+def test_bm25_lanes_leave_one_list_a_query(spark, monkeypatch):
+    """More shards on a lane give no more rows: what a lane leaves follows the queries only."""
+    monkeypatch.setattr(bm25_search, "LANES", 2)
+    rows = [(i, words(i % 23, 30 + i % 50) + " " + words(i % 7, 15)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    asked = [r for r in rows if r[0] % 9 == 0]
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    monkeypatch.setattr(bm25_search, "SHARD_CHARS", 1_000)
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 1)
+    plain = bm25_search._search
+    counted = spark.sparkContext.accumulator(0)
+
+    def counting(*args):
+        run = plain(*args)
+
+        def body(batches):
+            for batch in run(batches):
+                counted.add(batch.num_rows)
+                yield batch
+        return body
+
+    monkeypatch.setattr(bm25_search, "_search", counting)
+    got = sorted(tuple(r) for r in bm25_top_k(docs, queries, query_block=16).collect())
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(brute_bm25(rows, asked, 10))]
+    assert 0 < counted.value <= 2 * 10 * len(asked)
