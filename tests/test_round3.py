@@ -7,7 +7,7 @@ import pytest
 
 from peerscope.operators.dense import _nearest
 from peerscope.operators.sizing import Limits
-from peerscope.operators.sparse_block import document_vectors
+from peerscope.operators.sparse_block import block_author_scores, document_vectors
 from peerscope.operators.tfidf import fit_tfidf, sparse_cosine, term_counts, transform_tfidf
 
 
@@ -72,3 +72,31 @@ def test_counts_are_made_by_one_pass_over_each_text(spark):
     assert got == [(1, "a", "blue", 1), (1, "a", "red", 2), (1, "a", "red blue", 1), (1, "a", "red red", 1)]
     plan = counts._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "lambdafunction" not in plan
+
+
+def test_block_scoring_leaves_one_list_per_lane(spark):
+    rng = random.Random(9)
+    words = [f"w{chr(97 + i // 10)}{chr(97 + i % 10)}" for i in range(60)]
+    rows = [(i, f"a{i % 9}", " ".join(rng.choices(words, k=15))) for i in range(160)]
+    corpus = _corpus(spark, rows)
+    index = fit_tfidf(corpus, min_df=2, max_df=1.0)
+    queries = transform_tfidf(corpus.where("doc_id < 40").withColumnRenamed("doc_id", "query_id"), index)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        # more blocks of documents than lanes
+        blocks = 5 * spark.sparkContext.defaultParallelism
+        got = block_author_scores(queries, index, 3, limits=Limits(block_rows=160 // blocks)).collect()
+    finally:
+        spark.conf.set(threshold, before)
+    assert len(got) <= 40 * 3 * spark.sparkContext.defaultParallelism
+    best = {}
+    for r in got:
+        best.setdefault(r.query_id, {}).setdefault(r.author, []).append(r.score)
+    want = {}
+    for r in sparse_cosine(queries, index).collect():
+        want.setdefault(r.query_id, {}).setdefault(r.author, []).append(r.score)
+    first = lambda lists: {q: [(a, round(max(s), 9)) for a, s in sorted(      # noqa: E731
+        by.items(), key=lambda x: (-round(max(x[1]), 9), x[0]))][:3] for q, by in lists.items()}
+    assert first(best) == first(want)
