@@ -18,7 +18,9 @@ link when 100 * intersection >= ``percent`` * union.
    it bounds the overlap from above; pairs beyond the bound go. The rest is decided
    by intersecting the sorted arrays. Links join components; the next round
    proposes pairs between different components only, with another leader for each
-   shingle. After ``star_rounds`` rounds every remaining pair between different
+   shingle. After ``star_rounds`` - 1 of them come ``nearest_rounds`` in which every class
+   proposes in each group only its likeliest partner by the bitmaps, as many pairs at most as a group has
+   classes. In the last round every remaining pair between different
    components that passes the size, position and bitmap bounds is decided (position:
    from the first shingle two sets share, both have enough shingles left to link). No link between different texts is
    lost, and a group of thousands of near copies costs about as many pairs as members.
@@ -298,9 +300,9 @@ def _side_pairs(side: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray
 
 
 def _likely(a: np.ndarray, b: np.ndarray, n: np.ndarray, bits: list[bytes], percent: int) -> np.ndarray:
-    """Which pairs of class positions the bitmap bound lets through."""
+    """The largest similarity that the bitmaps allow pairs of class positions, 0 for pairs that cannot link."""
     width = np.array([len(x) for x in bits])
-    keep = np.zeros(len(a), bool)
+    most = np.zeros(len(a))
     tables, place = {}, np.zeros(len(bits), np.int64)
     for w in np.unique(width):
         own = np.flatnonzero(width == w)
@@ -318,12 +320,26 @@ def _likely(a: np.ndarray, b: np.ndarray, n: np.ndarray, bits: list[bytes], perc
             differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
             n_a, n_b = n[a[at]], n[b[at]]
             overlap = np.minimum((n_a + n_b - differ) // 2, np.minimum(n_a, n_b))
-            keep[at] = 100 * overlap >= percent * (n_a + n_b - overlap)
-    return keep
+            union = n_a + n_b - overlap
+            most[at] = np.where(100 * overlap >= percent * union, overlap / union, 0.0)
+    return most
 
 
-def _cross_pairs(percent: int):
-    """Task function: all pairs of one group between different components within the bounds."""
+def _likeliest(pairs: np.ndarray, most: np.ndarray, m: int) -> np.ndarray:
+    """Places of the pairs that are the likeliest one of a class; ``pairs`` are a * m + b."""
+    ends = np.concatenate([pairs // m, pairs % m])
+    place = np.tile(np.arange(len(pairs)), 2)
+    by = np.lexsort((pairs[place], -most[place], ends))
+    first = np.ones(len(by), bool)
+    first[1:] = ends[by[1:]] != ends[by[:-1]]
+    return np.unique(place[by[first]])
+
+
+def _cross_pairs(percent: int, nearest: bool = False):
+    """Task function: all pairs of one group between different components within the bounds.
+
+    ``nearest``: of each class only the likeliest one.
+    """
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("key", ignore_index=True)
         classes, first, of = np.unique(rows["a"].to_numpy(), return_index=True, return_inverse=True)
@@ -331,14 +347,18 @@ def _cross_pairs(percent: int):
         bits = rows["bits"].iloc[first].tolist()
         root, side = rows["root"].to_numpy(), rows["side"].to_numpy()
         size, place = rows["n"].to_numpy().astype(np.int64), rows["place"].to_numpy().astype(np.int64)
-        found, new = np.empty(0, np.int64), []
+        found, likely, new = np.empty(0, np.int64), np.empty(0), []
 
-        def bounded() -> np.ndarray:
+        def bounded() -> tuple[np.ndarray, np.ndarray]:
             """The pairs found so far and those of the new ones that the bitmaps let through."""
             pairs = np.setdiff1d(np.concatenate([found[:0], *new]), found)
             new.clear()
-            keep = _likely(pairs // len(classes), pairs % len(classes), n, bits, percent)
-            return np.union1d(found, pairs[keep])
+            most = _likely(pairs // len(classes), pairs % len(classes), n, bits, percent)
+            pairs, most = np.append(found, pairs[most > 0]), np.append(likely, most[most > 0])
+            if nearest:
+                keep = _likeliest(pairs, most, len(classes))
+                pairs, most = pairs[keep], most[keep]
+            return pairs, most
 
         blocks = _group_pairs(rows["key"].to_numpy(), root) if side[0] < 0 else _side_pairs(side, root)
         for i, j in blocks:
@@ -350,8 +370,8 @@ def _cross_pairs(percent: int):
                 np.minimum(size[i] - place[i], size[j] - place[j]) >= need)
             new.append(a[fit] * len(classes) + b[fit])
             if sum(map(len, new)) >= 4 * _FLUSH:
-                found = bounded()
-        found = bounded()
+                found, likely = bounded()
+        found, likely = bounded()
         return pd.DataFrame({"a": classes[found // len(classes)],
                              "b": classes[found % len(classes)]}).astype("int64")
     return run
@@ -426,7 +446,7 @@ def _next_star(open_entries: DataFrame, turn: int) -> DataFrame:
 
 
 def ngram_components(docs: DataFrame, percent: int = 75, star_rounds: int = 2,
-                     entries_per_tile: int = 1_000_000) -> DataFrame:
+                     entries_per_tile: int = 1_000_000, nearest_rounds: int = 1) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     ``component_id`` is the smallest doc_id reachable over links.
@@ -457,7 +477,8 @@ def ngram_components(docs: DataFrame, percent: int = 75, star_rounds: int = 2,
 
     links = _verify(met.where("b is not null").select("a", "b").distinct(), classes, texts, percent)
     roots = connected_components(links)
-    for turn in range(1, star_rounds + 1):
+    last = star_rounds + nearest_rounds
+    for turn in range(1, last + 1):
         left = written(_open_entries(entries, roots), "ngram-open")
         if left.isEmpty():
             break
@@ -467,7 +488,7 @@ def ngram_components(docs: DataFrame, percent: int = 75, star_rounds: int = 2,
         else:
             meta = classes.select(F.col("cls").alias("a"), "n", "bits")
             pairs = (_pair_groups(left.join(meta, "a"), tiles).groupBy("tile", "hot", "lo", "hi")
-                     .applyInPandas(_cross_pairs(percent), "a long, b long").distinct())
+                     .applyInPandas(_cross_pairs(percent, turn < last), "a long, b long").distinct())
         more = _verify(pairs, classes, texts, percent)
         links = union_all([links, more])
         roots = connected_components(links)

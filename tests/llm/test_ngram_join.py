@@ -103,6 +103,44 @@ def test_pairs_beyond_the_bitmap_bound_are_not_kept(monkeypatch):
     assert out.values.tolist() == [[0, 1]] and peak < 20e6
 
 
+def edited_copies(m):
+    """Copies of one text with five words changed, every sixth with two: only those link, all with each other."""
+    rng, base, rows = np.random.default_rng(11), words(5000, 146).split(), []
+    for i in range(m):
+        copy = list(base)
+        for at in rng.choice(146, 5 if i % 6 else 2, replace=False):
+            copy[at] = f"edit{i}x{at}"
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+def test_a_group_of_near_copies_proposes_few_pairs(spark, monkeypatch):
+    rows, proposed, verify = edited_copies(480), [], ngram_join._verify
+
+    def counted(pairs, *more):
+        proposed.append(pairs.count())
+        return verify(pairs, *more)
+
+    monkeypatch.setattr(ngram_join, "_verify", counted)
+    got = ngram_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {tuple(r) for r in got.collect()} == brute(rows)
+    assert proposed[-1] < 150      # 80 texts that all link: 245 pairs without the round of the likeliest
+
+
+def test_every_class_proposes_its_likeliest_partner(monkeypatch):
+    monkeypatch.setattr(ngram_join, "_FLUSH", 1 << 10)
+    rng, m = np.random.default_rng(6), 300
+    base = rng.integers(0, 2**63, 100, dtype=np.uint64)
+    sets = [np.append(base, rng.integers(0, 2**63, 1 + i % 5, dtype=np.uint64)) for i in range(m)]
+    rows = pd.DataFrame({"key": 1, "a": np.arange(m), "root": np.arange(m), "n": list(map(len, sets)), "place": 0,
+                         "side": -1, "bits": [bitmap(x) for x in sets]})
+    every = _cross_pairs(75)(rows)
+    few = _cross_pairs(75, True)(rows)
+    assert len(every) > 20 * m and len(few) <= m
+    assert set(few["a"]) | set(few["b"]) == set(range(m))
+    assert not few.duplicated().any() and len(few.merge(every)) == len(few)
+
+
 def test_size_bands_follow_the_percentage(spark):
     long = words(4000, 100)
     rows = [(1, long), (2, " ".join(long.split()[:56])), (3, words(4001, 60))]     # 52 of 96 shingles
