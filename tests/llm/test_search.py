@@ -152,3 +152,35 @@ def test_bm25_lanes_leave_one_list_a_query(spark, monkeypatch):
     got = sorted(tuple(r) for r in bm25_top_k(docs, queries, query_block=16).collect())
     assert [g[:3] for g in got] == [w[:3] for w in sorted(brute_bm25(rows, asked, 10))]
     assert 0 < counted.value <= 2 * 10 * len(asked)
+
+
+def test_bm25_takes_one_shard_at_a_time(spark, monkeypatch):
+    """Batches are bounded by bytes, whatever number of shards and query blocks meets on a lane; long counts stay whole."""
+    monkeypatch.setattr(bm25_search, "LANES", 1)
+    monkeypatch.setattr(bm25_search, "BATCH_BYTES", "1k")
+    monkeypatch.setattr(bm25_search, "SHARD_CHARS", 2_000)
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 1)
+    rows = [(i, words(i % 13, 60) + " often" * (300 * (i == 7) + i % 3)) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    asked = [r for r in rows if r[0] % 4 == 3]
+    plain, seen = bm25_search._search, [spark.sparkContext.accumulator(0) for _ in range(2)]
+
+    def counting(*args):
+        run = plain(*args)
+
+        def taken(batches):
+            for batch in batches:
+                seen[0].add(1)
+                seen[1].add(batch.num_rows)
+                yield batch
+        return lambda batches: run(taken(batches))
+
+    monkeypatch.setattr(bm25_search, "_search", counting)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    got = sorted(tuple(r) for r in bm25_top_k(docs, spark.createDataFrame(asked, "query_id long, text string"),
+                                              query_block=5).collect())
+    want = sorted(brute_bm25(rows, asked, 10))
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3] for g in got], [w[3] for w in want])
+    assert seen[0].value == seen[1].value > 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
