@@ -184,3 +184,38 @@ def test_bm25_takes_one_shard_at_a_time(spark, monkeypatch):
     assert np.allclose([g[3] for g in got], [w[3] for w in want])
     assert seen[0].value == seen[1].value > 20
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_bm25_adds_the_lists_of_a_query_at_once(spark, monkeypatch):
+    """A query's lists are added in one go or not at all, by common and by rare words, with and without a threshold."""
+    rows = [(i, words(i % 23, 40 + i % 50) + " " + words(100 + i % 60, 60) + f" rare{i % 40} rare{i % 11}") for i in range(400)]
+    index = bm25_search.build_index(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)).collect()
+    hashes, counts = bm25_search.WordHashes(), Counter()
+    found = {i: bm25_search.term_counts(t, hashes) for i, t in rows}
+    for terms, _, _ in found.values():
+        counts.update(terms.tolist())
+    average = sum(n for _, _, n in found.values()) / len(rows)
+    asked = list(range(0, 400, 9))
+    terms = np.concatenate([found[q][0] for q in asked])
+    starts = np.cumsum([0] + [len(found[q][0]) for q in asked])
+    df = np.array([counts[t] for t in terms.tolist()], float)
+    idf = np.log1p((len(rows) - df + 0.5) / (df + 0.5))
+    want = {}
+    for q, _, doc, score in brute_bm25(rows, [rows[q] for q in asked], 10):
+        want.setdefault(q, []).append((doc, score))
+    shard = bm25_search.Shard(index[0].asDict(), average)
+    assert len(index) == 1 and 0 < len(shard.common) < len(shard.terms)
+    plain, calls = shard._add, []
+    monkeypatch.setattr(shard, "_add", lambda *args: calls.append(1) or plain(*args))
+    for short, least in ((8, 0.0), (8, None), (0, None)):
+        monkeypatch.setattr(bm25_search, "SHORT", short)
+        calls.clear()
+        bounds = np.array([want[q][-1][1] if least is None else least for q in asked])
+        seen = 0
+        for at, places, scores in shard.search_block(starts, terms, idf, np.full(len(asked), 11), bounds):
+            mine = sorted((-round(s, 9), i) for s, i in zip(scores.tolist(), shard.ids[places].tolist()) if i != asked[at])[:10]
+            assert [i for _, i in mine] == [i for i, _ in want[asked[at]]]
+            assert np.allclose([-s for s, _ in mine], [s for _, s in want[asked[at]]])
+            seen += 1
+        assert seen == len(asked) and (short == 0 or len(calls) <= len(asked))
+    assert not list(shard.search_block(starts, terms, idf, np.full(len(asked), 11), np.full(len(asked), 1e6)))
