@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
 import peerscope.operators.sparse_block as sparse_block
@@ -53,3 +54,45 @@ def test_block_scoring_gives_the_lists_of_the_join(spark, monkeypatch, common):
     want, got = ({(r.query_id, r.rank): (r.author, pytest.approx(r.score, abs=1e-9)) for r in recommend_tfidf(
         asked, index, k=4, scoring=scoring, limits=limits).collect()} for scoring in ("join", "block"))
     assert len(want) == 27 * 4 and got == want
+
+
+def _shard(rows, bm25_search):
+    """(shard, query terms, their starts, idf) of texts that are documents and queries."""
+    words = bm25_search.WordHashes()
+    found = [bm25_search.term_counts(t, words) for t in rows]
+    terms = np.concatenate([t for t, _, _ in found])
+    tfs = np.concatenate([c for _, c, _ in found])
+    docs = np.repeat(np.arange(len(rows)), [len(t) for t, _, _ in found])
+    by = np.argsort(terms, kind="stable")
+    firsts = np.flatnonzero(np.r_[True, np.diff(terms[by]) != 0])
+    arrays = {"doc_ids": np.arange(len(rows)), "lengths": np.array([n for _, _, n in found], np.int64), "terms": terms[by][firsts],
+              "starts": np.append(firsts, len(by)), "docs": docs[by].astype(np.uint16), "tfs": tfs[by].astype(np.uint8)}
+    shard = bm25_search.Shard({c: a.tobytes() for c, a in arrays.items()}, np.mean([n for _, _, n in found]))
+    df = np.bincount(np.searchsorted(shard.terms, terms), minlength=len(shard.terms))[np.searchsorted(shard.terms, terms)]
+    return shard, terms, np.cumsum([0] + [len(t) for t, _, _ in found]), np.log1p((len(rows) - df + 0.5) / (df + 0.5))
+
+
+@pytest.mark.parametrize("added,cells", [(500_000, 2_000_000), (7, 1_000)])
+def test_bm25_adds_the_lists_of_a_block_of_queries_together(monkeypatch, added, cells):
+    """No query is searched alone while its lists are short; queries whose bounds stay below their threshold give nothing."""
+    from peerscope.llm import bm25_search
+    monkeypatch.setattr(bm25_search, "ADDED", added)
+    monkeypatch.setattr(bm25_search, "COMMON_CELLS", cells)
+    shard, terms, starts, idf = _shard(_texts(120, _words(200), 50, 4), bm25_search)
+    want = np.zeros((120, 120))
+    for q in range(120):
+        for t, w in zip(terms[starts[q]:starts[q + 1]], idf[starts[q]:starts[q + 1]]):
+            at = np.searchsorted(shard.terms, t)
+            mine = slice(shard.starts[at], shard.starts[at + 1])
+            want[q, shard.docs[mine]] += w * shard.weights[mine]
+    monkeypatch.setattr(shard, "search", lambda *_: pytest.fail("a query was searched alone"))
+    tenth = np.sort(want, axis=1)[:, -10]
+    least = np.where(np.arange(120) % 3 == 1, tenth, np.where(np.arange(120) % 3 == 2, 1e9, 0.0))
+    seen = []
+    for q, places, scores in shard.search_block(starts, terms, idf, np.full(120, 10), least):
+        seen.append(q)
+        first = np.lexsort((places, -np.round(scores, 9)))[:10]
+        order = np.lexsort((np.arange(120), -np.round(want[q], 9)))[:10]
+        order = order[want[q][order] > 0]
+        assert places[first].tolist() == order.tolist() and np.allclose(scores[first], want[q][order])
+    assert seen == [q for q in range(120) if q % 3 != 2]
