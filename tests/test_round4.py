@@ -96,3 +96,32 @@ def test_bm25_adds_the_lists_of_a_block_of_queries_together(monkeypatch, added,
         order = order[want[q][order] > 0]
         assert places[first].tolist() == order.tolist() and np.allclose(scores[first], want[q][order])
     assert seen == [q for q in range(120) if q % 3 != 2]
+
+
+def test_a_saved_index_moves_packed_rows_and_stores_counts(spark, tmp_dir):
+    from peerscope.operators.sparse_block import document_vectors
+    from peerscope.sources import index_io
+    texts = _texts(80, _words(60), 40, 6)
+    corpus = spark.createDataFrame([(f"d{i}", f"a{i % 5}" if i % 9 else None, t) for i, t in enumerate(texts)],
+                                   "doc_id string, author string, processed_text string")
+    vectors = corpus.selectExpr("doc_id as paper_id", "array(1.0F) as embedding")
+    index = fit_tfidf(corpus, min_df=2, max_df=1.0)
+    rows = index.postings.count()
+    starts = index_io._file_starts(index.postings, rows, "doc_id", 5)
+    moved = index.postings.repartition(3).mapInArrow(index_io._packed_rows(starts, "doc_id"), "file int, rows binary")
+    assert len(starts) == 4 and moved.count() <= 3 * 5 and {r.file for r in moved.collect()} == set(range(5))
+    path = tmp_dir
+    for again in range(2):      # fitted, then loaded and saved again
+        version = index_io.save_index(path, corpus, vectors, index, postings_per_file=rows // 5 + 1)
+        stored = index_io.load_index(spark, path).tfidf
+        written = spark.read.parquet(os.path.join(path, "versions", version, "docvecs"))
+        assert written.columns == ["doc_id", "author", "terms", "tfs", "dfs", "norm"] and written.count() == document_vectors(index).count()
+        assert sorted(map(repr, document_vectors(stored).collect())) == sorted(map(repr, document_vectors(index).collect()))
+        assert sorted(map(repr, stored.postings.collect())) == sorted(map(repr, index.postings.collect()))
+        index, path = stored, f"{tmp_dir}/again"
+    # an index without counts keeps its weights
+    plain = type(stored)(vocab=stored.vocab, postings=stored.postings, docs=stored.docs, n_docs=stored.n_docs, vocab_size=stored.vocab_size)
+    index_io.save_index(f"{tmp_dir}/plain", corpus, vectors, plain)
+    loaded = index_io.load_index(spark, f"{tmp_dir}/plain").tfidf
+    unordered = lambda rows: sorted((r.doc_id, r.author or "", sorted(zip(r.terms, r.weights))) for r in rows.collect())
+    assert unordered(document_vectors(loaded)) == unordered(document_vectors(stored))
