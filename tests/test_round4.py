@@ -125,3 +125,29 @@ def test_a_saved_index_moves_packed_rows_and_stores_counts(spark, tmp_dir):
     loaded = index_io.load_index(spark, f"{tmp_dir}/plain").tfidf
     unordered = lambda rows: sorted((r.doc_id, r.author or "", sorted(zip(r.terms, r.weights))) for r in rows.collect())
     assert unordered(document_vectors(loaded)) == unordered(document_vectors(stored))
+
+
+def test_lists_are_ranked_without_rounding_every_score(monkeypatch):
+    """Only candidates near a list's end are rounded; ties, missing scores and bounds give the lists of a plain sort."""
+    from peerscope.operators import blocks
+    rng = np.random.default_rng(5)
+    plain, rounded = np.round, []
+    monkeypatch.setattr(blocks.np, "round", lambda x, *a: rounded.append(np.size(x)) or plain(x, *a))
+    for ties in (False, True):
+        scores = rng.normal(size=(40, 300))
+        if ties:
+            scores = plain(scores, 1) + rng.choice([0.0, 2e-10], scores.shape)
+        scores[rng.random(scores.shape) < 0.02] = np.nan
+        scores[3] = np.nan
+        filled = np.where(np.isnan(scores), -np.inf, plain(scores, 9))
+        for k in (1, 5, 299, 300, 400):
+            order = np.argsort(-filled, axis=1, kind="stable")[:, :k]
+            want = [(q, c) for q in range(40) for c in sorted(order[q].tolist())]
+            rounded.clear()
+            assert list(zip(*(x.tolist() for x in blocks.first_k(scores, np.arange(300), k)))) == want
+            assert ties or k > 5 or sum(rounded) < scores.size / 2
+            least = np.array([filled[q, order[q, -1]] - 4e-9 for q in range(40)])
+            least[:2] = np.nan, -np.inf
+            q, c = blocks.first_k(scores, np.arange(300), k, least)
+            assert set(zip(q.tolist(), c.tolist())) >= {(a, b) for a, b in want if scores[a, b] >= least[a]}
+            assert max(np.bincount(q)) <= k
